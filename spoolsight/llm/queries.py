@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spoolsight.session import ship_package
 
 
 def _tokenizer() -> str:
@@ -14,6 +17,7 @@ def _tokenizer() -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,8 +27,23 @@ def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.digests(tree_bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer()))
 
 
+def op8_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolsight.llm import prefix_counts
+
+    counted = prefix_counts.prefix_counts(_table(spark, sf_dir, "documents"), _tokenizer())
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op3_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolsight.llm import record_files
+
+    return record_files.digests(record_files.write_records(_table(spark, sf_dir, "documents"), _tokenizer()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_record_files": op3_record_files,
     "op5_tree_bpe": op5_tree_bpe,
+    "op8_prefix_counts": op8_prefix_counts,
 }
 
 ORACLES: dict[str, str] = {}
