@@ -21,12 +21,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolsight.llm import chunk_recipes
+
+    return chunk_recipes.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoolsight.llm import tree_bpe
 
     return tree_bpe.digests(tree_bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer()))
 
 
+def op7_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolsight.llm import simhash_links
+
+    return simhash_links.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoolsight.llm import prefix_counts
 
@@ -41,9 +53,17 @@ def op3_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chunk_recipes": op2_chunk_recipes,
     "op3_record_files": op3_record_files,
     "op5_tree_bpe": op5_tree_bpe,
+    "op7_simhash_links": op7_simhash_links,
     "op8_prefix_counts": op8_prefix_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chunk_recipes": """
+        WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
+               sha256(t) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY t)""",
+}
