@@ -27,6 +27,22 @@ def op2_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recipes.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolsight.llm import png_media
+
+    read = png_media.from_media(png_media.to_media(_table(spark, sf_dir, "documents")), payloads=False)
+    return read.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.lower(F.hex("feature")).alias("feature"),
+    )
+
+
+def op6_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolsight.llm import budget_mix
+
+    return budget_mix.mix(_table(spark, sf_dir, "documents"))
+
+
 def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoolsight.llm import tree_bpe
 
@@ -55,7 +71,9 @@ def op3_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chunk_recipes": op2_chunk_recipes,
     "op3_record_files": op3_record_files,
+    "op4_png_media": op4_png_media,
     "op5_tree_bpe": op5_tree_bpe,
+    "op6_budget_mix": op6_budget_mix,
     "op7_simhash_links": op7_simhash_links,
     "op8_prefix_counts": op8_prefix_counts,
 }
