@@ -68,6 +68,26 @@ def op3_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_files.digests(record_files.write_records(_table(spark, sf_dir, "documents"), _tokenizer()))
 
 
+def op9_block_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolsight.llm import block_html
+
+    return block_html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolsight.llm import url_rules
+    from spoolsight.llm.url_rules import ALLOW, BLOCK, Rule
+
+    rules = [
+        Rule(ALLOW, "com", "/"),
+        Rule(BLOCK, "example.com", "/en/"),
+        Rule(ALLOW, "www.example.com", "/en/"),
+        Rule(BLOCK, "net", "/es/"),
+        Rule(BLOCK, "net", "/fr/"),
+    ]
+    return url_rules.judge(_table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chunk_recipes": op2_chunk_recipes,
     "op3_record_files": op3_record_files,
@@ -76,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_budget_mix": op6_budget_mix,
     "op7_simhash_links": op7_simhash_links,
     "op8_prefix_counts": op8_prefix_counts,
+    "op9_block_html": op9_block_html,
+    "op10_url_rules": op10_url_rules,
 }
 
 ORACLES: dict[str, str] = {
