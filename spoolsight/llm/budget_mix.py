@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spoolsight.llm.rows import repeat_rows
 from spoolsight.llm.store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -114,12 +115,13 @@ def mix(
     4. Of each source and size, that many are chosen by smallest seeded hash. A group of many documents is split into
        hash ranges of about 4096; whole ranges are taken by their counts, and ranks are made only within a range.
 
-    Returns doc_id, size, source_size, target, passes, taken (words, repeats counted), one row per input row. Null text has
+    Returns doc_id, size, source_size, target, passes, taken (words, repeats counted), and the source and hash that the
+    choice went by, one row per input row. Null text has
     size 0; a null source is a source of its own. Reruns agree. Rows that are equal in id, source and text are told apart
     only by which of them comes first; their number taken is the same in any case. Empty tables give empty results; where
     all sizes are 0, targets and taken are 0. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), seeded(seed, id_col, text_col).alias("h"))
     rows = written(rows, "mix-rows")
     counts = written(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     aims = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), list(weights), share, most)
@@ -148,4 +150,17 @@ def mix(
     ranked = dealt.join(split, [*by, "range"], "left").withColumn("earlier", F.coalesce("earlier", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy(*by, "range").orderBy(F.shiftrightunsigned("h", 1), "h", "doc_id"))
     times = F.col("passes") + (F.col("earlier") + rank <= F.col("chosen")).cast("int")
-    return ranked.select("doc_id", "size", "source_size", "target", times.alias("passes"), (F.col("size") * times).cast("long").alias("taken"))
+    return ranked.select("doc_id", "size", "source_size", "target", times.alias("passes"), (F.col("size") * times).cast("long").alias("taken"), "source", "h")
+
+
+def seeded(seed: int, id_col: str, text_col: str) -> Column:
+    """Hash that orders documents for selection."""
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+
+
+def apply_mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed rows, with all their columns: each document as often as ``mix`` takes it. Documents without words go once for
+    each pass, as their source's others do."""
+    mixed = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    times = mixed.groupBy("doc_id", "source", "h").agg(F.sum("passes").alias("times"))
+    return repeat_rows(docs, [F.col(id_col), F.col(source_col), seeded(seed, id_col, text_col)], times)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from spoolsight.llm.rows import repeat_rows
 from spoolsight.llm.store import written
 
 # White space that counts as one blank.
@@ -80,3 +80,9 @@ def _ordinals(texts: DataFrame, chunks: Column, key, distinct: DataFrame, unclea
     placed = placed.withColumn("key", key(F.col("chunk"))).join(numbered, ["key", "chunk"])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "ordinal"))), lambda x: x.ordinal)
     return placed.groupBy("recipe", "text_sha256").agg(ordered.alias("ordinals"))
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns: of equal texts the one with the smallest id."""
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256", F.lit(1))
+    return repeat_rows(docs, [F.col(id_col), F.sha2(normalised(F.col(text_col)), 256)], kept)

@@ -21,6 +21,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolsight.llm import langid_crf
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid_crf.fit(docs.where(~held_out))
+    return langid_crf.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoolsight.llm import chunk_recipes
 
@@ -89,6 +98,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid_crf": op1_langid_crf,
     "op2_chunk_recipes": op2_chunk_recipes,
     "op3_record_files": op3_record_files,
     "op4_png_media": op4_png_media,

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoolsight.llm.graph import components
+from spoolsight.llm.rows import repeat_rows
 from spoolsight.llm.store import written
 
 WORD = rb"[^\x20\x09-\x0D]+"
@@ -47,7 +48,8 @@ def majority_bits(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (64 bits as a long), of whole texts. Null and wordless texts have fingerprint 0."""
+    """``doc_id``, ``key`` (a hash of the text) and ``fp`` (64 bits as a long), of whole texts. Null and wordless texts have
+    fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,10 +64,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     flat = np.fromiter((h for hs in held for h in hs), "u8", size)
                     fps.append(majority_bits(flat, np.array([len(hs) for hs in held])))
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps).view("i8") if fps else np.zeros(0, "i8"))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(fps).view("i8") if fps else np.zeros(0, "i8"))], names=["doc_id", "key", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, key long, fp long")
 
 
 def segment_counts(fp: Column) -> Column:
@@ -119,16 +121,26 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of every document and the smallest id that it reaches over links.
 
-    Returns doc_id, fingerprint (16 hexadecimal digits), component_id, one row per input row. Null and wordless texts have
-    fingerprint zero, which is linked like any other. Equal fingerprints are one node of the graph, so copies make no
-    pairs. Null ids take part and never name a component unless it has no other. Other columns are not read.
+    Returns doc_id, fingerprint (16 hexadecimal digits), component_id, one row per input row, and then ``key``, a hash of the
+    text, and ``root``, a fingerprint that names the component. Null and wordless texts have fingerprint zero, which is linked
+    like any other. Equal fingerprints are one node of the graph, so copies make no pairs. Null ids take part and never name
+    a component unless it has no other. Other columns are not read.
     """
     found = written(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    joined = components(links(nodes.select("fp")), "fingerprint-links")
-    rooted = nodes.join(joined, nodes.fp == joined.node)
+    joined = written(components(links(nodes.select("fp")), "fingerprint-links"), "fingerprint-roots")
+    rooted = joined.join(nodes, nodes.fp == joined.node)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = nodes.join(joined.join(least, "root"), nodes.fp == joined.node, "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    linked = joined.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id"))
     named = written(named, "components")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return found.join(named, "fp", "left").select("doc_id", text.alias("fingerprint"), "component_id")
+    return found.join(named, "fp", "left").select("doc_id", text.alias("fingerprint"), "component_id", "key", "root")
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component stays, with all its columns: the smallest id's (of its texts, the one of least hash)."""
+    grouped = near_duplicates(docs, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    kept = grouped.groupBy("root").agg(first).select("first.doc_id", "first.key", F.lit(1))
+    return repeat_rows(docs, [F.col(id_col), F.xxhash64(text_col)], kept)

@@ -7,7 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoolsight.llm.byte_bpe import opened
@@ -43,11 +43,15 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Contract columns of the query, derived from the ids and the decoded text."""
-    return encoded.select(
-        "doc_id",
+def digest_columns() -> list[Column]:
+    """Number of ids and digests of the ids (decimal, joined by commas) and of the decoded text."""
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    ]
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """Contract columns of the query, derived from the ids and the decoded text."""
+    return encoded.select("doc_id", *digest_columns())
