@@ -16,15 +16,12 @@ from collections.abc import Callable
 
 import numpy as np
 
-# The split rule of the byte-level pre-tokenizer, spelled for characters on which Python's \w, \d and \s agree
-# with the rule's \p{L}, \p{N} and \s.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-# Characters outside these ranges make a text "unusual": the library itself then splits it.
-UNUSUAL = re.compile(
-    "[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-ΡΣ-ώЀ-ҁҊ-ԯ"
-    "‐-‧‰-⁞₠-₿ぁ-ゖァ-ヺ一-鿯가-힣]"
-)
-KEPT_PIECES = 400_000
+# The split rule of the byte-level pre-tokenizer, spelled out for common characters. A text with any other
+# character is "unusual": the library itself then splits it.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-ώЀ-ҁҊ-ԯぁ-ゖァ-ヺ一-鿯가-힣"
+SPLIT = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?[^\s\d{LETTERS}]+|\s+(?!\S)|\s+")
+UNUSUAL = re.compile(rf"[^\x00-\x1b\x20-\x84\x86-\xb1\xb4\xb6-\xb8\xbb\xbf×÷‐-‧‰-⁞₠-₿{LETTERS}]")
+KEPT_PIECES = 700_000
 
 
 def byte_alphabet() -> list[str]:
@@ -108,23 +105,14 @@ class ByteBpe:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.split(t) for t in texts]
         known = self.known
+        missing = set().union(*split).difference(known)
+        if missing:
+            self.learn(sorted(missing))
         try:
             return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        except KeyError:
-            pass
-        out = []
-        for pieces in split:
-            if not all(map(known.__contains__, pieces)):
-                out.append(None)
-                continue
-            out.append(b"".join(map(known.__getitem__, pieces)))
-        holes = [k for k, x in enumerate(out) if x is None]
-        for at in range(0, len(holes), 256):
-            some = holes[at : at + 256]
-            self.learn([p for k in some for p in split[k]])
-            for k in some:
-                out[k] = b"".join(map(known.__getitem__, split[k]))
-        return out
+        except KeyError:  # the table was just emptied to make room
+            self.learn([p for pieces in split for p in pieces])
+            return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes with special tokens kept: bytes of all tokens, malformed UTF-8 replaced."""

@@ -21,7 +21,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -118,13 +118,18 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col:
     return written(index.withColumn("folder", F.lit(folder)), "record-index")
 
 
-def read_records(index: DataFrame) -> DataFrame:
+def read_records(index: DataFrame, summary: Callable[[np.ndarray], int] | None = None) -> DataFrame:
     """Read the records that an index, or any part of it in any order, names.
 
-    Returns the index's doc_id, part and before with ``ids array<long>``. Records that follow one another in a file are
+    Returns the index's doc_id, part and before with ``ids array<long>``; or, where ``summary`` is given, with ``n_tokens`` and
+    the number that it makes of the ids (as unsigned 32-bit integers), so that they need not leave the task. Records that follow one another in a file are
     fetched by one read of bounded size; every length and checksum is tested.
     """
 
+    kinds = {"doc_id": index.schema["doc_id"].dataType.simpleString(), "part": "int", "before": "long"}
+    kinds |= {"ids": "array<long>"} if summary is None else {"n_tokens": "long", "summary": "long"}
+    columns = list(kinds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened_fs: dict = {}
         name, file, width = None, None, 2
@@ -148,12 +153,16 @@ def read_records(index: DataFrame) -> DataFrame:
                 block = memoryview(file.read_at(offsets[end - 1] + lengths[end - 1] - offsets[at], offsets[at]))
                 ids = [np.frombuffer(unframe(block[o - offsets[at] : o - offsets[at] + n]), f"<u{width}") for o, n in zip(offsets[at:end], lengths[at:end], strict=True)]
                 some = batch.slice(at, end - at)
-                ends = np.cumsum([0, *map(len, ids)]).astype("int32")
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype("i8")))], names=["doc_id", "part", "before", "ids"])
+                if summary is None:
+                    ends = np.cumsum([0, *map(len, ids)]).astype("int32")
+                    found = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype("i8")))]
+                else:
+                    found = [pa.array([len(x) for x in ids], pa.int64()), pa.array([summary(x.astype("<u4")) for x in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), *found], names=columns)
                 at = end
 
     rows = index.select("doc_id", "part", "before", "folder", "path", "offset", "length")
-    return rows.mapInArrow(run, f"doc_id {index.schema['doc_id'].dataType.simpleString()}, part int, before long, ids array<long>")
+    return rows.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
 
 
 def starts(index: DataFrame) -> DataFrame:
@@ -163,16 +172,8 @@ def starts(index: DataFrame) -> DataFrame:
 
 
 def digests(index: DataFrame) -> DataFrame:
-    """Contract columns of the query, from the records read back. ``start`` adds the ids of all earlier
-    files (one row a file, so the broadcast side is as small as the list of files) to those before it in its own file."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(3)
-            flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            crcs = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(ends).astype("i8")), pa.array(crcs, pa.int64())], names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
-
-    read = read_records(index)
-    summed = read.mapInArrow(run, f"doc_id {index.schema['doc_id'].dataType.simpleString()}, part int, before long, n_tokens long, ids_crc32 long")
-    return summed.join(F.broadcast(starts(index)), "part").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    """Contract columns of the query, from the records read back. ``start`` adds the ids of all earlier files (one row a
+    file, so the broadcast side is as small as the list of files) to those before it in its own file."""
+    read = read_records(index, summary=zlib.crc32)
+    start = (F.col("base") + F.col("before")).alias("start")
+    return read.join(F.broadcast(starts(index)), "part").select("doc_id", start, "n_tokens", F.col("summary").alias("ids_crc32"))
