@@ -1,0 +1,60 @@
+"""Registered queries over the canonical views, each with the SQL that it is compared with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from spoolsight.operators import usage as U
+from spoolsight.plans import driver_views as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query under a name, with its SQL if it has one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+#: Owned and priced usage in SQL; what ``operators.usage.priced_usage`` computes.
+OWNED = f"""{V.view_sql("v_usage", "v_sessions")}, {V.RATE_BANDS_SQL},
+owned AS (SELECT * FROM (SELECT u.*, s.workspace, s.created_at AS session_created_at, row_number() OVER (PARTITION BY u.agent, CASE WHEN u.content_id = '' THEN concat('#', CAST(u.seq AS VARCHAR)) ELSE u.content_id END, u.request_id
+    ORDER BY s.modified_at, s.created_at, u.session_id, u.seq) AS rn FROM v_usage u JOIN v_sessions s ON u.agent = s.agent AND u.session_id = s.session_id) WHERE rn = 1),
+matched AS (SELECT o.*, b.model IS NOT NULL AS known, pi, po, pw, pw1, pr, greatest(least(o.cache_write_1h, o.cache_write), 0) AS w1,
+    o.input + o.output + o.cache_read + o.cache_write AS total_tokens,
+    o.reported_nanos IS NOT NULL AND (o.reported_nanos <> 0 OR o.input + o.output + o.cache_read + o.cache_write = 0) AS rep
+    FROM owned o LEFT JOIN bands b ON o.model = b.model AND (b.provider IS NULL OR b.provider = CASE WHEN o.provider = 'alpha' THEN 'alpha' ELSE 'other' END)
+    AND (b.dated IS NULL OR b.dated = (o.created_at IS NOT NULL)) AND (b.valid_from IS NULL OR o.created_at >= b.valid_from) AND (b.valid_to IS NULL OR o.created_at < b.valid_to)
+    AND o.input + o.cache_read + o.cache_write > b.lo AND o.input + o.cache_read + o.cache_write <= b.hi),
+priced AS (SELECT *, CASE WHEN rep THEN reported_nanos ELSE 0 END AS reported_cost_nanos,
+    CASE WHEN rep OR NOT known OR total_tokens = 0 THEN 0 ELSE CAST((CAST(input AS HUGEINT) * pi + CAST(output AS HUGEINT) * po + coalesce(CAST(cache_read AS HUGEINT) * pr, 0)
+      + coalesce(CAST(cache_write - w1 AS HUGEINT) * pw, 0) + coalesce(CAST(w1 AS HUGEINT) * pw1, 0) + 500) // 1000 AS BIGINT) END AS estimated_nanos,
+    CASE WHEN NOT rep AND NOT known THEN input ELSE 0 END AS unpriced_input, CASE WHEN NOT rep AND NOT known THEN output ELSE 0 END AS unpriced_output,
+    CASE WHEN NOT rep AND pr IS NULL THEN cache_read ELSE 0 END AS unpriced_cache_read,
+    CASE WHEN NOT rep AND pw IS NULL THEN cache_write - w1 ELSE 0 END + CASE WHEN NOT rep AND pw1 IS NULL THEN w1 ELSE 0 END AS unpriced_cache_write,
+    coalesce(strftime(coalesce(created_at, session_created_at), '%Y-%m-%d'), '') AS day FROM matched)"""
+SUMS = """CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write,
+  CAST(sum(cache_write_1h) AS BIGINT) AS cache_write_1h, CAST(sum(unpriced_input) AS BIGINT) AS unpriced_input, CAST(sum(unpriced_output) AS BIGINT) AS unpriced_output,
+  CAST(sum(unpriced_cache_read) AS BIGINT) AS unpriced_cache_read, CAST(sum(unpriced_cache_write) AS BIGINT) AS unpriced_cache_write,
+  CAST(sum(reported_cost_nanos + estimated_nanos) AS BIGINT) AS cost_nanos, CAST(sum(reported_cost_nanos) AS BIGINT) AS reported_nanos, CAST(sum(estimated_nanos) AS BIGINT) AS estimated_nanos"""
+PRICED_FLAG = "sum(unpriced_input + unpriced_output + unpriced_cache_read + unpriced_cache_write) = 0 AS priced"
+
+
+def _usage(group: str, key: str) -> None:
+    @query(f"usage_by_{group}", f"""WITH {OWNED} SELECT {key} AS "group", {SUMS}, count(*) AS requests, {PRICED_FLAG}, count(DISTINCT (agent, session_id)) AS sessions FROM priced GROUP BY 1""")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return U.usage(V.driver_corpus(spark, sf_dir), group)
+
+
+for _group, _key in U.GROUPS.items():
+    _usage(_group, _key)
