@@ -66,10 +66,7 @@ def find_secrets(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         for k in keywords or []:
             any_word = any_word | low.contains(k.lower())
         group = 1 if re.compile(regex).groups else 0
-        found = F.regexp_extract_all("text", F.lit(regex), F.lit(group))
-        if floor is not None:
-            found = F.filter(found, lambda m, floor=floor: entropy(m) >= floor)
-        named = F.transform(F.array_distinct(found), lambda m, rule_id=rule_id: F.struct(F.lit(rule_id).alias("rule_id"), m.alias("secret")))
+        named = _named(F.regexp_extract_all("text", F.lit(regex), F.lit(group)), rule_id, floor)
         hits.append(F.when(any_word if keywords else F.lit(True), named).otherwise(F.array().cast("array<struct<rule_id:string,secret:string>>")))
     each = docs.select("*", F.explode(F.concat(*hits)).alias("hit")).select("*", "hit.rule_id", "hit.secret")
     before = F.expr("substring(text, 1, locate(secret, text))")
@@ -80,6 +77,13 @@ def find_secrets(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     return once.drop("secret")
 
 
+def _named(found: Column, rule_id: str, floor: float | None) -> Column:
+    """Distinct matches of a rule with enough entropy, with the rule's id."""
+    if floor is not None:
+        found = F.filter(found, lambda m: entropy(m) >= floor)
+    return F.transform(F.array_distinct(found), lambda m: F.struct(F.lit(rule_id).alias("rule_id"), m.alias("secret")))
+
+
 def to_scan(docs: DataFrame, prior: DataFrame | None, fingerprint: str) -> tuple[DataFrame, DataFrame]:
     """Texts of entities that changed since a prior scan, or all under other rules; and the new state per entity."""
     hashed = docs.groupBy("entity_type", "natural_key").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.sha2("text", 256)))), 256).alias("content_hash"))

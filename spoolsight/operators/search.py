@@ -64,36 +64,39 @@ def parse_query(q: str) -> list[list[str]]:
     return [t for t in terms if t]
 
 
-def search(index: SearchIndex, q: str, agent: str | None = None, limit: int | None = None) -> DataFrame:
-    """Documents that hold all terms (phrases as such), best BM25 score first, with a marked snippet.
-
-    Only the postings of the query's tokens are read; the phrase test compares their positions. Without a term the result
-    is empty.
-    """
+def hits(index: SearchIndex, q: str) -> DataFrame:
+    """All documents that hold every term of a query: ``doc``, ``at`` (positions by token), ``start`` (first match). A term of
+    several tokens is a phrase. Only the postings of the query's tokens are read. Without a term there is no hit."""
     terms = parse_query(q)
     words = sorted({w for t in terms for w in t})
     posted = index.postings.where(F.col("term").isin(*words)) if words else index.postings.where("false")
     spread = posted.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-    has = F.lit(bool(words))
-    for w in words:
-        has = has & F.map_contains_key("at", w)
-    starts = None
+    has, start = F.lit(bool(words)), None
     for t in terms:
         first = F.try_element_at("at", F.lit(t[0]))
         for k, w in enumerate(t[1:], 1):
-            first = F.filter(first, lambda p, k=k, w=w: F.array_contains(F.try_element_at("at", F.lit(w)), p + k))
-        has = has & (F.size(first) > 0)
-        least = F.array_min(first)
-        starts = least if starts is None else F.least(starts, least)
-    hits = spread.where(has).withColumn("_start", starts if starts is not None else F.lit(0))
-    frequency = posted.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    docs = index.docs.where(filters.equal(F.col("agent"), agent))
-    found = hits.join(docs, "doc")
-    parts = found.select("doc", F.explode("at").alias("term", "positions"), "length").join(F.broadcast(frequency), "term").join(F.broadcast(index.totals))  # query tokens; one row
+            first = _followed(first, k, w)
+        has = has & F.coalesce(F.size(first) > 0, F.lit(False))
+        start = F.array_min(first) if start is None else F.least(start, F.array_min(first))
+    return spread.where(has).withColumn("start", start if start is not None else F.lit(0))
+
+
+def _followed(first: Column, k: int, word: str) -> Column:
+    """Positions after which ``word`` stands ``k`` further on."""
+    return F.filter(first, lambda p: F.array_contains(F.try_element_at("at", F.lit(word)), p + k))
+
+
+def search(index: SearchIndex, q: str, agent: str | None = None, limit: int | None = None) -> DataFrame:
+    """Hits of a query, best BM25 score first, with a marked snippet."""
+    words = sorted({w for t in parse_query(q) for w in t})
+    frequency = index.postings.where(F.col("term").isin(*words) if words else F.lit(False)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    found = hits(index, q).join(index.docs.where(filters.equal(F.col("agent"), agent)), "doc")
+    each = found.select("doc", F.explode("at").alias("term", "positions"), "length")
+    parts = each.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(index.totals))  # the query's tokens; one row
     tf, idf = F.size("positions"), F.log(1 + (F.col("documents") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     ranked = parts.groupBy("doc").agg(F.round(F.sum(score), 9).alias("score"))
-    out = found.join(ranked, "doc").withColumn("snippet", snippet(F.col("text"), words, F.col("_start")))
+    out = found.join(ranked, "doc").withColumn("snippet", snippet(F.col("text"), words, F.col("start")))
     shown = out.select("doc", "agent", "session_id", "seq", "artifact_kind", "artifact_name", "score", "snippet")
     return filters.page(shown, [F.desc("score"), F.col("doc")], "search", limit)
 

@@ -5,7 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spoolsight.corpus import Corpus
+from spoolsight.functions import scalars as Z
+from spoolsight.operators import activity as A
+from spoolsight.operators import archive as K
+from spoolsight.operators import links as L
+from spoolsight.operators import pricing as P
+from spoolsight.operators import scan as C
+from spoolsight.operators import search as X
+from spoolsight.operators import sessions as S
 from spoolsight.operators import usage as U
 from spoolsight.plans import driver_views as V
 
@@ -58,3 +68,293 @@ def _usage(group: str, key: str) -> None:
 
 for _group, _key in U.GROUPS.items():
     _usage(_group, _key)
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """Times as text, for comparison across engines."""
+    return df.withColumns({f.name: F.date_format(f.name, "yyyy-MM-dd HH:mm:ss") for f in df.schema.fields if f.dataType.simpleString() == "timestamp"})
+
+
+def corpus(f: Callable[[Corpus], DataFrame]) -> Query:
+    return lambda spark, sf_dir: shown(f(V.driver_corpus(spark, sf_dir)))
+
+
+T = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
+AT = T.format
+
+
+def with_views(*names: str) -> str:
+    return "WITH " + V.view_sql(*names) + " "
+
+
+# -- cost and rollups
+query("priced_usage", f"""WITH {OWNED} SELECT agent, session_id, seq, provider, model, workspace, total_tokens, reported_cost_nanos, estimated_nanos, reported_cost_nanos + estimated_nanos AS amount_nanos,
+  unpriced_input, unpriced_output, unpriced_cache_read, unpriced_cache_write FROM priced""")(
+    corpus(lambda c: U.priced_usage(c).select("agent", "session_id", "seq", "provider", "model", "workspace", "total_tokens", "reported_cost_nanos", "estimated_nanos", "amount_nanos", "unpriced_input", "unpriced_output", "unpriced_cache_read", "unpriced_cache_write"))
+)
+DAILY = f"SELECT day, agent, workspace, model, {SUMS}, count(*) AS requests, {PRICED_FLAG} FROM priced GROUP BY ALL"
+query("rollup_usage_daily", f"WITH {OWNED} {DAILY}")(corpus(lambda c: U.build_rollups(U.priced_usage(c))[0]))
+query("rollup_session_days", f"WITH {OWNED} SELECT DISTINCT day, agent, workspace, model, session_id FROM priced")(corpus(lambda c: U.build_rollups(U.priced_usage(c))[1]))
+
+
+@query("refresh_rollups", f"WITH {OWNED} {DAILY}")
+def _refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollups of the priced usage without some sessions, brought up to date for these sessions."""
+    priced = U.priced_usage(V.driver_corpus(spark, sf_dir))
+    dirty = priced.where(F.col("session_id").endswith("7")).select("agent", "session_id").distinct()
+    old = U.build_rollups(priced.join(dirty, ["agent", "session_id"], "left_anti"))
+    return U.refresh_rollups(old, priced, dirty)[0]
+
+
+query("usage_pivot", f"""WITH {OWNED} SELECT day, {", ".join(f"CAST(sum(CASE WHEN agent = 'agent-{k}' THEN reported_cost_nanos + estimated_nanos ELSE 0 END) AS BIGINT) AS \"agent-{k}\"" for k in range(5))},
+  sum(unpriced_input + unpriced_output + unpriced_cache_read + unpriced_cache_write) > 0 AS incomplete FROM priced GROUP BY day""")(corpus(lambda c: U.usage_pivot(c, "agent", [f"agent-{k}" for k in range(5)])))
+query("blocks", f"""WITH {OWNED}, anchor AS (SELECT CAST(epoch(CAST(max(day) AS TIMESTAMP)) AS BIGINT) + 86400 AS a FROM priced),
+  w AS (SELECT *, CAST(floor(epoch(created_at)) AS BIGINT) // 18000 AS win FROM priced WHERE created_at IS NOT NULL)
+  SELECT strftime(make_timestamp(win * 18000000000), '%Y-%m-%d %H:%M:%S') AS start, strftime(make_timestamp((win + 1) * 18000000000), '%Y-%m-%d %H:%M:%S') AS "end", {SUMS},
+  count(DISTINCT (agent, session_id)) AS sessions, count(*) AS requests, win * 18000 <= epoch(TIMESTAMP '2024-01-30 12:00:00') AND epoch(TIMESTAMP '2024-01-30 12:00:00') < (win + 1) * 18000 AS active
+  FROM w, anchor WHERE win >= a // 18000 - 24 GROUP BY win ORDER BY win DESC LIMIT 24""")(corpus(lambda c: U.blocks(c, as_of="2024-01-30 12:00:00")))
+_EFFORT = f"""WITH {OWNED.replace("%", "%%")}, m AS (SELECT agent, session_id, event_id AS seq, CASE event_id %% 6 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE '' END AS level FROM ev WHERE event_id %% 3 <> 0)
+  SELECT %s level, count(*) AS requests, {SUMS} FROM priced JOIN m USING (agent, session_id, seq) GROUP BY ALL"""
+query("effort_by_level", _EFFORT % "")(corpus(lambda c: U.effort(c)))
+query("effort_by_agent", _EFFORT % 'agent AS "group",')(corpus(lambda c: U.effort(c, "agent")))
+query("effort_by_day", _EFFORT % "coalesce(strftime(created_at, '%Y-%m-%d'), '') AS \"group\",")(corpus(lambda c: U.effort(c, "day")))
+
+
+@query("richest_claims", f"""{with_views("v_usage")}, seen AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 1 ELSE 2 END AS version FROM v_usage WHERE content_id <> ''),
+  best AS (SELECT *, row_number() OVER (PARTITION BY agent, content_id, request_id ORDER BY version DESC, output DESC, input + output + cache_read + cache_write DESC, seq DESC) AS rn FROM seen)
+  SELECT agent, content_id, request_id, version AS parser_version, seq, input, output FROM best WHERE rn = 1""")
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = V.driver_corpus(spark, sf_dir).usage.where("content_id <> ''")
+    claims = claims.withColumn("session_id", F.lit("s")).withColumn("parser_version", F.when(F.col("seq") % 2 == 0, 1).otherwise(2))
+    return U.richest_claims(claims).select("agent", "content_id", "request_id", "parser_version", "seq", "input", "output")
+
+
+@query("pricing_explain", f"""{with_views("v_usage")}, {V.RATE_BANDS_SQL}, r AS (SELECT DISTINCT provider, model, CAST(created_at AS DATE) AS d, input FROM v_usage)
+  SELECT r.provider, r.model, strftime(r.d, '%Y-%m-%d %H:%M:%S') AS created_at, r.input, b.model IS NOT NULL AS found, b.pi AS input_picos, b.po AS output_picos, b.pr AS cache_read_picos FROM r LEFT JOIN bands b
+  ON r.model = b.model AND (b.provider IS NULL OR b.provider = CASE WHEN r.provider = 'alpha' THEN 'alpha' ELSE 'other' END) AND (b.dated IS NULL OR b.dated = (r.d IS NOT NULL))
+  AND (b.valid_from IS NULL OR r.d >= b.valid_from) AND (b.valid_to IS NULL OR r.d < b.valid_to) AND r.input > b.lo AND r.input <= b.hi""")
+def _explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = V.driver_corpus(spark, sf_dir).usage.select("provider", "model", F.date_trunc("day", "created_at").alias("created_at"), "input").distinct()
+    return shown(P.explain_pricing(asked, V.driver_rates(spark)).select("provider", "model", "created_at", "input", "found", "input_picos", "output_picos", "cache_read_picos"))
+
+
+query("context", f"""{with_views("v_usage")} SELECT seq, {AT("created_at")} AS created_at, model, input + cache_read + cache_write AS prompt_tokens, max(input + cache_read + cache_write) OVER (ORDER BY seq) AS peak
+  FROM v_usage WHERE agent = 'agent-3' AND session_id = (SELECT min(session_id) FROM v_usage WHERE agent = 'agent-3')""")(
+    corpus(lambda c: U.context(c, "agent-3", c.usage.where("agent = 'agent-3'").agg(F.min("session_id")).first()[0]))
+)
+
+# -- tools, events, files
+_TOOL = """SELECT name, kind, count(*) AS calls, count(*) FILTER (status = 'error') AS errors, count(DISTINCT (agent, session_id)) AS sessions, count(duration_ms) AS timed,
+  CAST(coalesce(sum(duration_ms), 0) AS BIGINT) AS total_ms, coalesce(avg(duration_ms), 0.0) AS avg_ms, coalesce(max(duration_ms), 0) AS max_ms FROM v_tool_calls GROUP BY ALL"""
+query("tool_stats", with_views("v_tool_calls") + _TOOL)(corpus(lambda c: A.tool_stats(c)))
+for _group, _key in {"label": "label", "status": "status", "agent": "agent", "day": "strftime(v_session_events.at, '%Y-%m-%d')", "detail": "detail"}.items():
+    query(f"event_stats_by_{_group}", f"""{with_views("v_session_events")} SELECT kind, {_key} AS "group", count(*) AS events, count(*) FILTER (status IN ('error', 'blocked')) AS failures,
+      count(DISTINCT (agent, session_id)) AS sessions, CAST(sum(coalesce(duration_ms, 0)) AS BIGINT) AS total_ms, avg(coalesce(duration_ms, 0)) AS avg_ms, max(coalesce(duration_ms, 0)) AS max_ms FROM v_session_events GROUP BY ALL""")(corpus(lambda c, g=_group: A.event_stats(c, group=g)))
+for _group, _key in {"day": "strftime(started_at, '%Y-%m-%d')", "agent": "agent", "file": "file"}.items():
+    query(f"changes_by_{_group}", f"""{with_views("v_tool_calls", "v_sessions")}, p AS (SELECT t.*, CASE WHEN file_path LIKE '/%' THEN file_path ELSE concat(s.cwd, '/', file_path) END AS file FROM v_tool_calls t JOIN v_sessions s USING (agent, session_id)
+      WHERE lines_added IS NOT NULL OR lines_removed IS NOT NULL) SELECT {_key} AS "group", CAST(sum(lines_added) AS BIGINT) AS added, CAST(sum(lines_removed) AS BIGINT) AS removed, count(*) AS changes, count(DISTINCT file) AS files,
+      count(DISTINCT (agent, session_id)) AS sessions FROM p GROUP BY ALL""")(corpus(lambda c, g=_group: A.changes(c, g)))
+query("compactions", f"""{with_views("v_session_events")} SELECT agent, count(*) AS compactions, count(DISTINCT session_id) AS sessions, count(*) FILTER (label = 'manual') AS manual,
+  avg(CASE WHEN pre > 0 THEN pre END) AS avg_before FROM (SELECT *, CAST(regexp_extract(payload, '([0-9]+)', 1) AS BIGINT) AS pre FROM v_session_events WHERE kind = 'compaction') GROUP BY agent""")(corpus(lambda c: A.compactions(c)))
+query("pull_requests", f"""{with_views("v_session_events")} SELECT detail AS url, arg_max(label, (v_session_events.at, label)) AS repository, count(DISTINCT (agent, session_id)) AS sessions, {AT("max(v_session_events.at)")} AS last_at
+  FROM v_session_events WHERE kind = 'pr_link' GROUP BY detail""")(corpus(lambda c: A.pull_requests(c)))
+query("session_events_page", f"""{with_views("v_session_events")} SELECT agent, session_id, message_seq, kind, {AT("v_session_events.at")} AS "at", label, status, duration_ms, detail, payload FROM v_session_events WHERE kind IN ('turn', 'hook') AND status = 'error'
+  AND v_session_events.at >= TIMESTAMP '2024-01-03' AND v_session_events.at < TIMESTAMP '2024-01-21' ORDER BY duration_ms DESC, v_session_events.at DESC, message_seq DESC LIMIT 100 OFFSET 10""")(
+    corpus(lambda c: A.session_events(c, kind="turn, hook", status="error", since="2024-01-03", until="2024-01-20", sort="duration", offset=10))
+)
+query("commands_page", f"""{with_views("v_tool_calls", "v_sessions")} SELECT command, {AT("started_at")} AS started_at, agent, session_id, seq, cwd FROM v_tool_calls JOIN v_sessions USING (agent, session_id)
+  WHERE kind = 'shell' AND command <> '' AND contains(lower(command), 'target1') ORDER BY v_tool_calls.started_at DESC, session_id DESC, seq DESC, agent DESC LIMIT 1000""")(corpus(lambda c: A.commands(c, query="Target1", limit=1000)))
+query("export_commands_fish", f"""{with_views("v_tool_calls")} SELECT concat('- cmd: ', command, chr(10), '  when: ', CAST(CAST(floor(epoch(started_at)) AS BIGINT) AS VARCHAR)) AS value FROM v_tool_calls WHERE kind = 'shell' AND command <> ''""")(
+    corpus(lambda c: A.export_commands(c, "fish"))
+)
+query("tools_of_session", f"""{with_views("v_tool_calls")} SELECT seq, message_seq, call_id, name, kind, status, {AT("started_at")} AS started_at, duration_ms, lines_added, lines_removed, CASE WHEN command <> '' THEN command ELSE file_path END AS detail
+  FROM v_tool_calls WHERE agent = 'agent-2' AND session_id = (SELECT max(session_id) FROM v_tool_calls WHERE agent = 'agent-2')""")(
+    corpus(lambda c: A.tools(c, "agent-2", c.tool_calls.where("agent = 'agent-2'").agg(F.max("session_id")).first()[0], compact=True))
+)
+query("recent_files", f"""{with_views("v_tool_calls")}, n AS (SELECT * FROM v_tool_calls WHERE kind IN ('file_write', 'file_edit') AND file_path <> '' ORDER BY started_at DESC, session_id DESC, seq DESC LIMIT 120),
+  r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY started_at DESC, session_id DESC, seq DESC) AS rn FROM n)
+  SELECT file_path, kind, agent, session_id, {AT("started_at")} AS started_at FROM r WHERE rn = 1 ORDER BY r.started_at DESC, file_path LIMIT 20""")(corpus(A.recent_files))
+
+# -- overview
+_STATS = {
+    "counts": f"""{with_views("v_sessions", "v_messages", "v_tool_calls", "v_artifacts")} SELECT (SELECT count(*) FROM v_sessions) AS sessions, (SELECT count(*) FROM v_messages) AS messages, (SELECT count(*) FROM v_tool_calls) AS tool_calls,
+      (SELECT count(*) FROM v_tool_calls WHERE kind = 'shell' AND command <> '') AS commands, (SELECT count(*) FROM v_artifacts) AS artifacts, 0 AS findings""",
+    "totals": f"""WITH {OWNED} SELECT CAST(sum(total_tokens) AS BIGINT) AS tokens, CAST(sum(reported_cost_nanos + estimated_nanos) AS BIGINT) AS cost_nanos, CAST(sum(CASE WHEN day >= '2024-01-01' THEN reported_cost_nanos + estimated_nanos ELSE 0 END) AS BIGINT) AS cost_month_nanos,
+      CAST(sum(unpriced_input + unpriced_output + unpriced_cache_read + unpriced_cache_write) AS BIGINT) AS unpriced_tokens, CAST(sum(CASE WHEN day >= '2024-01-01' THEN unpriced_input + unpriced_output + unpriced_cache_read + unpriced_cache_write ELSE 0 END) AS BIGINT) AS unpriced_month_tokens FROM priced""",
+    "agents": f"""WITH {OWNED}, u AS (SELECT agent, CAST(sum(total_tokens) AS BIGINT) AS tokens, CAST(sum(reported_cost_nanos + estimated_nanos) AS BIGINT) AS cost_nanos, CAST(sum(unpriced_input + unpriced_output + unpriced_cache_read + unpriced_cache_write) AS BIGINT) AS unpriced_tokens FROM priced GROUP BY agent)
+      SELECT agent, count(*) AS sessions, {AT("max(modified_at)")} AS last_active, any_value(tokens) AS tokens, any_value(cost_nanos) AS cost_nanos, any_value(unpriced_tokens) AS unpriced_tokens FROM v_sessions LEFT JOIN u USING (agent) GROUP BY agent""",
+    "activity": f"""WITH {OWNED}, d AS (SELECT day, CAST(sum(reported_cost_nanos + estimated_nanos) AS BIGINT) AS cost_nanos, CAST(sum(unpriced_input + unpriced_output + unpriced_cache_read + unpriced_cache_write) AS BIGINT) AS unpriced_tokens FROM priced GROUP BY day),
+      s AS (SELECT strftime(modified_at, '%Y-%m-%d') AS day, count(*) AS sessions FROM v_sessions GROUP BY 1) SELECT day, sessions, coalesce(cost_nanos, 0) AS cost_nanos, coalesce(unpriced_tokens, 0) AS unpriced_tokens FROM s LEFT JOIN d USING (day)""",
+    "workspaces": f"""{with_views("v_sessions")} SELECT cwd, count(*) AS sessions, {AT("max(modified_at)")} AS last_active FROM v_sessions GROUP BY cwd ORDER BY max(modified_at) DESC, cwd LIMIT 8""",
+    "tool_kinds": f"""{with_views("v_tool_calls")} SELECT kind, count(*) AS calls FROM v_tool_calls GROUP BY kind""",
+}
+for _facet, _sql in _STATS.items():
+    query(f"stats_{_facet}", _sql)(corpus(lambda c, f=_facet: A.stats(c, "2024-01-31")[f]))
+
+# -- sessions
+_SUMMARY = f"""WITH {OWNED}, u AS (SELECT agent, session_id, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write,
+    CAST(sum(reported_cost_nanos + estimated_nanos) AS BIGINT) AS cost_nanos, CAST(sum(unpriced_input + unpriced_output + unpriced_cache_read + unpriced_cache_write) AS BIGINT) AS unpriced_tokens FROM priced GROUP BY ALL),
+  n AS (SELECT agent, session_id, count(*) AS n FROM ev GROUP BY ALL)
+  SELECT agent, session_id, title, {AT("created_at")} AS created_at, {AT("modified_at")} AS modified_at, workspace, n AS messages, n AS tool_calls, coalesce(input, 0) AS input, coalesce(output, 0) AS output, coalesce(cache_read, 0) AS cache_read,
+    coalesce(cache_write, 0) AS cache_write, coalesce(cost_nanos, 0) AS cost_nanos, coalesce(unpriced_tokens, 0) AS unpriced_tokens FROM v_sessions s JOIN n USING (agent, session_id) LEFT JOIN u USING (agent, session_id)"""
+_SHOWN = ["agent", "session_id", "title", "created_at", "modified_at", "workspace", "messages", "tool_calls", "input", "output", "cache_read", "cache_write", "cost_nanos", "unpriced_tokens"]
+query("session_summary", _SUMMARY)(corpus(lambda c: S.session_summary(c).select(*_SHOWN)))
+query("sessions_page", _SUMMARY + " WHERE s.modified_at >= TIMESTAMP '2024-01-10' AND s.modified_at < TIMESTAMP '2024-01-21' ORDER BY s.modified_at DESC, session_id DESC, agent LIMIT 50 OFFSET 5")(
+    corpus(lambda c: S.sessions(c, since="2024-01-10", until="2024-01-20", offset=5).select(*_SHOWN))
+)
+query("sessions_by_model", _SUMMARY + " WHERE s.agent = 'agent-1' AND contains(lower(s.title), 'view') AND EXISTS (SELECT 1 FROM ev e WHERE e.agent = s.agent AND e.session_id = s.session_id AND e.event_id % 4 = 0) ORDER BY s.modified_at DESC, session_id DESC LIMIT 500")(
+    corpus(lambda c: S.sessions(c, agent="agent-1", title="VIEW", model="m-large", limit=500).select(*_SHOWN))
+)
+query("compare_sessions", f"""WITH a AS ({_SUMMARY}), l AS (SELECT * FROM a WHERE concat(session_id, '/', agent) = (SELECT min(concat(session_id, '/', agent)) FROM v_sessions)), r AS (SELECT * FROM a WHERE concat(session_id, '/', agent) = (SELECT max(concat(session_id, '/', agent)) FROM v_sessions)),
+  t AS ({" UNION ALL ".join(f"SELECT '{m}' AS metric, CAST(l.{m} AS BIGINT) AS \"left\", CAST(r.{m} AS BIGINT) AS \"right\" FROM l, r" for m in ("messages", "tool_calls", "input", "output", "cache_read", "cache_write", "cost_nanos", "unpriced_tokens"))})
+  SELECT metric, "left", "right", "right" - "left" AS delta FROM t""")(corpus(lambda c: _compare(c)))
+
+
+def _compare(c: Corpus) -> DataFrame:
+    name = F.concat_ws("/", "session_id", "agent")
+    first, last = c.sessions.agg(F.min(name), F.max(name)).first()
+    return S.compare_sessions(c, tuple(first.split("/")[::-1]), tuple(last.split("/")[::-1])).where("metric not in ('subagents', 'duration_seconds')")
+
+
+query("subagent_closure", f"""WITH RECURSIVE {V.view_sql("v_relations")}, below AS (SELECT agent, to_id AS root, from_id AS node FROM v_relations WHERE from_id <> to_id
+  UNION SELECT b.agent, b.root, r.from_id FROM below b JOIN v_relations r ON r.agent = b.agent AND r.to_id = b.node WHERE r.from_id <> b.root) SELECT * FROM below WHERE root <> node""")(corpus(lambda c: S.descendants(c.relations)))
+query("relations_of_session", f"""{with_views("v_relations")} SELECT kind, 'out' AS direction, to_id AS other_id, CAST(NULL AS BIGINT) AS at_seq FROM v_relations WHERE from_id = 'c5' UNION ALL SELECT kind, 'in', from_id, NULL FROM v_relations WHERE to_id = 'c5'""")(
+    corpus(lambda c: S.relations_of(c, "conv", "c5"))
+)
+query("transcript_page", f"""{with_views("v_messages")} SELECT seq, external_id, role, kind, {AT("created_at")} AS created_at, provider, model, text, effort FROM v_messages WHERE agent = 'agent-0' AND session_id = (SELECT max(session_id) FROM v_messages WHERE agent = 'agent-0')
+  ORDER BY seq LIMIT 200""")(corpus(lambda c: S.transcript(c, "agent-0", c.messages.where("agent = 'agent-0'").agg(F.max("session_id")).first()[0]).select("seq", "external_id", "role", "kind", "created_at", "provider", "model", "text", "effort")))
+
+# -- links
+query("pair_results", f"""{with_views("v_tool_calls")}, r AS (SELECT agent, session_id, seq, max(seq + d) AS line FROM v_tool_calls, (VALUES (-1), (2), (5)) x(d) WHERE d > 0 AND seq % 7 <> 0 GROUP BY ALL)
+  SELECT t.agent, t.session_id, t.seq, CASE WHEN line IS NULL THEN status WHEN line % 2 = 0 THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN line IS NOT NULL AND line % 3 > 0 THEN (line % 3) * 1000 ELSE duration_ms END AS duration_ms FROM v_tool_calls t LEFT JOIN r USING (agent, session_id, seq)""")(corpus(lambda c: _paired(c)))
+
+
+def _paired(c: Corpus) -> DataFrame:
+    """Calls with several late results each, one of them before the call, some ended before they began."""
+    calls = c.tool_calls.withColumn("started_ms", F.lit(1_000_000).cast("bigint"))
+    late = calls.where("seq % 7 <> 0").select("agent", "session_id", "call_id", F.explode(F.array(F.col("seq") - 1, F.col("seq") + 2, F.col("seq") + 5)).alias("line"), F.col("seq").alias("call_seq"))
+    late = late.where("line > call_seq").select("agent", "session_id", "call_id", "line", F.when(F.col("line") % 2 == 0, "error").otherwise("ok").alias("status"), F.lit("").alias("excerpt"), F.lit("").alias("result"), F.when(F.col("line") % 3 > 0, 1_000_000 + F.col("line") % 3 * 1000).otherwise(F.lit(999_000)).alias("at_ms"), F.lit(None).cast("bigint").alias("lines_added"), F.lit(None).cast("bigint").alias("lines_removed"))
+    return L.pair_results(calls, late).select("agent", "session_id", "seq", "status", "duration_ms")
+
+
+query("resolve_relations", f"""{with_views("v_relations")}, e AS (SELECT *, (CAST(substr(from_id, 2) AS INT)) % 8 AS tried FROM v_relations), s AS (SELECT DISTINCT concat('c', CAST(conv_id AS VARCHAR)) AS id FROM conversations WHERE conv_id % 3 <> 0)
+  SELECT from_id, to_id, f AND t AS resolved, CASE WHEN f AND t THEN tried ELSE tried + 1 END AS attempts FROM (SELECT *, from_id IN (SELECT id FROM s) AS f, to_id IN (SELECT id FROM s) AS t FROM e) WHERE (f AND t) OR tried + 1 <= 5""")(corpus(lambda c: _resolved(c)))
+
+
+def _resolved(c: Corpus) -> DataFrame:
+    edges = c.relations.withColumn("attempts", (F.substring("from_id", 2, 20).cast("int") % 8)).withColumn("resolved", F.lit(False))
+    ids = c.relations.select("agent", F.col("from_id").alias("session_id")).union(c.relations.select("agent", "to_id")).distinct().where("cast(substr(session_id, 2) as int) % 3 <> 0")
+    return L.resolve_relations(edges, ids).select("from_id", "to_id", "resolved", "attempts")
+
+
+query("resolve_links", r"""WITH d AS (SELECT doc_id, doc_id % 3 AS k, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, regexp_replace(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), '[ \\t\\r]+\\n', chr(10), 'g') AS key FROM d WHERE k = 0),
+  x AS (SELECT DISTINCT a.doc_id AS artifact, b.doc_id AS call, concat('s', CAST(b.doc_id % 11 AS VARCHAR)) AS session_id, b.doc_id AS seq FROM p a JOIN p b ON a.key = b.key WHERE b.doc_id % 2 = 0 AND a.key <> ''),
+  m AS (SELECT doc_id AS artifact, doc_id AS seq, concat('s', CAST(doc_id % 11 AS VARCHAR)) AS session_id FROM d WHERE k = 1)
+  SELECT 'plan' AS kind, concat('doc', CAST(artifact AS VARCHAR)) AS name, session_id, max(seq) AS anchor_seq FROM x GROUP BY ALL
+  UNION ALL SELECT 'memory', concat('proj/doc', CAST(artifact AS VARCHAR)), session_id, seq FROM m""")(lambda spark, sf_dir: _linked(spark, sf_dir))
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans written by calls with the same text, and memories written by calls to their path."""
+    c = V.driver_corpus(spark, sf_dir)
+    number = F.substring("name", 4, 20).cast("bigint")
+    base = c.artifacts.select("agent", "kind", "name", "content", number.alias("n"), F.concat(F.lit("s"), (number % 11).cast("string")).alias("session_id"))
+    made = base.select("agent", "kind", F.when(F.col("kind") == "memory", F.concat(F.lit("proj/"), "name")).otherwise(F.col("name")).alias("name"), "content")
+    plan = base.where("kind = 'plan' and n % 2 = 0").select("agent", "session_id", F.col("n").alias("message_seq"), F.lit("ExitPlanMode").alias("name"), F.lit("other").alias("kind"), F.to_json(F.struct(F.concat(F.lit("  "), "content", F.lit(" \n")).alias("plan"))).alias("input"), F.lit("").alias("file_path"))
+    memory = base.where("kind = 'memory'").select("agent", "session_id", F.col("n").alias("message_seq"), F.lit("Write").alias("name"), F.lit("file_write").alias("kind"), F.lit("{}").alias("input"), F.concat(F.lit("/home/u/.x/projects/proj/memory/"), "name").alias("file_path"))
+    c = c.with_tables(artifacts=made, tool_calls=plan.unionByName(memory))
+    return L.resolve_links(c).select("kind", "name", "session_id", "anchor_seq")
+
+
+# -- search, scan, artifacts
+_DOC_TEXTS = """d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id % 3 <> 2)"""
+
+
+def _index(spark: SparkSession, sf_dir: str):
+    return X.build_search_index(X.search_documents(V.driver_corpus(spark, sf_dir).with_tables(messages=spark.createDataFrame([], V.schema("messages")))))
+
+
+query("search_index_terms", rf"""WITH {_DOC_TEXTS}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) AS term FROM d WHERE regexp_matches(t, '\S'))
+  SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM w GROUP BY term""")(
+    lambda spark, sf_dir: _index(spark, sf_dir).postings.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
+)
+query("search_hits", rf"""WITH {_DOC_TEXTS}, h AS (SELECT doc_id, concat(' ', array_to_string(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+'), ' '), ' ') AS words FROM d)
+  SELECT concat('artifact/docs/', CASE doc_id % 3 WHEN 0 THEN 'plan' ELSE 'memory' END, '/doc', CAST(doc_id AS VARCHAR)) AS doc FROM h WHERE contains(words, ' of the ') AND contains(words, ' that ')""")(
+    lambda spark, sf_dir: _all_hits(_index(spark, sf_dir), "of_the that")
+)
+
+
+def _all_hits(index, q: str) -> DataFrame:
+    """Every hit, without the page limit of the operation."""
+    return X.hits(index, q).select("doc")
+
+
+query("secret_scan", rf"""WITH {_DOC_TEXTS.replace(" WHERE doc_id % 3 <> 2", "")}, f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, '\b((?:AKIA|ASIA)[0-9A-Z]{{16}})\b', 1))) AS secret FROM d)
+  SELECT concat('docs/', CASE doc_id % 3 WHEN 0 THEN 'plan' WHEN 1 THEN 'memory' ELSE 'file_history' END, '/doc', CAST(doc_id AS VARCHAR)) AS natural_key, concat(left(secret, 4), '***') AS redacted,
+  1 + length(substr(t, 1, instr(t, secret))) - length(replace(substr(t, 1, instr(t, secret)), chr(10), '')) AS line FROM f JOIN d USING (doc_id)""")(
+    corpus(lambda c: C.find_secrets(C.scan_documents(c).where("entity_type = 'artifact'"), C.default_rules(c.spark).where("rule_id = 'aws-access-key'")).select("natural_key", "redacted", "line"))
+)
+
+
+@query("scan_rules", rf"""WITH {_DOC_TEXTS.replace(" WHERE doc_id % 3 <> 2", "")}, f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, '\b((?:AKIA|ASIA)[0-9A-Z]{{16}})\b', 1))) AS secret FROM d)
+  SELECT 'aws-access-key' AS rule_id, count(*) AS findings, count(*) FILTER (doc_id % 2 = 0) AS active, count(DISTINCT doc_id) AS entities FROM f HAVING count(*) > 0""")
+def _scan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of one rule, with those in odd documents ignored."""
+    c = V.driver_corpus(spark, sf_dir)
+    found = C.find_secrets(C.scan_documents(c).where("entity_type = 'artifact'"), C.default_rules(spark).where("rule_id = 'aws-access-key'")).withColumn("found_at", F.lit(None).cast("timestamp"))
+    odd = found.where("cast(regexp_extract(natural_key, '([0-9]+)$', 1) as bigint) % 2 = 1")
+    ignores = odd.select("entity_type", F.concat_ws("|", "rule_id", "natural_key", F.lit("*")).alias("natural_key"), F.lit("scan_ignore").alias("kind"), F.lit("").alias("value"), F.lit(None).cast("timestamp").alias("created_at"))
+    return C.scan_rules(c.with_tables(findings=found, annotations=ignores)).drop("last_seen")
+
+
+query("artifact_kinds", f"""{with_views("v_artifacts")} SELECT kind, count(*) AS artifacts FROM v_artifacts GROUP BY kind""")(corpus(lambda c: A.artifact_kinds(c)))
+query("artifact_sizes", f"""{with_views("v_artifacts")} SELECT agent, kind, name, strlen(content) AS bytes FROM v_artifacts WHERE kind = 'plan'""")(corpus(lambda c: A.artifacts(c, kind="plan", limit=1 << 30).drop("modified_at")))
+
+# -- keeping a corpus
+query("prune_sessions", f"""{with_views("v_sessions", "v_usage")} SELECT agent, session_id, count(u.seq) AS requests FROM v_sessions LEFT JOIN v_usage u USING (agent, session_id) WHERE right(session_id, 1) <> '3' GROUP BY ALL""")(corpus(lambda c: _pruned(c)))
+
+
+def _pruned(c: Corpus) -> DataFrame:
+    listing = c.sessions.where(~F.col("session_id").endswith("3")).select(F.col("source_path").alias("path"))
+    left = K.prune(c, listing, ["/logs"])
+    return left.sessions.join(left.usage, ["agent", "session_id"], "left").groupBy("agent", "session_id").agg(F.count("seq").alias("requests"))
+
+
+query("merge_archive", f"""{with_views("v_sessions")} SELECT agent, session_id, CASE WHEN right(session_id, 1) IN ('1', '2') THEN 'imported' ELSE 'ingest' END AS origin FROM v_sessions""")(
+    corpus(lambda c: K.merge_archive(c.with_tables(sessions=c.sessions.where("right(session_id, 1) not in ('1', '2')")), c).sessions.select("agent", "session_id", "origin"))
+)
+query("reconcile_source", f"""{with_views("v_tool_calls")} SELECT session_id, call_id FROM v_tool_calls WHERE NOT (right(session_id, 1) = '4' AND seq % 5 = 0)""")(corpus(lambda c: _reconciled(c)))
+
+
+def _reconciled(c: Corpus) -> DataFrame:
+    stored = c.tool_calls.select("session_id", "call_id", "seq", F.col("session_id").alias("source_path"), F.lit("ingest").alias("origin"))
+    complete = stored.where("right(session_id, 1) = '4'").select("source_path").distinct()
+    seen = stored.where("seq % 5 <> 0")
+    return K.reconcile_source(stored, seen, ["call_id"], complete).select("session_id", "call_id")
+
+
+query("changed_sources", """SELECT page_id FROM pages WHERE page_id % 4 = 0 OR page_id % 10 = 3""")(lambda spark, sf_dir: _changed(spark, sf_dir))
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as sources: every fourth one is new, every tenth has another size."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("string").alias("path"), F.length("html").cast("bigint").alias("length"), F.lit(0).alias("mtime"))
+    known = pages.where("cast(path as bigint) % 4 <> 0").select("path", F.when(F.col("path").cast("bigint") % 10 == 3, 0).otherwise(F.col("length")).cast("bigint").alias("length"), "mtime", F.lit("").alias("content_hash"), F.lit(1).alias("parser_version"))
+    return K.changed_sources(pages, known, 1).select(F.col("path").cast("bigint").alias("page_id"))
+
+
+query("upsert_sessions", f"""{with_views("v_messages")} SELECT agent, session_id, max(seq) AS seq FROM v_messages GROUP BY ALL""")(
+    corpus(lambda c: K.upsert(c.messages.where("seq % 2 = 0").groupBy("agent", "session_id").agg(F.max("seq").alias("seq")), c.messages.select("agent", "session_id", "seq"), ["agent", "session_id"], "seq"))
+)
+
+# -- scalar functions over whole texts
+query("text_scalars", """SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, chr(10), '')) + CASE WHEN right(t, 1) = chr(10) THEN 0 ELSE 1 END END AS lines, strlen(t) AS bytes,
+  CASE WHEN regexp_matches(lower(t), 'rate limit|usage limit|quota') THEN 'rate_limit' WHEN regexp_matches(lower(t), 'context window|context_length') THEN 'invalid_request' WHEN regexp_matches(lower(t), 'oauth|unauthorized|api key|authentication') THEN 'authentication_failed'
+    WHEN regexp_matches(lower(t), 'socket|connection|fetch failed|unable to connect|timed out') THEN 'connection' WHEN regexp_matches(lower(t), 'overloaded|server error|internal error|service unavailable') THEN 'server_error' ELSE 'error' END AS error_class
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")(lambda spark, sf_dir: _scalars(spark, sf_dir))
+
+
+def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", Z.text_line_count(t).alias("lines"), F.octet_length(t).cast("bigint").alias("bytes"), Z.error_class(t).alias("error_class"))
