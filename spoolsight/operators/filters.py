@@ -16,9 +16,9 @@ LIMITS = {
 }
 # First words of user turns that an agent wrote itself, and kinds of artifacts that are searched.
 SYNTHETIC_PROMPTS = {
-    "claude": ["<command-name>", "<local-command", "<command-message>", "<system-reminder>", "Caveat:", "[Request interrupted"],
-    "codex": ["<environment_context>", "<user_instructions>", "# AGENTS.md", "<INSTRUCTIONS>"],
-    "pi": ["<skill", "<system-reminder>"],
+    "claude": ["<local-command-caveat>", "<command-name>", "<command-message>", "<command-args>", "<local-command-stdout>", "<bash-input>", "<bash-stdout>", "<bash-stderr>", "<system-reminder>"],
+    "codex": ["<environment_context>", "<permissions", "<recommended_plugins>", "<user_instructions>"],
+    "pi": ["<skill "],
 }
 SEARCHABLE_ARTIFACTS = ("plan", "todo_list", "task_group", "paste", "memory", "usage_facet")
 

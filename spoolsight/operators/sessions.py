@@ -46,15 +46,16 @@ def session_costs(c: Corpus) -> DataFrame:
     )
 
 
-def session_summary(c: Corpus) -> DataFrame:
+def session_summary(c: Corpus, only: DataFrame | None = None) -> DataFrame:
     """One row per session: counts of messages, tool calls and subagents, parent and type of a subagent, tokens and cost.
 
-    Children are counted first and joined then, each child table shuffled once by session.
+    Children are counted first and joined then, each child table shuffled once by session. ``only`` restricts which sessions
+    are shown; who owns a shared turn is still decided among all.
     """
     below = c.relations.where(F.col("kind") == SUBAGENT)
     up = below.groupBy("agent", F.col("from_id").alias("session_id")).agg(F.min("to_id").alias("parent_id"), F.min(F.get_json_object("evidence", "$.agentType")).alias("subagent_type"))
     down = below.groupBy("agent", F.col("to_id").alias("session_id")).agg(F.count(F.lit(1)).alias("subagents"))
-    out = c.sessions
+    out = c.sessions if only is None else c.sessions.join(only.select(*KEY), KEY, "left_semi")
     for child, name in ((c.messages, "messages"), (c.tool_calls, "tool_calls")):
         out = out.join(child.groupBy(*KEY).agg(F.count(F.lit(1)).alias(name)), KEY, "left")
     out = out.join(up, KEY, "left").join(down, KEY, "left").join(session_costs(c), KEY, "left")
@@ -78,8 +79,7 @@ def sessions(c: Corpus, agent: str | None = None, project: str | None = None, mo
         chosen = chosen.join(hidden, KEY, "left_anti")
     order = [F.desc("modified_at"), F.desc("session_id"), F.col("agent")]
     paged = filters.page(chosen, order, "sessions", limit, offset)
-    shown = session_summary(c.with_tables(sessions=c.sessions)).join(paged.select(*KEY), KEY, "left_semi")
-    return shown.orderBy(*order)
+    return session_summary(c, paged).orderBy(*order)
 
 
 def relations_of(c: Corpus, agent: str, session_id: str) -> DataFrame:
@@ -100,10 +100,10 @@ def session(c: Corpus, agent: str, session_id: str) -> dict[str, DataFrame]:
     if root.isEmpty():
         raise LookupError(f"no session {agent}/{session_id}")
     below = descendants(c.relations, SUBAGENT, root).select("agent", F.col("node").alias("session_id"))
-    children = session_summary(c).join(below, KEY, "left_semi")
+    children = session_summary(c, below)
     calls = c.tool_calls.where(own)
     return {
-        "summary": session_summary(c.with_tables(sessions=root)),
+        "summary": session_summary(c, root),
         "relations": relations_of(c, agent, session_id),
         "models": c.messages.where(own & (F.col("model") != "")).select("model").distinct().orderBy("model"),
         "events": c.session_events.where(own).groupBy(*KEY).agg(F.collect_list("kind").alias("kinds")).select(*KEY, F.expr("map_from_entries(transform(array_distinct(kinds), k -> struct(k, cast(size(filter(kinds, x -> x = k)) as bigint))))").alias("counts")),
@@ -118,7 +118,7 @@ def compare_sessions(c: Corpus, a: tuple[str, str], b: tuple[str, str]) -> DataF
     """Metrics of two sessions side by side: metric, left, right, delta. Missing or reversed times make a duration of 0."""
     pick = lambda x: (F.col("agent") == x[0]) & (F.col("session_id") == x[1])
     chosen = c.sessions.where(pick(a) | pick(b))
-    rows = session_summary(c.with_tables(sessions=chosen))
+    rows = session_summary(c, chosen)
     seconds = F.greatest(F.coalesce(F.unix_seconds("modified_at") - F.unix_seconds("created_at"), F.lit(0)), F.lit(0))
     names = ["messages", "tool_calls", "subagents", "input", "output", "cache_read", "cache_write", "cost_nanos", "unpriced_tokens", "duration_seconds"]
     tall = rows.withColumn("duration_seconds", seconds).select(*KEY, F.expr(f"stack({len(names)}, " + ", ".join(f"'{n}', cast({n} as bigint)" for n in names) + ") as (metric, value)"))

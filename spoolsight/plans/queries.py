@@ -205,8 +205,7 @@ query("sessions_page", _SUMMARY + " WHERE s.modified_at >= TIMESTAMP '2024-01-10
 query("sessions_by_model", _SUMMARY + " WHERE s.agent = 'agent-1' AND contains(lower(s.title), 'view') AND EXISTS (SELECT 1 FROM ev e WHERE e.agent = s.agent AND e.session_id = s.session_id AND e.event_id % 4 = 0) ORDER BY s.modified_at DESC, session_id DESC LIMIT 500")(
     corpus(lambda c: S.sessions(c, agent="agent-1", title="VIEW", model="m-large", limit=500).select(*_SHOWN))
 )
-query("compare_sessions", f"""WITH a AS ({_SUMMARY}), l AS (SELECT * FROM a WHERE concat(session_id, '/', agent) = (SELECT min(concat(session_id, '/', agent)) FROM v_sessions)), r AS (SELECT * FROM a WHERE concat(session_id, '/', agent) = (SELECT max(concat(session_id, '/', agent)) FROM v_sessions)),
-  t AS ({" UNION ALL ".join(f"SELECT '{m}' AS metric, CAST(l.{m} AS BIGINT) AS \"left\", CAST(r.{m} AS BIGINT) AS \"right\" FROM l, r" for m in ("messages", "tool_calls", "input", "output", "cache_read", "cache_write", "cost_nanos", "unpriced_tokens"))})
+query("compare_sessions", f"""WITH a AS ({_SUMMARY}), t AS ({" UNION ALL ".join(f"SELECT '{m}' AS metric, arg_min({m}, concat(session_id, '/', agent)) AS \"left\", arg_max({m}, concat(session_id, '/', agent)) AS \"right\" FROM a" for m in ("messages", "tool_calls", "input", "output", "cache_read", "cache_write", "cost_nanos", "unpriced_tokens"))})
   SELECT metric, "left", "right", "right" - "left" AS delta FROM t""")(corpus(lambda c: _compare(c)))
 
 
@@ -290,19 +289,19 @@ def _all_hits(index, q: str) -> DataFrame:
     return X.hits(index, q).select("doc")
 
 
-query("secret_scan", rf"""WITH {_DOC_TEXTS.replace(" WHERE doc_id % 3 <> 2", "")}, f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, '\b((?:AKIA|ASIA)[0-9A-Z]{{16}})\b', 1))) AS secret FROM d)
+query("secret_scan", rf"""WITH {_DOC_TEXTS.replace(" WHERE doc_id % 3 <> 2", "")}, f AS (SELECT * FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, '(?i)\b(?:api_?key|secret|token|password|passwd)\b\s*[:=]\s*[''"]?([A-Za-z0-9_/+.=-]{{12,}})', 1))) AS secret FROM d) WHERE list_aggregate(string_split(secret, ''), 'entropy') >= 3.0)
   SELECT concat('docs/', CASE doc_id % 3 WHEN 0 THEN 'plan' WHEN 1 THEN 'memory' ELSE 'file_history' END, '/doc', CAST(doc_id AS VARCHAR)) AS natural_key, concat(left(secret, 4), '***') AS redacted,
   1 + length(substr(t, 1, instr(t, secret))) - length(replace(substr(t, 1, instr(t, secret)), chr(10), '')) AS line FROM f JOIN d USING (doc_id)""")(
-    corpus(lambda c: C.find_secrets(C.scan_documents(c).where("entity_type = 'artifact'"), C.default_rules(c.spark).where("rule_id = 'aws-access-key'")).select("natural_key", "redacted", "line"))
+    corpus(lambda c: C.find_secrets(C.scan_documents(c).where("entity_type = 'artifact'"), C.default_rules(c.spark).where("rule_id = 'assigned-secret'")).select("natural_key", "redacted", "line"))
 )
 
 
-@query("scan_rules", rf"""WITH {_DOC_TEXTS.replace(" WHERE doc_id % 3 <> 2", "")}, f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, '\b((?:AKIA|ASIA)[0-9A-Z]{{16}})\b', 1))) AS secret FROM d)
-  SELECT 'aws-access-key' AS rule_id, count(*) AS findings, count(*) FILTER (doc_id % 2 = 0) AS active, count(DISTINCT doc_id) AS entities FROM f HAVING count(*) > 0""")
+@query("scan_rules", rf"""WITH {_DOC_TEXTS.replace(" WHERE doc_id % 3 <> 2", "")}, f AS (SELECT * FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, '(?i)\b(?:api_?key|secret|token|password|passwd)\b\s*[:=]\s*[''"]?([A-Za-z0-9_/+.=-]{{12,}})', 1))) AS secret FROM d) WHERE list_aggregate(string_split(secret, ''), 'entropy') >= 3.0)
+  SELECT 'assigned-secret' AS rule_id, count(*) AS findings, count(*) FILTER (doc_id % 2 = 0) AS active, count(DISTINCT doc_id) AS entities FROM f HAVING count(*) > 0""")
 def _scan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of one rule, with those in odd documents ignored."""
     c = V.driver_corpus(spark, sf_dir)
-    found = C.find_secrets(C.scan_documents(c).where("entity_type = 'artifact'"), C.default_rules(spark).where("rule_id = 'aws-access-key'")).withColumn("found_at", F.lit(None).cast("timestamp"))
+    found = C.find_secrets(C.scan_documents(c).where("entity_type = 'artifact'"), C.default_rules(spark).where("rule_id = 'assigned-secret'")).withColumn("found_at", F.lit(None).cast("timestamp"))
     odd = found.where("cast(regexp_extract(natural_key, '([0-9]+)$', 1) as bigint) % 2 = 1")
     ignores = odd.select("entity_type", F.concat_ws("|", "rule_id", "natural_key", F.lit("*")).alias("natural_key"), F.lit("scan_ignore").alias("kind"), F.lit("").alias("value"), F.lit(None).cast("timestamp").alias("created_at"))
     return C.scan_rules(c.with_tables(findings=found, annotations=ignores)).drop("last_seen")
