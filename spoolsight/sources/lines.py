@@ -15,7 +15,7 @@ def read_jsonl(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     A session log is one file and is read whole by one task, up to Spark's limit for one value; files are spread over tasks. Blank
     lines are skipped but counted. Lines of over 10 MiB are skipped and reported; a bad line does not stop the file.
     """
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(list(paths), wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "value")).select("path", (F.col("n") + 1).cast("bigint").alias("line"), "value").where(F.trim("value") != "")
     return split_lines(lines)
 
