@@ -149,8 +149,9 @@ def project_dir(name: Column) -> Column:
 
 def zsh_escaped(s: Column) -> Column:
     """Line ends of a command for an extended zsh history: two backslashes before each, one after an empty line."""
-    doubled = F.regexp_replace(s, r"(?<=[^\n])\n", "\\\\\\\\\\\\\\\\\n")
-    return F.when(s.contains("\n"), F.regexp_replace(doubled, r"(?<![\\])\n", "\\\\\\\\\n")).otherwise(s)
+    lines = F.split(s, "\n", -1)
+    heads = F.transform(F.slice(lines, 1, F.size(lines) - 1), lambda x: F.concat(x, F.when(x == "", "\\").otherwise("\\\\")))
+    return F.array_join(F.concat(heads, F.slice(lines, -1, 1)), "\n")
 
 
 def fish_escaped(s: Column) -> Column:
