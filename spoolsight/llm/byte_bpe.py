@@ -16,12 +16,14 @@ from collections.abc import Callable
 
 import numpy as np
 
+from spoolsight.llm.resident import resident
+
 # The split rule of the byte-level pre-tokenizer, spelled out for common characters. A text with any other
 # character is "unusual": the library itself then splits it.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-ώЀ-ҁҊ-ԯぁ-ゖァ-ヺ一-鿯가-힣"
 SPLIT = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?[^\s\d{LETTERS}]+|\s+(?!\S)|\s+")
 UNUSUAL = re.compile(rf"[^\x00-\x1b\x20-\x84\x86-\xb1\xb4\xb6-\xb8\xbb\xbf×÷‐-‧‰-⁞₠-₿{LETTERS}]")
-KEPT_PIECES = 700_000
+KEPT_PIECES = 500_000
 
 
 def byte_alphabet() -> list[str]:
@@ -161,13 +163,6 @@ def _halves(n: int, leaf: int) -> list[int]:
     return [n * k // parts for k in range(parts + 1)] if n else [0]
 
 
-_opened: dict[tuple[int, int], ByteBpe] = {}
-
-
 def opened(source: str, leaf: int = 16) -> ByteBpe:
     """This worker's tokenizer for ``source``."""
-    key = (hash(source), leaf)
-    if key not in _opened:
-        _opened.clear()
-        _opened[key] = ByteBpe(source, leaf)
-    return _opened[key]
+    return resident(("tokenizer", hash(source), leaf), lambda: ByteBpe(source, leaf))

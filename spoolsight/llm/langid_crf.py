@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spoolsight.llm.resident import resident
+
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
 NOTHING = BUCKETS  # the row of weights that stays 0
 BLOCK = 512
-WORDS_AT_ONCE = 400_000
-KEPT_WORDS = 300_000
+WORDS_AT_ONCE = 200_000
+KEPT_WORDS = 250_000
 FLOOR = -25.0
 UNKNOWN = "und"
 
@@ -284,14 +286,8 @@ class _Worker:
         return [out[e - n : e] for e, n in zip(ends, lengths, strict=True)]
 
 
-_workers: dict[str, _Worker] = {}
-
-
 def _worker(key: str, model: Model) -> _Worker:
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = _Worker(model)
-    return _workers[key]
+    return resident(("languages", key), lambda: _Worker(model))
 
 
 def _letters(words: list[str]) -> list[str]:
@@ -300,7 +296,7 @@ def _letters(words: list[str]) -> list[str]:
 
 
 def _identified(worker: _Worker, texts: pa.Array) -> Iterator[tuple[str, float, np.ndarray, list[str]]]:
-    """Language, score, word probabilities and words of each text, worked off about 400,000 words at a time."""
+    """Language, score, word probabilities and words of each text, worked off about 200,000 words at a time."""
     languages = worker.model.languages
     held: list[list[str]] = []
     size = 0

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoolsight.llm.byte_bpe import KEPT_PIECES, ByteBpe, opened
+from spoolsight.llm.byte_bpe import KEPT_PIECES, ByteBpe
+from spoolsight.llm.resident import resident
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SHORT = 64
@@ -211,12 +212,12 @@ class PrefixCounter:
             if p in specials:
                 self._within_special(text, begin, at, p, out)
                 begin = at + len(p)
-            elif k + 1 < len(pieces) and pieces[k + 1] not in specials and p.isspace() and not pieces[k + 1].isspace():
+            elif k + 1 < len(pieces) and pieces[k + 1] not in specials and _white(p) and not _white(pieces[k + 1]):
                 # the piece before a word, less the blank that the word takes: as a prefix, the run is one piece
                 nxt = pieces[k + 1]
                 if nxt[0] == " ":
                     self._run_end(p + " ", at + len(p), out)
-            elif k + 1 < len(pieces) and p.isspace() and pieces[k + 1].isspace() and pieces[k + 1] not in specials:
+            elif k + 1 < len(pieces) and _white(p) and _white(pieces[k + 1]) and pieces[k + 1] not in specials:
                 # a run whose last character no word takes is two pieces
                 self._run_end(p + pieces[k + 1], at + len(p), out)
             at += len(p)
@@ -233,7 +234,7 @@ class PrefixCounter:
     def _within_special(self, text: str, begin: int, at: int, special: str, out: np.ndarray) -> None:
         """Prefixes that end inside a special token split as ordinary text, from the last word border before it on."""
         start = at
-        while start > begin and not (text[start].isspace() and start < at and not text[start - 1].isspace() and text[start - 1] not in "\x1c\x1d\x1e\x1f" and text[start] not in "\x1c\x1d\x1e\x1f"):
+        while start > begin and not (start < at and _white(text[start]) and not _white(text[start - 1])):
             start -= 1
         before, whole = int(out[start:at].sum()), 1
         had = before
@@ -243,6 +244,11 @@ class PrefixCounter:
         out[at + len(special) - 1] = before + whole - had
 
 
+def _white(s: str) -> bool:
+    """White space in the sense of the split rule; Python also counts four control characters as such."""
+    return s.isspace() and not ("\x1c" <= s[0] <= "\x1f")
+
+
 def _char_steps(flat: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> bytes:
     """Counts after each byte of pieces end to end (``bounds``: where they begin), as changes at each character."""
     ends = np.ones(len(flat), bool)
@@ -284,15 +290,9 @@ class _Table:
         return out
 
 
-_counters: dict[int, PrefixCounter] = {}
-
-
 def counter(source: str) -> PrefixCounter:
     """This worker's counter for a tokenizer file."""
-    if hash(source) not in _counters:
-        _counters.clear()
-        _counters[hash(source)] = PrefixCounter(opened(source), source)
-    return _counters[hash(source)]
+    return resident(("prefix counter", hash(source)), lambda: PrefixCounter(ByteBpe(source), source))
 
 
 def prefix_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

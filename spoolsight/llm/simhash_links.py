@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoolsight.llm.graph import components
+from spoolsight.llm.resident import release
 from spoolsight.llm.rows import repeat_rows
 from spoolsight.llm.store import written
 
@@ -52,6 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             fps: list[np.ndarray] = []
             held: list[list[int]] = []
