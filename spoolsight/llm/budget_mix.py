@@ -49,30 +49,45 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
 def fit(lengths: list[int], counts: list[int], budget: int, bound: int = BUDGET) -> list[int]:
     """How many documents of each length to take so that their lengths sum up to ``budget``, as near as can be.
 
-    First an equal share of every length is taken, rounded down; then, from the longest length on, whole documents while more
-    than ``bound`` of the budget is left. What is left is a bounded knapsack: over the documents not taken yet, dynamic
-    programming finds every sum up to the rest and the lengths that first made it. The greatest sum within the rest wins; if
-    one more document of the shortest length left comes nearer, it is added.
+    All of the budget but half of ``bound`` is met by an equal share of every length, from the longest on: what rounding one
+    length leaves over or short is carried to the next shorter ones. What is left, about half of ``bound``, is a bounded
+    knapsack over the documents not taken yet (or, should rounding have overshot, over those to give back). So a budget of
+    up to half of ``bound`` is all knapsack.
     """
     whole = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= whole:
         return list(counts)
-    taken = [c * budget // whole for c in counts]
+    order = sorted((k for k in range(len(lengths)) if lengths[k] > 0), key=lambda k: -lengths[k])
+    share, taken, carry = max(0, budget - bound // 2), [0] * len(lengths), 0
+    for k in order:
+        n, c = lengths[k], counts[k]
+        ideal = n * c * share // whole + carry
+        taken[k] = min(c, max(0, (2 * ideal + n) // (2 * n)))
+        carry = ideal - taken[k] * n
     rest = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
-    order = sorted(range(len(lengths)), key=lambda k: -lengths[k])
     for k in order:
-        if rest > bound and lengths[k] > 0:
-            more = min(counts[k] - taken[k], max(0, (rest - bound) // lengths[k] + 1), rest // lengths[k])
+        if rest > bound:
+            more = min(counts[k] - taken[k], rest // lengths[k])
             taken[k] += more
             rest -= more * lengths[k]
-    # Sums that can be made, as the bits of one number, and for each sum the step that first made it.
-    limit = (1 << rest + 1) - 1
-    sums, made = 1, {}
+    if rest >= 0:
+        more = _knapsack(lengths, [c - t for c, t in zip(counts, taken, strict=True)], order, rest)
+        return [t + m for t, m in zip(taken, more, strict=True)]
+    less = _knapsack(lengths, taken, order, -rest)
+    return [t - m for t, m in zip(taken, less, strict=True)]
+
+
+def _knapsack(lengths: list[int], counts: list[int], order: list[int], rest: int) -> list[int]:
+    """How many of each length sum up nearest to ``rest``: the greatest sum within it, or that and one more document of the
+    shortest length left where this comes nearer.
+
+    Dynamic programming over sums: the bits of one number say which sums can be made, and each sum remembers the step that
+    first made it, so that every step uses only documents that earlier ones left.
+    """
+    limit, sums, made = (1 << rest + 1) - 1, 1, {}
     for k in order:
-        n, left, step = lengths[k], counts[k] - taken[k], 1
-        if n <= 0 or n > rest:
-            continue
-        left = min(left, rest // n)
+        n, step = lengths[k], 1
+        left = min(counts[k], rest // n)
         while left and not sums >> rest & 1:
             step = min(step, left)
             new = sums << n * step & limit & ~sums
@@ -80,19 +95,16 @@ def fit(lengths: list[int], counts: list[int], budget: int, bound: int = BUDGET)
             for s in _bits(new):
                 made[s] = (k, step)
             left, step = left - step, 2 * step
-        if sums >> rest & 1:
-            break
-    best = sums.bit_length() - 1
-    at = best
+    took, at = [0] * len(lengths), sums.bit_length() - 1
+    short = rest - at
     while at:
         k, step = made[at]
-        taken[k] += step
+        took[k] += step
         at -= step * lengths[k]
-    short = rest - best
-    over = min((k for k in order if lengths[k] > 0 and counts[k] > taken[k]), key=lambda k: lengths[k], default=None)
+    over = min((k for k in order if counts[k] > took[k]), key=lambda k: lengths[k], default=None)
     if over is not None and lengths[over] - short < short:
-        taken[over] += 1
-    return taken
+        took[over] += 1
+    return took
 
 
 def _bits(number: int) -> Iterable[int]:
@@ -111,7 +123,7 @@ def mix(
     1. Size (words) of every text, where it is read; only id, source, size and a seeded hash go on.
     2. Documents are counted by source and exact size. Sources' targets follow from the counts (``targets``).
     3. A source gives all its documents as often as fits (0 to ``most`` - 1 times); ``fit`` meets the rest of its budget and
-       says how many documents of each size go once more. It sees a source's counts by size, never its documents.
+       says how many documents of each size go once more (word-less ones never count). It sees a source's counts by size, never its documents.
     4. Of each source and size, that many are chosen by smallest seeded hash. A group of many documents is split into
        hash ranges of about 4096; whole ranges are taken by their counts, and ranks are made only within a range.
 
