@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spoolsight.corpus import Corpus
@@ -18,6 +19,9 @@ from spoolsight.operators import search as X
 from spoolsight.operators import sessions as S
 from spoolsight.operators import usage as U
 from spoolsight.plans import driver_views as V
+from spoolsight.sources import claude, shared
+from spoolsight.sources.lines import split_lines
+from spoolsight.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -357,3 +361,66 @@ query("text_scalars", """SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE length(t) -
 def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", Z.text_line_count(t).alias("lines"), F.octet_length(t).cast("bigint").alias("bytes"), Z.error_class(t).alias("error_class"))
+
+
+# -- streams that run to the end of what is there, as a catch-up run does
+def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view as a stream over the event table, which is a file or a folder of files."""
+    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(kinds).parquet(f"{sf_dir}/events.parquet*")
+    ev = spark.sql(V.VIEWS["ev"].replace("FROM events", "FROM {events}"), events=raw)
+    return spark.sql(V.VIEWS[name].replace("FROM ev", "FROM {ev}"), ev=ev)
+
+
+def _finish(df: DataFrame, mode: str) -> DataFrame:
+    """Run a stream to its end into a memory table and give that."""
+    name = "stream_" + uuid.uuid4().hex
+    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.table(name)
+
+
+@query("stream_tool_counts", f"""{with_views("v_tool_calls")} SELECT strftime(CAST(started_at AS DATE), '%Y-%m-%d') AS day, name, count(*) AS n, count(*) FILTER (status IN ('error', 'blocked')) AS failures, CAST(sum(coalesce(duration_ms, 0)) AS BIGINT) AS total_ms FROM v_tool_calls GROUP BY ALL""")
+def _stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = _finish(live.stream_counts(_streamed(spark, sf_dir, "v_tool_calls"), ["name"]), "complete")
+    return counted.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("stream_usage_blocks", f"""{with_views("v_usage")} SELECT strftime(make_timestamp((CAST(floor(epoch(created_at)) AS BIGINT) // 18000) * 18000000000), '%Y-%m-%d %H:%M:%S') AS start, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_read) AS BIGINT) AS cache_read,
+  CAST(sum(cache_write) AS BIGINT) AS cache_write, count(*) AS requests FROM v_usage WHERE created_at IS NOT NULL GROUP BY 1""")
+def _stream_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(_finish(live.stream_blocks(_streamed(spark, sf_dir, "v_usage")), "complete").drop("end", "sessions").where("start is not null"))
+
+
+# -- log adapters over logs that are derived from the tables
+def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as session logs of one JSON record per line: path, line, value."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role in ('user', 'assistant')")
+    at = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 1000 + F.col("turn")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    tokens = F.when(F.col("role") == "assistant", F.struct(F.length("text").alias("input_tokens"), (F.col("turn") + 1).alias("output_tokens")))
+    call = F.array(F.struct(F.lit("text").alias("type"), F.col("text"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name")), F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.concat_ws("-", F.lit("t"), "conv_id", "turn").alias("id"), F.lit("Bash").alias("name")))
+    said = F.struct(F.concat_ws("-", F.lit("m"), "conv_id", "turn").alias("id"), F.col("role"), F.lit("model").alias("model"), call.alias("content"), tokens.alias("usage"))
+    record = F.to_json(F.struct(F.col("role").alias("type"), F.concat_ws("-", F.lit("u"), "conv_id", "turn").alias("uuid"), at.alias("timestamp"), F.lit("/w").alias("cwd"), said.alias("message")))
+    return turns.select(F.concat(F.lit("/logs/projects/p/c"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), (F.col("turn") + 1).cast("bigint").alias("line"), record.alias("value"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> Corpus:
+    good, _ = split_lines(_log_lines(spark, sf_dir))
+    return claude.from_lines(spark, good.select("path", "line", "value"))
+
+
+_TURNS = "WITH t AS (SELECT concat('c', CAST(conv_id AS VARCHAR)) AS session_id, conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq FROM conversations WHERE role IN ('user', 'assistant'))"
+query("ingest_messages", f"{_TURNS} SELECT session_id, seq, role, coalesce(text, '') AS text FROM t")(lambda spark, sf_dir: _ingested(spark, sf_dir).messages.select("session_id", "seq", "role", "text"))
+query("ingest_usage", f"{_TURNS} SELECT session_id, seq, concat('m-', CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS content_id, length(text) AS input, turn + 1 AS output FROM t WHERE role = 'assistant'")(lambda spark, sf_dir: _ingested(spark, sf_dir).usage.select("session_id", "seq", "content_id", "input", "output"))
+query("ingest_tool_calls", f"{_TURNS} SELECT session_id, seq, seq AS message_seq, 'Bash' AS name, 'shell' AS kind FROM t")(lambda spark, sf_dir: _ingested(spark, sf_dir).tool_calls.select("session_id", "seq", "message_seq", "name", "kind"))
+query("ingest_sessions", f"{_TURNS} SELECT session_id, strftime(make_timestamp((1700000000 + conv_id * 1000 + min(turn)) * 1000000), '%Y-%m-%d %H:%M:%S') AS created_at, strftime(make_timestamp((1700000000 + conv_id * 1000 + max(turn)) * 1000000), '%Y-%m-%d %H:%M:%S') AS modified_at, '/w' AS workspace FROM t GROUP BY session_id, conv_id")(
+    lambda spark, sf_dir: shown(_ingested(spark, sf_dir).sessions.select("session_id", "created_at", "modified_at", "workspace"))
+)
+query("counter_deltas", f"""{with_views("v_usage")}, c AS (SELECT agent, seq, input AS last, sum(input) OVER (PARTITION BY agent, seq // 50 ORDER BY seq) AS total FROM v_usage)
+  SELECT agent, seq, CASE WHEN was IS NULL OR total < was THEN total ELSE total - was END AS delta FROM (SELECT *, lag(total) OVER (PARTITION BY agent ORDER BY seq) AS was FROM c)""")(corpus(lambda c: _deltas(c)))
+
+
+def _deltas(c: Corpus) -> DataFrame:
+    """Cumulative counters that start anew every so often, and the usage per turn read off them."""
+    run = Window.partitionBy("agent", F.expr("seq div 50")).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = c.usage.select("agent", F.lit("s").alias("session_id"), F.col("seq").alias("line"), F.struct(F.sum("input").over(run).alias("total_tokens")).alias("total"), F.lit(None).cast("struct<total_tokens:bigint>").alias("last"))
+    return shared.counter_deltas(rows, ["total_tokens"]).select("agent", F.col("line").alias("seq"), F.col("delta.total_tokens").alias("delta"))

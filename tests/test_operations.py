@@ -1,0 +1,169 @@
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from spoolsight.corpus import SCHEMAS, Corpus, schema, union_corpora, vocabulary_issues
+from spoolsight.operators import activity, archive, links, pricing, scan, search, sessions, usage
+
+D = datetime(2026, 3, 1)
+
+
+def table(spark, name, rows):
+    names = [f.name for f in schema(name)]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], SCHEMAS[name])
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    s = lambda i, **k: {"agent": "a", "session_id": i, "title": f"Title {i}", "created_at": D, "modified_at": D + timedelta(hours=len(i)), "cwd": "/w", "workspace": "/w", "git_branch": "", "origin": "ingest", "source_path": f"/logs/{i}"} | k
+    u = lambda i, seq, **k: {"agent": "a", "session_id": i, "seq": seq, "content_id": "", "request_id": "", "provider": "", "model": "m", "created_at": D, "input": 10, "output": 1, "cache_read": 0, "cache_write": 0, "cache_write_1h": 0, "parser_version": 1} | k
+    t = lambda i, seq, **k: {"agent": "a", "session_id": i, "seq": seq, "message_seq": seq, "call_id": f"c{seq}", "name": "Bash", "kind": "shell", "status": "ok", "file_path": "", "command": "", "input": "{}", "started_at": D + timedelta(minutes=seq)} | k
+    return Corpus(
+        spark, rates=pricing.rates_from_json(spark, '{"models": {"m": {"input": 1e-6, "output": 1e-6}}}'),
+        sessions=table(spark, "sessions", [s("p"), s("kid"), s("grandkid"), s("alone", workspace="/v", cwd="/v")]),
+        relations=table(spark, "relations", [{"agent": "a", "from_id": "kid", "to_id": "p", "kind": "subagent_of", "evidence": '{"agentType": "helper"}'}, {"agent": "a", "from_id": "grandkid", "to_id": "kid", "kind": "subagent_of", "evidence": "{}"}, {"agent": "a", "from_id": "alone", "to_id": "p", "kind": "resumed_from", "evidence": '{"branchUuid": "x1"}'}]),
+        messages=table(spark, "messages", [{"agent": "a", "session_id": "p", "seq": k, "external_id": f"x{k}", "role": "assistant", "kind": "message", "model": "m", "created_at": D, "text": text, "thinking": "hm", "content": '{"content": [{"type": "image", "source": {"data": "aGk="}}]}', "images": [("image/png", "/content/0/source/data"), ("text/html", "/content/0/source/data")] if k == 1 else [], "effort": "high" if k else ""} for k, text in enumerate(["The quick brown fox", "quick fox, the end. key: sk-abcdefghij0123456789XYZ", " "])]),
+        usage=table(spark, "usage", [u("p", 0, content_id="c", request_id="r"), u("kid", 1, content_id="c", request_id="r"), u("kid", 2), u("p", 1, created_at=None)]),
+        tool_calls=table(spark, "tool_calls", [t("p", 0, command="ls -l", lines_added=None), t("p", 1, command="echo 1\necho 2"), t("p", 2, kind="file_edit", name="Edit", file_path="x.py", lines_added=3, lines_removed=1), t("alone", 3, kind="file_edit", name="Edit", file_path="/v/x.py", lines_added=2), t("p", 4, kind="file_write", name="Write", file_path="/h/projects/q/memory/m.md"), t("p", 5, name="ExitPlanMode", kind="other", input='{"plan": "Do it  \\nnow\\n"}')]),
+        session_events=table(spark, "session_events", [{"agent": "a", "session_id": "p", "message_seq": 0, "kind": k, "at": D, "label": "l", "status": "", "duration_ms": 0, "detail": ""} for k in ("turn", "turn", "hook")]),
+        artifacts=table(spark, "artifacts", [{"agent": "a", "kind": "plan", "name": "p.md", "content": " Do it\nnow"}, {"agent": "a", "kind": "memory", "name": "q/m.md", "content": "quick note"}, {"agent": "a", "kind": "shell_snapshot", "name": "z", "content": "quick"}]),
+        artifact_links=table(spark, "artifact_links", [{"agent": "a", "kind": "plan", "name": "gone.md", "session_id": "p", "relation": "produced", "evidence": "rule", "anchor_seq": 1}, {"agent": "a", "kind": "plan", "name": "p.md", "session_id": "p", "relation": "produced", "evidence": "rule", "anchor_seq": 1}, {"agent": "a", "kind": "paste", "name": "x", "session_id": "p", "relation": "belongs_to", "evidence": "name"}]),
+    )
+
+
+def test_sessions_and_detail(spark, corpus):
+    assert [r.session_id for r in sessions.sessions(corpus).collect()] == ["alone", "p"]
+    assert {r.session_id for r in sessions.sessions(corpus, subagents=True, project="/w/").collect()} == {"p", "kid", "grandkid"}
+    assert [r.session_id for r in sessions.sessions(corpus, model="m").collect()] == ["p"]
+    d = sessions.session(corpus, "a", "p")
+    s = d["summary"].first()
+    assert (s.messages, s.tool_calls, s.subagents, s.cost_nanos) == (3, 5, 1, 22_000)
+    assert {r.session_id: (r.parent_id, r.subagent_type) for r in d["subagents"].collect()} == {"kid": ("p", "helper"), "grandkid": ("kid", "")}
+    assert d["subagent_totals"].first().cost_nanos == 11_000
+    assert d["events"].first().counts == {"turn": 2, "hook": 1}
+    assert tuple(d["lines"].first()) == (3, 1, 1)
+    assert [(r.kind, r.direction, r.other_id, r.at_seq) for r in d["relations"].collect()] == [("resumed_from", "in", "alone", 1), ("subagent_of", "in", "kid", None)]
+    assert [(bytes(r.data), r.media_type) for r in sessions.message_images(corpus, "a", "p", 1).collect()] == [(b"hi", "image/png")]
+    assert sessions.transcript(corpus, "a", "p", from_seq=1, thinking=True, full=True, limit=1).columns[-2:] == ["thinking", "content"]
+    cycle = corpus.relations.unionByName(table(spark, "relations", [{"agent": "a", "from_id": "p", "to_id": "grandkid", "kind": "subagent_of"}]))
+    assert {(r.root, r.node) for r in sessions.descendants(cycle).collect()} == {(x, y) for x in ("p", "kid", "grandkid") for y in ("p", "kid", "grandkid") if x != y}
+
+
+def test_invariants_of_cost(spark, corpus):
+    rows = usage.priced_usage(corpus)
+    daily, members = usage.build_rollups(rows)
+    total = rows.agg(F.sum("amount_nanos")).first()[0]
+    assert total == daily.agg(F.sum("cost_nanos")).first()[0] == sessions.session_costs(corpus).agg(F.sum("cost_nanos")).first()[0] == 33_000
+    assert rows.where("reported_cost_nanos + estimated_nanos <> amount_nanos").count() == 0 and rows.count() == 3
+    assert usage.usage_from_rollups(daily, members, "agent").first().sessions == 2 == usage.usage(corpus, "agent").first().sessions
+    assert usage.blocks(corpus, as_of="2026-03-01 01:00:00").first().active and usage.blocks(corpus).agg(F.sum("requests")).first()[0] == 2
+    assert [(r.level, r.requests) for r in usage.effort(corpus).collect()] == [("", 1), ("high", 1)]
+    assert usage.context(corpus, "a", "kid").first().peak == 10
+
+
+def test_rollups_are_replaced_by_day(spark, corpus, tmp_path):
+    daily, members = usage.build_rollups(usage.priced_usage(corpus))
+    usage.write_rollups(daily, members, str(tmp_path))
+    usage.write_rollups(daily.where("false"), members.where("false"), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/daily").count() == daily.count()
+
+
+def test_activity(spark, corpus, tmp_path):
+    assert {r.group: (r.added, r.files) for r in activity.changes(corpus, "file").collect()} == {"/w/x.py": (3, 1), "/v/x.py": (2, 1)}
+    assert [r.command for r in activity.commands(corpus).collect()] == ["echo 1\necho 2", "ls -l"]
+    assert [r.value for r in activity.export_commands(corpus, "zsh", str(tmp_path / "h"), limit=1).collect()] == [": 1772323260:0;echo 1\\\\\necho 2"]
+    assert activity.tools(corpus, "a", "p", from_seq=1, to_seq=2, compact=True).collect()[1].detail == "x.py"
+    assert activity.tool(corpus, "a", "p", 2).first().lines_added == 3
+    assert [r.file_path for r in activity.recent_files(corpus).collect()][0] == "/h/projects/q/memory/m.md"
+    assert activity.artifact(corpus, "a", "plan", "p.md")["sessions"].count() == 1
+    counts = activity.stats(corpus, "2026-03-02")["counts"].first()
+    assert (counts.sessions, counts.commands, counts.findings) == (4, 2, 0)
+
+
+def test_links(corpus):
+    plan = {(r.name, r.kind): (r.action, r.anchor_seq) for r in links.reconcile_links(corpus.artifact_links, links.expected_links(corpus, links.default_rules())).collect()}
+    assert plan == {("gone.md", "plan"): ("delete", 1), ("p.md", "plan"): ("move", 5), ("x", "paste"): ("keep", None), ("q/m.md", "memory"): ("add", 4)}
+    assert {r.name for r in links.resolve_links(corpus).collect()} == {"p.md", "x", "q/m.md"}
+
+
+def test_search(corpus, tmp_path):
+    index = search.build_search_index(search.search_documents(corpus))
+    index.write(str(tmp_path), 2)
+    for i in (index, search.read_index(corpus.spark, str(tmp_path))):
+        names = lambda q, **k: [r.doc for r in search.search(i, q, **k).collect()]  # noqa: B023,E731
+        assert sorted(names("quick")) == ["artifact/a/memory/q/m.md", "message/a/p/0", "message/a/p/1"]
+        assert names("quick-fox") == ["message/a/p/1"] and names("QUICK fox the", limit=1) == ["message/a/p/0"] and names('"[quick]" AND') == []
+        assert names("") == [] and names("?!") == [] and names("quick", agent="b") == []
+    assert search.search(index, "brown").select(search.for_agents(F.col("snippet")).alias("s")).first().s == "The quick **brown** fox"
+
+
+def test_scan_ignores_and_increments(spark, corpus):
+    found, state = scan.secret_scan(corpus)
+    rows = found.collect()
+    assert [(r.rule_id, r.entity_type, r.natural_key, r.redacted, r.line) for r in rows if r.rule_id == "api-key"] == [("api-key", "message", "a/p/1", "sk-a***", 1)]
+    found = spark.createDataFrame(found.collect(), found.schema)
+    state = spark.createDataFrame(state.collect(), state.schema)
+    again, _ = scan.secret_scan(corpus, prior=(found, state))
+    assert sorted(map(str, again.collect())) == sorted(map(str, found.select(*again.columns).collect()))
+    fresh, _ = scan.to_scan(scan.scan_documents(corpus), state, scan.rules_fingerprint(scan.default_rules(spark)))
+    assert fresh.count() == 0 and scan.to_scan(scan.scan_documents(corpus), state, "other rules")[0].count() == scan.scan_documents(corpus).count()
+    c = corpus.with_tables(findings=found)
+    assert scan.scan(c).count() == len(rows)
+    ignored = c.with_tables(annotations=scan.set_ignore(c.annotations, "message", "a/p/1", "api-key"))
+    assert scan.scan(ignored).count() == len(rows) - 1 and scan.scan(ignored, ignored=True).count() == len(rows)
+    assert {r.rule_id: r.active for r in scan.scan_rules(ignored).collect()}["api-key"] == 0
+    assert scan.clear_ignore(ignored.annotations, "message", "a/p/1", "api-key").count() == 0
+
+
+def test_archive(spark, corpus):
+    listing = spark.createDataFrame([("/logs/p",), ("/logs/kid",)], "path string")
+    left = archive.prune(corpus, listing, ["/logs"])
+    assert {r.session_id for r in left.sessions.collect()} == {"p", "kid"} and {r.from_id for r in left.relations.collect()} == {"kid"}
+    assert archive.prune(corpus, listing, ["/elsewhere"]).sessions.count() == 4
+    back = archive.merge_archive(left, corpus)
+    assert {(r.session_id, r.origin) for r in back.sessions.collect()} == {("p", "ingest"), ("kid", "ingest"), ("alone", "imported"), ("grandkid", "imported")}
+    assert archive.prune(back, listing, ["/logs"]).sessions.count() == 4 and back.tool_calls.count() == corpus.tool_calls.count() and back.artifacts.count() == 3
+    runs = table(spark, "ingest_runs", [{"run_id": k, "status": "ok", "files": 1} for k in range(150)])
+    kept, issues = archive.record_run(runs, table(spark, "issues", [{"run_id": 0}]), table(spark, "ingest_runs", [{"run_id": 200, "files": 3}]), table(spark, "issues", [{"run_id": 200, "severity": "error", "category": "size_limit"}]))
+    assert kept.count() == 100 and kept.where("run_id = 200").first().status == "partial" and issues.count() == 1
+    status = archive.archive_status(back.with_tables(ingest_runs=kept, issues=issues), built={"rollups": 1}, current={"rollups": 2, "scan": None}).first()
+    assert (status.imported_sessions, status.truncated, status.last_run, status.rollups_pending, status.scan_pending, status.dirty_sessions) == (2, 1, 200, True, False, 0)
+    assert archive.stale({"a": 1}, {"a": 1, "b": 2}) == ["b"]
+    known = spark.createDataFrame([("a", 1, 0, "h", 1), ("b", 2, 0, "h", 1)], "path string, length bigint, mtime int, content_hash string, parser_version int")
+    now = spark.createDataFrame([("a", 1, 0), ("b", 3, 0), ("c", 1, 0)], "path string, length bigint, mtime int")
+    assert {r.path for r in archive.changed_sources(now, known, 1).collect()} == {"b", "c"} and archive.changed_sources(now, known, 2).count() == 3
+    content = spark.createDataFrame([("b", b"x"), ("c", b"y")], "path string, content binary")
+    same = known.withColumn("content_hash", F.sha2(F.lit(b"x"), 256))
+    assert {r.path for r in archive.changed_sources(now, same, 1, content).collect()} == {"c"}
+    twice = archive.replace_sessions(archive.replace_sessions(corpus.messages, corpus.messages), corpus.messages)
+    assert twice.count() == corpus.messages.count()
+
+
+def test_union_and_vocabulary(spark, corpus):
+    assert union_corpora([corpus, corpus]).messages.count() == 6
+    odd = vocabulary_issues(corpus.tool_calls.withColumn("kind", F.lit("weird")), "kind", ("shell",), "vocabulary").collect()
+    assert [r.detail for r in odd] == ["kind=weird x6"]
+
+
+def test_plans_prune_columns_and_push_filters(spark, corpus, tmp_path):
+    corpus.sessions.write.parquet(str(tmp_path / "s"))
+    corpus.tool_calls.write.parquet(str(tmp_path / "t"))
+    c = corpus.with_tables(sessions=spark.read.parquet(str(tmp_path / "s")), tool_calls=spark.read.parquet(str(tmp_path / "t")))
+    plan = activity.commands(c, agent="a")._jdf.queryExecution().toString()  # noqa: SLF001
+    assert "PushedFilters" in plan and "EqualTo(kind,shell)" in plan and "old_text" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_package_works_without_the_corpus_operators(tmp_path):
+    """The entry module still imports where they are deleted."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and 'usage_by_model' in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True)
