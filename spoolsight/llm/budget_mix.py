@@ -14,7 +14,7 @@ from spoolsight.llm.store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUDGET = 1 << 16
-RANKED_AT_ONCE = 4096
+RANKED_AT_ONCE = 256
 
 
 def word_count(text: Column) -> Column:
@@ -125,7 +125,7 @@ def mix(
     3. A source gives all its documents as often as fits (0 to ``most`` - 1 times); ``fit`` meets the rest of its budget and
        says how many documents of each size go once more (word-less ones never count). It sees a source's counts by size, never its documents.
     4. Of each source and size, that many are chosen by smallest seeded hash. A group of many documents is split into
-       hash ranges of about 4096; whole ranges are taken by their counts, and ranks are made only within a range.
+       hash ranges of about 256; whole ranges are taken by their counts, and ranks are made only within a range.
 
     Returns doc_id, size, source_size, target, passes, taken (words, repeats counted), and the source and hash that the
     choice went by, one row per input row. Null text has
