@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Iterable
 from datetime import date, timedelta
@@ -45,8 +46,6 @@ def equal(column: Column, value: str | None) -> Column:
 
 def canonical_argument(path: str) -> str:
     """A caller's path in the form that the workspace column has."""
-    import posixpath
-
     path = path.strip()
     cleaned = posixpath.normpath(path) if path else ""
     cleaned = re.sub(r"^//+", "/", cleaned)

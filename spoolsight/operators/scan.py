@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoolsight.corpus import Corpus
-from spoolsight.functions.scalars import redacted
+from spoolsight.functions.scalars import ignore_keys, redacted
 
 RULES_SCHEMA = "rule_id string, description string, regex string, keywords array<string>, min_entropy double"
 # A small table of rules of our own.
@@ -109,7 +109,7 @@ def secret_scan(c: Corpus, rules: DataFrame | None = None, prior: tuple[DataFram
 
 def _with_ignores(c: Corpus) -> DataFrame:
     """Findings with whether the user ignores them: by this match, or by the rule in this entity whatever the match."""
-    keys = F.array(F.concat_ws("|", "rule_id", "natural_key", "redacted"), F.concat_ws("|", "rule_id", "natural_key", F.lit("*")))
+    keys = ignore_keys(F.col("rule_id"), F.col("natural_key"), F.col("redacted"))
     ignores = c.annotations.where("kind = 'scan_ignore'").select("entity_type", F.col("natural_key").alias("_key")).distinct()
     rows = c.findings.withColumn("_id", F.sha2(F.to_json(F.struct("rule_id", "entity_type", "natural_key", "redacted", "line")), 256))
     hit = rows.select("_id", "entity_type", F.explode(keys).alias("_key")).join(ignores, ["entity_type", "_key"], "left_semi").select("_id").distinct()

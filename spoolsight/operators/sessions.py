@@ -139,4 +139,7 @@ def message_images(c: Corpus, agent: str, session_id: str, seq: int) -> DataFram
     allowed = ["image/png", "image/jpeg", "image/gif", "image/webp"]
     rows = c.messages.where((F.col("agent") == agent) & (F.col("session_id") == session_id) & (F.col("seq") == seq))
     each = rows.select("content", F.posexplode("images").alias("image", "locator")).where(F.col("locator.media_type").isin(*allowed))
-    return each.select("image", "locator.media_type", F.try_to_binary(F.expr("get_json_object(content, concat('$', regexp_replace(regexp_replace(locator.pointer, '/([0-9]+)', '[$1]'), '/([A-Za-z_][A-Za-z_0-9]*)', '.$1')))"), F.lit("base64")).alias("data"))
+    indexed = F.regexp_replace("locator.pointer", "/([0-9]+)", "[$1]")
+    path = F.concat(F.lit("$"), F.regexp_replace(indexed, "/([A-Za-z_][A-Za-z_0-9]*)", ".$1"))
+    data = F.call_function("get_json_object", F.col("content"), path)  # its path differs from row to row
+    return each.select("image", "locator.media_type", F.try_to_binary(data, F.lit("base64")).alias("data"))

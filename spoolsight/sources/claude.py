@@ -10,7 +10,7 @@ from spoolsight.functions.scalars import DETAIL_BYTES, EDIT_BYTES, EXCERPT_BYTES
 from spoolsight.operators.filters import synthetic_prompt
 from spoolsight.operators.links import pair_results
 from spoolsight.sources.lines import read_jsonl
-from spoolsight.sources.shared import KEY, assemble, file_stem, fold_sessions, numbered
+from spoolsight.sources.shared import KEY, assemble, conform, file_stem, fold_sessions, numbered
 
 AGENT = "claude"
 LINE = (
@@ -84,13 +84,12 @@ def from_lines(spark: SparkSession, lines: DataFrame, issues: DataFrame | None =
     return assemble(
         spark, sessions=fold_sessions(titles.unionByName(named)), relations=resumed.unionByName(nested).withColumns({"resolved": F.lit(False), "attempts": F.lit(0)}), usage=usage,
         messages=messages.select(*KEY, "seq", F.col("uuid").alias("external_id"), F.col("parentUuid").alias("parent_id"), F.col("message.id").alias("content_id"), "role", "kind", F.col("timestamp").alias("created_at"), F.col("message.model").alias("model"), "cwd", F.col("is_side").alias("is_sidechain"), "text", "thinking", "images", "effort", F.col("requestId").alias("request_id"), F.to_json(F.struct(F.col("message.content").alias("content"))).alias("content")),
-        tool_calls=pair_results(_full(calls), results.withColumn("line", F.col("line"))), tool_results=results, session_events=session_events(raw, messages, results), **({"issues": issues} if issues is not None else {}),
+        tool_calls=pair_results(_unpaired(calls), results), tool_results=results, session_events=session_events(raw, messages, results), **({"issues": issues} if issues is not None else {}),
     )
 
 
-def _full(calls: DataFrame) -> DataFrame:
-    from spoolsight.sources.shared import conform
-
+def _unpaired(calls: DataFrame) -> DataFrame:
+    """Calls whose outcome is still to come."""
     blank = conform(calls, "tool_calls")
     return blank.withColumns({n: F.lit(None).cast("string") for n in ("status", "excerpt", "result")})
 

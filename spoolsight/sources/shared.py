@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoolsight.corpus import Corpus, schema
-from spoolsight.functions.scalars import TITLE_BYTES, truncate_bytes
+from spoolsight.functions.scalars import TITLE_BYTES, canonical_path, truncate_bytes
 
 KEY = ["agent", "session_id"]
 
@@ -52,8 +52,6 @@ def fold_sessions(rows: DataFrame) -> DataFrame:
         F.max_by("title", titled).alias("title"), F.min("at").alias("created_at"), F.max("at").alias("modified_at"), F.min_by("cwd", known("cwd")).alias("cwd"),
         F.max_by("git_branch", known("git_branch")).alias("git_branch"), F.min("source_path").alias("source_path"),
     )
-    from spoolsight.functions.scalars import canonical_path
-
     titled = folded.withColumn("title", truncate_bytes(F.coalesce("title", F.lit("")), TITLE_BYTES)).withColumn("origin", F.lit("ingest"))
     return conform(titled.withColumn("workspace", canonical_path(F.coalesce("cwd", F.lit("")))), "sessions")
 
