@@ -38,7 +38,7 @@ def load_rates(spark: SparkSession, path: str, prior: RateBook | None = None) ->
 
 
 def rates_from_json(spark: SparkSession, text: str, prior: RateBook | None = None) -> RateBook:
-    raw = spark.range(1).select(F.from_json(F.lit(text), BOOK_SCHEMA).alias("b")).select("b.*")
+    raw = spark.range(0, 1, 1, 1).select(F.from_json(F.lit(text), BOOK_SCHEMA).alias("b")).select("b.*")
     return _book(raw, prior)
 
 
@@ -136,13 +136,14 @@ def model_pairs(usage: DataFrame) -> DataFrame:
 
 
 def _local(table: DataFrame) -> DataFrame:
-    """A table of up to ``LOCAL_ROWS`` rows as local rows, which Spark broadcasts; a larger one as it is."""
+    """A table of up to ``LOCAL_ROWS`` rows as local rows in one partition, which joins broadcast and groupings need not
+    shuffle; a larger one as it is."""
     rows = table.limit(LOCAL_ROWS + 1).collect()
-    return table if len(rows) > LOCAL_ROWS else table.sparkSession.createDataFrame(rows, table.schema)
+    return table if len(rows) > LOCAL_ROWS else table.sparkSession.createDataFrame(rows, table.schema).coalesce(1)
 
 
 def _matched(usage: DataFrame, book: RateBook, pairs: DataFrame | None = None) -> DataFrame:
-    table = _local(bands(model_pairs(usage) if pairs is None else pairs, book)).select(*(F.col(c).alias(f"_{c}") for c in ("provider", "model", "dated", "valid_from", "valid_to", "key", "from_text", "to_text", "source", "lo", "hi", *(f"{f}_picos" for f in FIELDS))))
+    table = _local(bands(_local(model_pairs(usage) if pairs is None else pairs), book)).select(*(F.col(c).alias(f"_{c}") for c in ("provider", "model", "dated", "valid_from", "valid_to", "key", "from_text", "to_text", "source", "lo", "hi", *(f"{f}_picos" for f in FIELDS))))
     size = _positive("input") + _positive("cache_read") + _positive("cache_write")
     at, c = F.col("created_at"), F.col
     meets = (
