@@ -293,6 +293,23 @@ def _all_hits(index, q: str) -> DataFrame:
     return X.hits(index, q).select("doc")
 
 
+def _whole_index(spark: SparkSession, sf_dir: str):
+    """Index of all messages and all documents; documents are of the one kind 'plan', so that each can be searched."""
+    c = V.driver_corpus(spark, sf_dir)
+    return X.build_search_index(X.search_documents(c.with_tables(artifacts=c.artifacts.withColumn("kind", F.lit("plan")))))
+
+
+_ALL_TEXTS = f"""{with_views("v_messages", "v_artifacts")}, d AS (SELECT concat('message/', agent, '/', session_id, '/', CAST(seq AS VARCHAR)) AS doc, text AS t FROM v_messages
+  UNION ALL SELECT concat('artifact/', agent, '/plan/', name), content FROM v_artifacts)"""
+query("search_index_terms_whole", rf"""{_ALL_TEXTS}, w AS (SELECT doc, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) AS term FROM d WHERE regexp_matches(t, '\S'))
+  SELECT term, count(DISTINCT doc) AS documents, count(*) AS occurrences FROM w GROUP BY term""")(
+    lambda spark, sf_dir: _whole_index(spark, sf_dir).postings.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
+)
+for _name, _q, _words in (("search_hits_whole", "of_the that", (" of the ", " that ")), ("search_hits_messages", "click number", (" click ", " number "))):
+    query(_name, rf"""{_ALL_TEXTS}, h AS (SELECT doc, concat(' ', array_to_string(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+'), ' '), ' ') AS words FROM d)
+  SELECT doc FROM h WHERE contains(words, '{_words[0]}') AND contains(words, '{_words[1]}')""")(lambda spark, sf_dir, q=_q: _all_hits(_whole_index(spark, sf_dir), q))
+
+
 query("secret_scan", rf"""WITH {_DOC_TEXTS.replace(" WHERE doc_id % 3 <> 2", "")}, f AS (SELECT * FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, '(?i)\b(?:api_?key|secret|token|password|passwd)\b\s*[:=]\s*[''"]?([A-Za-z0-9_/+.=-]{{12,}})', 1))) AS secret FROM d) WHERE list_aggregate(string_split(secret, ''), 'entropy') >= 3.0)
   SELECT concat('docs/', CASE doc_id % 3 WHEN 0 THEN 'plan' WHEN 1 THEN 'memory' ELSE 'file_history' END, '/doc', CAST(doc_id AS VARCHAR)) AS natural_key, concat(left(secret, 4), '***') AS redacted,
   1 + length(substr(t, 1, instr(t, secret))) - length(replace(substr(t, 1, instr(t, secret)), chr(10), '')) AS line FROM f JOIN d USING (doc_id)""")(
