@@ -11,6 +11,7 @@ of up to ``leaf`` bytes goes to the library's BPE model as it is, a longer one b
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable
 
@@ -23,7 +24,11 @@ from spoolsight.llm.resident import resident
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-ώЀ-ҁҊ-ԯぁ-ゖァ-ヺ一-鿯가-힣"
 SPLIT = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?[^\s\d{LETTERS}]+|\s+(?!\S)|\s+")
 UNUSUAL = re.compile(rf"[^\x00-\x1b\x20-\x84\x86-\xb1\xb4\xb6-\xb8\xbb\xbf×÷‐-‧‰-⁞₠-₿{LETTERS}]")
-KEPT_PIECES = 700_000
+#: The table of pieces holds so many, none of over so many characters, so that its bytes are bounded too.
+KEPT_PIECES, KEPT_LENGTH = 400_000, 64
+#: Pieces are joined by a byte that UTF-8 never has; the library cuts them apart again.
+JOIN, JOINED = "\udcff", 0xFF
+PIECES_AT_ONCE = 1024
 
 
 def byte_alphabet() -> list[str]:
@@ -38,6 +43,7 @@ class ByteBpe:
 
     def __init__(self, source: str, leaf: int = 16):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         spec = json.loads(source)
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
@@ -46,10 +52,11 @@ class ByteBpe:
         self.library = Tokenizer.from_str(source)
         self.library.no_truncation()
         self.library.no_padding()
-        self.raw = Tokenizer(self.library.model)  # no pre-tokenizer: BPE over exactly the characters given
+        self.raw = Tokenizer(self.library.model)  # BPE over exactly the characters between two blanks
+        self.raw.pre_tokenizer = CharDelimiterSplit(" ")
         self.leaf = leaf
         chars = byte_alphabet()
-        self.to_chars = {b: c for b, c in enumerate(chars)}
+        self.to_chars = {b: c if b != JOINED else " " for b, c in enumerate(chars)}
         self.from_chars = {ord(c): b for b, c in enumerate(chars)}
         self.specials = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.cut_specials = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
@@ -62,6 +69,9 @@ class ByteBpe:
             self.token_bytes[i] = bytes(map(self.from_chars.__getitem__, map(ord, token))) if token not in self.specials else token.encode()
         for token, i in self.specials.items():
             self.token_bytes[i] = token.encode()
+        if not self.vocab.keys() >= set(chars):
+            raise ValueError("the vocabulary lacks some byte")
+        self.lengths = np.array([len(t) for t in self.token_chars])
         self.known: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
@@ -84,10 +94,35 @@ class ByteBpe:
 
     def bpe(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each text of vocabulary characters, taken as unsplit; one parallel library call."""
-        return [e.ids for e in self.raw.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [np.frombuffer(p, "<u4").tolist() for p in self._packed([" ".join(some) for some in _runs(pieces)], [np.array([len(p) for p in some]) for some in _runs(pieces)])]
+
+    def _packed(self, joined: list[str], sizes: list[np.ndarray]) -> list[bytes]:
+        """Ids, as little-endian unsigned 32-bit integers, of each text of vocabulary characters among those joined by blanks.
+
+        ``sizes``: how many characters each has. Tokens never cross a blank and lose no character, so a text's tokens end
+        where the running sum of token lengths is the running sum of sizes.
+        """
+        out: list[bytes] = []
+        for encoding, size in zip(self.raw.encode_batch_fast(joined, add_special_tokens=False), sizes, strict=True):
+            ids = np.array(encoding.ids, "<u4")
+            ends = 4 * np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(size)) + 4
+            packed, begin = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(packed[begin:end])
+                begin = end
+        return out
+
+    def unsplit(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of pieces that need no halving."""
+        joined, sizes = [], []
+        for some in _runs(pieces):
+            raw = JOIN.join(some).encode("utf-8", "surrogateescape")
+            joined.append(raw.decode("latin-1").translate(self.to_chars))
+            sizes.append(np.diff(np.flatnonzero(np.frombuffer(b"\xff" + raw + b"\xff", "u1") == JOINED)) - 1)
+        return self._packed(joined, sizes)
 
     def learn(self, pieces: list[str]) -> None:
-        """Put the little-endian unsigned 32-bit ids of every piece into ``known``."""
+        """Put the packed ids of every piece into ``known``."""
         known = self.known
         missing = [p for p in dict.fromkeys(pieces) if p not in known]
         if not missing:
@@ -95,13 +130,19 @@ class ByteBpe:
         if len(known) + len(missing) > KEPT_PIECES:
             known.clear()
             missing = list(dict.fromkeys(pieces))
-        specials = self.specials
-        plain = [p for p in missing if p not in specials]
+        specials, leaf = self.specials, self.leaf
+        short, long = [], []
         for p in missing:
             if p in specials:
                 known[p] = np.uint32(specials[p]).tobytes()
-        for p, ids in zip(plain, tree_concat([self.chars(p) for p in plain], self.bpe, self.token_chars, self.leaf), strict=True):
-            known[p] = np.array(ids, "<u4").tobytes()
+            elif len(p) * 4 <= leaf or len(p.encode()) <= leaf:
+                short.append(p)
+            else:
+                long.append(p)
+        known.update(zip(short, self.unsplit(short), strict=True))
+        if long:
+            found = tree_concat([self.chars(p) for p in long], self.bpe, self.token_chars, leaf)
+            known.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(long, found, strict=True))
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -111,10 +152,14 @@ class ByteBpe:
         if missing:
             self.learn(sorted(missing))
         try:
-            return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+            out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
         except KeyError:  # the table was just emptied to make room
             self.learn([p for pieces in split for p in pieces])
-            return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+            out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        for p in missing:
+            if len(p) > KEPT_LENGTH:
+                del known[p]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes with special tokens kept: bytes of all tokens, malformed UTF-8 replaced."""
@@ -155,6 +200,10 @@ def tree_concat(pieces: list[str], bpe: Callable[[list[str]], list[list[int]]],
         rows = [[joined.get((r, k), row[k]) for k in range(0, len(row), 2)] for r, row in enumerate(rows)]
 
 
+def _runs(pieces: list[str]) -> list[list[str]]:
+    return [pieces[at : at + PIECES_AT_ONCE] for at in range(0, len(pieces), PIECES_AT_ONCE)]
+
+
 def _halves(n: int, leaf: int) -> list[int]:
     """Cut points of ``n`` characters, halved until no part is over ``leaf``."""
     parts = 1
@@ -164,5 +213,6 @@ def _halves(n: int, leaf: int) -> list[int]:
 
 
 def opened(source: str, leaf: int = 16) -> ByteBpe:
-    """This worker's tokenizer for ``source``."""
+    """This worker's tokenizer for ``source``. The library takes as many threads as Spark grants a Python worker."""
+    os.environ.setdefault("RAYON_NUM_THREADS", os.environ.get("OMP_NUM_THREADS", "1"))
     return resident(("tokenizer", hash(source), leaf), lambda: ByteBpe(source, leaf))

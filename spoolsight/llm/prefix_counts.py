@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoolsight.llm.byte_bpe import KEPT_PIECES, ByteBpe
+from spoolsight.llm.byte_bpe import KEPT_LENGTH, ByteBpe
 from spoolsight.llm.resident import resident
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SHORT = 64
+KEPT_PIECES = 700_000
 WHITE_RUN = re.compile(r"[^\S\x1c-\x1f]{2,}(?=[^\s]|[\x1c-\x1f])")
 ROWS_AT_ONCE = 256
 
@@ -202,6 +203,9 @@ class PrefixCounter:
                 self.learn([p for p in pieces if p not in specials])
                 steps = b"".join(b"\x00" * (len(p) - 1) + b"\x01" if p in specials else known[p] for p in pieces)
             out.append(self._mended(text, pieces, steps) if special or WHITE_RUN.search(text) else steps)
+        for p in needed:
+            if len(p) > KEPT_LENGTH:
+                known.pop(p, None)
         return out
 
     def _mended(self, text: str, pieces: list[str], steps: bytes) -> bytes:
@@ -221,7 +225,7 @@ class PrefixCounter:
                 # a run whose last character no word takes is two pieces
                 self._run_end(p + pieces[k + 1], at + len(p), out)
             at += len(p)
-        return out.astype("i1").tobytes()
+        return _bytes(out)
 
     def _run_end(self, run: str, at: int, out: np.ndarray) -> None:
         if run not in self.known:
@@ -258,7 +262,14 @@ def _char_steps(flat: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> byt
     before[kept[1:]] = counts[kept[:-1]]
     first = np.searchsorted(kept, bounds[:-1][np.diff(bounds) > 0])
     before[kept[first]] = 0
-    return (counts - before)[kept].astype("i1").tobytes()
+    return _bytes((counts - before)[kept])
+
+
+def _bytes(steps: np.ndarray) -> bytes:
+    """Steps as signed bytes; a step is at most the tokens of the bytes that one character can change."""
+    if len(steps) and (steps.min() < -128 or steps.max() > 127):
+        raise OverflowError("a step of the token count does not fit in a signed byte")
+    return steps.astype("i1").tobytes()
 
 
 class _Table:

@@ -42,19 +42,21 @@ LENGTH = "<QI"
 CHECK = "<I"
 HEADER_SIZE, LENGTH_SIZE, CHECK_SIZE = map(struct.calcsize, (HEADER, LENGTH, CHECK))
 ROWS_AT_ONCE = 256
+#: Bytes of text that go to one file; unsplit text of up to so many bytes is encoded in one piece.
+FILE_BYTES, LEAF = 256 << 20, 4096
 READ_AT_ONCE = 8 << 20
 
 
-def masked(data: bytes) -> int:
+def masked(data: bytes | memoryview) -> int:
     """Masked checksum of ``data``."""
     crc = zlib.crc32(data)
     return ((crc >> 15 | crc << 17) + MASK_ADD) & 0xFFFFFFFF
 
 
-def frame(payload: bytes) -> bytes:
+def frame(payload: bytes | memoryview) -> bytes:
     """One record as it stands in a file."""
     size = struct.pack("<Q", len(payload))
-    return struct.pack(LENGTH, len(payload), masked(size)) + payload + struct.pack(CHECK, masked(payload))
+    return b"".join((struct.pack(LENGTH, len(payload), masked(size)), payload, struct.pack(CHECK, masked(payload))))
 
 
 def unframe(record: memoryview) -> memoryview:
@@ -71,49 +73,54 @@ def unframe(record: memoryview) -> memoryview:
 def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Encode whole texts and write them in ascending order of id; returns the index as a written table.
 
-    Rows are dealt by ranges of the id into as many files as the session has shuffle partitions, and sorted within each:
-    file after file, record after record, ids ascend (nulls first; rows with the same id stand by their text). The order is
-    made before encoding, so that each text is moved once and encoded once. ``end_id`` is appended to every document; null
-    text counts as empty. Index columns: doc_id, part, path, seq, offset, length, before, n_tokens.
+    Rows are dealt by ranges of the id into files, and sorted within each: file after file, record after record, ids ascend
+    (nulls first; rows with the same id stand by a hash of their text, and may fill several files). There is a file for each
+    ``FILE_BYTES`` of text, and no fewer than the session has shuffle partitions. The order is made before encoding, so that
+    each text is moved once and encoded once. ``end_id`` is appended to every document; null text counts as empty. Index
+    columns: doc_id, part, path, seq, offset, length, before, n_tokens.
     """
     spark = docs.sparkSession
     source = spark.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
     folder = folder or new_folder(spark, "records")
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = opened(source.value)
+        bpe = opened(source.value, LEAF)
         width = 2 if len(bpe.token_bytes) <= 1 << 16 else 4
+        end_mark = int(end_id).to_bytes(4, "little")
         part = TaskContext.get().partitionId()
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         path = f"part-{part:06d}-{uuid.uuid4().hex}.rec"
         out, offset, seq, before = None, HEADER_SIZE, 0, 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                if out is None:
-                    fs.create_dir(base, recursive=True)
-                    out = fs.open_output_stream(f"{base}/{path}")
-                    out.write(struct.pack(HEADER, MAGIC, width, 0))
-                lengths, counts = [], []
-                for ids in bpe.ids_of([t or "" for t in batch.column(1).to_pylist()]):
-                    ids += int(end_id).to_bytes(4, "little")
-                    record = frame(np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes())
-                    out.write(record)
-                    lengths.append(len(record))
-                    counts.append(len(ids) // 4)
-                n = batch.num_rows
-                ends = np.cumsum(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([part] * n, pa.int32()), pa.array([path] * n), pa.array(np.arange(seq, seq + n)), pa.array(offset + np.cumsum([0, *lengths[:-1]])), pa.array(lengths, pa.int64()), pa.array(before + ends - counts), pa.array(counts, pa.int64())],
-                    names=["doc_id", "part", "path", "seq", "offset", "length", "before", "n_tokens"],
-                )
-                offset, seq, before = offset + sum(lengths), seq + n, before + int(ends[-1])
-        if out is not None:
-            out.close()
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                    batch = whole.slice(at, ROWS_AT_ONCE)
+                    if out is None:
+                        fs.create_dir(base, recursive=True)
+                        out = fs.open_output_stream(f"{base}/{path}")
+                        out.write(struct.pack(HEADER, MAGIC, width, 0))
+                    packed = [ids + end_mark for ids in bpe.ids_of([t or "" for t in batch.column(1).to_pylist()])]
+                    counts = np.array([len(ids) // 4 for ids in packed])
+                    payloads = memoryview(np.frombuffer(b"".join(packed), "<u4").astype(f"<u{width}")).cast("B")
+                    ends = np.cumsum(counts)
+                    records = [frame(payloads[a * width : b * width]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+                    out.write(b"".join(records))
+                    lengths = np.array([len(r) for r in records])
+                    n = batch.num_rows
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), pa.array([part] * n, pa.int32()), pa.array([path] * n), pa.array(np.arange(seq, seq + n)), pa.array(offset + np.cumsum(lengths) - lengths), pa.array(lengths), pa.array(before + ends - counts), pa.array(counts)],
+                        names=["doc_id", "part", "path", "seq", "offset", "length", "before", "n_tokens"],
+                    )
+                    offset, seq, before = offset + int(lengths.sum()), seq + n, before + int(ends[-1])
+        finally:
+            if out is not None:
+                out.close()
+
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    dealt = keyed.repartitionByRange(files, "doc_id", "key").sortWithinPartitions("doc_id", "key", "text").select("doc_id", "text")
     index = dealt.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, part int, path string, seq long, offset long, length long, before long, n_tokens long")
     return written(index.withColumn("folder", F.lit(folder)), "record-index")
 
