@@ -49,16 +49,25 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
 def fit(lengths: list[int], counts: list[int], budget: int, bound: int = BUDGET) -> list[int]:
     """How many documents of each length to take so that their lengths sum up to ``budget``, as near as can be.
 
-    All of the budget but half of ``bound`` is met by an equal share of every length, from the longest on: what rounding one
-    length leaves over or short is carried to the next shorter ones. What is left, about half of ``bound``, is a bounded
-    knapsack over the documents not taken yet (or, should rounding have overshot, over those to give back). So a budget of
-    up to half of ``bound`` is all knapsack.
+    All of the budget but an eighth (half of ``bound`` at most) is met by an equal share of every length, from the longest
+    on, so that large and small sources alike are drawn from all lengths: what rounding one length leaves over or short is
+    carried to the next shorter ones. What is left is a bounded knapsack over the documents not taken yet (or, should
+    rounding have overshot, over those to give back). A budget of up to half of ``bound`` that this does not meet is also
+    tried by the knapsack alone, and the nearer one holds.
     """
     whole = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= whole:
         return list(counts)
     order = sorted((k for k in range(len(lengths)) if lengths[k] > 0), key=lambda k: -lengths[k])
-    share, taken, carry = max(0, budget - bound // 2), [0] * len(lengths), 0
+    misses = lambda taken: abs(budget - sum(n * t for n, t in zip(lengths, taken, strict=True)))
+    spread = _spread(lengths, counts, budget, bound, order, whole)
+    if budget > bound // 2 or not misses(spread):
+        return spread
+    return min(spread, _knapsack(lengths, counts, order, budget), key=misses)
+
+
+def _spread(lengths: list[int], counts: list[int], budget: int, bound: int, order: list[int], whole: int) -> list[int]:
+    share, taken, carry = budget - min(bound // 2, budget // 8), [0] * len(lengths), 0
     for k in order:
         n, c = lengths[k], counts[k]
         ideal = n * c * share // whole + carry

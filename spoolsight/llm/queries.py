@@ -83,18 +83,35 @@ def op9_block_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_html.extract(_table(spark, sf_dir, "pages"))
 
 
-def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spoolsight.llm import url_rules
+def _url_rules() -> list:
     from spoolsight.llm.url_rules import ALLOW, BLOCK, Rule
 
-    rules = [
+    return [
         Rule(ALLOW, "com", "/"),
         Rule(BLOCK, "example.com", "/en/"),
         Rule(ALLOW, "www.example.com", "/en/"),
         Rule(BLOCK, "net", "/es/"),
         Rule(BLOCK, "net", "/fr/"),
     ]
-    return url_rules.judge(_table(spark, sf_dir, "pages"), rules)
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolsight.llm import url_rules
+
+    return url_rules.judge(_table(spark, sf_dir, "pages"), _url_rules())
+
+
+def url_rules_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: host, path and the listed rule of every page."""
+    from spoolsight.llm import url_rules
+
+    return url_rules.match_listed(_table(spark, sf_dir, "pages"), _url_rules())
+
+
+def budget_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6: the size of every document, and its source's size and target (rounded, as sums of doubles
+    differ in their last digits)."""
+    return op6_budget_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -108,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_counts": op8_prefix_counts,
     "op9_block_html": op9_block_html,
     "op10_url_rules": op10_url_rules,
+    "url_rules_listed": url_rules_listed,
+    "budget_mix_targets": budget_mix_targets,
 }
 
 ORACLES: dict[str, str] = {
@@ -116,4 +135,20 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
                sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "url_rules_listed": """
+        WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+             r(h, q) AS (VALUES ('com', '/'), ('example.com', '/en/'), ('www.example.com', '/en/'), ('net', '/es/'), ('net', '/fr/'))
+        SELECT page_id, host, path, (SELECT arg_max(h || q, length(h || q)) FROM r WHERE (host = h OR suffix(host, '.' || h)) AND prefix(path, q)) AS rule
+        FROM p""",
+    "budget_mix_targets": """
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+             s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+             w AS (SELECT *, 2.0 * source_size AS cap, 1.5 * sum(source_size) OVER () AS budget,
+                   CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END AS weight FROM s),
+             l AS (SELECT a.source, a.cap, a.weight, (a.budget - (SELECT coalesce(sum(b.cap), 0) FROM w b WHERE b.cap / b.weight < a.cap / a.weight))
+                   / (SELECT sum(b.weight) FROM w b WHERE b.cap / b.weight >= a.cap / a.weight) AS level FROM w a),
+             x AS (SELECT arg_min(level, cap / weight) AS x FROM l WHERE level * weight <= cap)
+        SELECT d.doc_id, d.size, w.source_size, round(CAST(least(w.weight * coalesce(x.x, 1e300), w.cap) AS DOUBLE), 3) AS target
+        FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source CROSS JOIN x""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -9,9 +10,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoolsight.llm.store import written
+
 ALLOW, BLOCK = "allow", "block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LABEL = "label="
+LOCAL_RULES = 20_000
 
 
 @dataclass(frozen=True)
@@ -61,30 +65,36 @@ def tokens(url: Column) -> Column:
     return F.coalesce(F.array_distinct(everything), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, most_rules: int) -> list[tuple[frozenset, str, float, float]]:
-    """Association rules from token sets to labels: tokens, label, confidence, support, the best first.
+def rule_table(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float = 0.0) -> DataFrame:
+    """Association rules from token sets to labels: tokens, label, confidence, support.
 
     ``labelled``: ``tokens array<string>``, ``label string``; all rows are mined by Spark's FP-growth. A rule is pruned if its
-    support or confidence is too low, or if a rule with fewer of its tokens says the same with no less confidence. How
-    many rules pass depends on the variety of frequent tokens, not on the number of rows; the number is counted before they
-    go to the driver, and more than ``most_rules`` is a ValueError that asks for a higher support.
+    support, its confidence, or its lift (confidence against the label's share of all rows) is too low.
     """
     items = labelled.where("label is not null").select(F.array_distinct(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "label")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    says = model.associationRules.where(F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda t: t.startswith(LABEL)))
-    says = says.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 1 << 30).alias("label"), "confidence", "support")
-    found = says.limit(most_rules + 1).collect()
-    if len(found) > most_rules:
-        raise ValueError(f"over {most_rules} rules at support {min_support}; raise the support")
+    says = model.associationRules.where(F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda t: t.startswith(LABEL)) & (F.col("lift") >= min_lift))
+    return says.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 1 << 30).alias("label"), "confidence", "support")
+
+
+def pruned(table: DataFrame) -> list[tuple[frozenset, str, float, float]]:
+    """Rules of a counted, small table, the best first, without those of which a rule with fewer of the tokens says the same with
+    no less confidence. Such rules never decide, as the other fits wherever they do and comes first."""
+    rules = table.collect()
+    uses = Counter(t for r in rules for t in r.tokens)
+    filed: dict[tuple[str, str], list[tuple[frozenset, float]]] = {}
     kept: list[tuple[frozenset, str, float, float]] = []
-    best: dict[tuple[frozenset, str], float] = {}
-    for r in sorted(found, key=lambda r: (len(r.tokens), r.tokens, r.label)):
+    for r in sorted(rules, key=lambda r: (len(r.tokens), r.tokens, r.label)):
         words = frozenset(r.tokens)
-        smaller = [c for (w, label), c in best.items() if label == r.label and w < words]
-        if not smaller or max(smaller) < r.confidence:
-            best[words, r.label] = r.confidence
+        if not any(w < words and c >= r.confidence for t in words for w, c in filed.get((t, r.label), ())):
+            filed.setdefault((min(words, key=lambda t: (uses[t], t)), r.label), []).append((words, r.confidence))
             kept.append((words, r.label, r.confidence, r.support))
-    return sorted(kept, key=lambda k: (-k[2], -k[3], -len(k[0]), k[1] != BLOCK, sorted(k[0])))
+    return sorted(kept, key=lambda k: (-k[2], -k[3], len(k[0]), k[1] != BLOCK, sorted(k[0])))
+
+
+def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float = 0.0) -> list[tuple[frozenset, str, float, float]]:
+    """Pruned rules, for a caller that knows them to be few: tokens, label, confidence, support, the best first."""
+    return pruned(rule_table(labelled, min_support, min_confidence, min_lift))
 
 
 def matched(rules: list[tuple[frozenset, str, float, float]], words: Column, default: str) -> Column:
@@ -112,23 +122,89 @@ def matched(rules: list[tuple[frozenset, str, float, float]], words: Column, def
     return F.pandas_udf(best, "string")(words)
 
 
+def matched_by_join(table: DataFrame, urls: DataFrame) -> DataFrame:
+    """As ``matched`` for any number of rules: ``url`` and ``said``, the label of its best rule; URLs without one are left out.
+
+    The inverted index is a join: rules are filed under their rarest token, and each distinct URL meets the rules filed
+    under its tokens.
+    """
+    uses = table.select(F.explode("tokens").alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("uses"))
+    rank = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("tokens").alias("n"), (F.col("label") != BLOCK).alias("b"), "tokens", "label")
+    ranked = table.select(rank.alias("rule"), "tokens")
+    filed = ranked.select("rule", F.explode("tokens").alias("at")).join(uses, "at").groupBy("rule").agg(F.min(F.struct("uses", "at"))["at"].alias("at"))
+    words = urls.select("url").where("url is not null").distinct().select("url", tokens(F.col("url")).alias("words"))
+    met = words.select("url", "words", F.explode("words").alias("at")).join(filed, "at").where(F.size(F.array_except("rule.tokens", "words")) == 0)
+    return met.groupBy("url").agg(F.min("rule")["label"].alias("said"))
+
+
+def own_tokens(rules: list[Rule], rule: Column) -> Column:
+    """Tokens of an address made of a listed rule's host and path: they restate the rule, and teach nothing beyond it."""
+    out = F.array().cast("array<string>")
+    for r in rules:
+        out = F.when(rule == r.text, tokens(F.lit(f"x://{r.host}{r.path}"))).otherwise(out)
+    return out
+
+
+def labelled_urls(urls: DataFrame, rules: list[Rule], labels: DataFrame | None) -> DataFrame:
+    """Token sets with labels, and the host they come from. Without ``labels``, what the listed rules say of the URLs they fit,
+    less the tokens that a rule itself consists of."""
+    if labels is not None:
+        rows = labels.select(F.col("url"), "label", F.array().cast("array<string>").alias("own"))
+    else:
+        rows = urls.where("listed is not null").select("url", F.col("listed.verdict").alias("label"), own_tokens(rules, F.col("listed.rule")).alias("own"))
+    return rows.where("label is not null").select(host(F.col("url")).alias("host"), F.array_except(tokens(F.col("url")), "own").alias("tokens"), "label")
+
+
+def _split(pages: DataFrame, rules: list[Rule], id_col: str, url_col: str) -> DataFrame:
+    urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    urls = urls.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    return urls.withColumn("listed", listed(rules, F.col("host"), F.col("path")))
+
+
+def match_listed(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """Host, path and the listed rule that fits each URL, null where none does: page_id, host, path, rule."""
+    return _split(pages, rules, id_col, url_col).select("page_id", "host", "path", F.col("listed.rule").alias("rule"))
+
+
 def judge(
-    pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, min_support: float = 0.02, min_confidence: float = 0.8,
-    most_rules: int = 20_000, default: str = ALLOW, id_col: str = "page_id", url_col: str = "url",
+    pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, min_support: float = 0.02, min_confidence: float = 0.9,
+    min_lift: float = 1.2, default: str = ALLOW, id_col: str = "page_id", url_col: str = "url", local_rules: int = LOCAL_RULES,
 ) -> DataFrame:
     """Verdict on every URL: page_id, host, path, rule, verdict.
 
     A listed rule decides where one fits; elsewhere the best association rule does, and ``default`` where none matches. The
     association rules are mined from ``labels`` (columns url, label), or, where that is None, from all URLs of ``pages`` that a
-    listed rule has labelled. Null URLs and those without ``://`` have empty host and path, no rule and no tokens, so they get
-    ``default``. Ids may be null or repeat; an empty table, or no labelled URL, leaves listed rules and default. Matching
-    needs no shuffle. Other columns are not read.
+    listed rule has labelled, without the tokens of which that rule itself consists. A rule that says what most labelled
+    URLs are anyway is none: its lift is too low.
+
+    Rules are counted: up to ``local_rules`` they travel with the tasks, and matching needs no shuffle; more are joined by their
+    rarest token. Null URLs and those without ``://`` have empty host and path, no rule and no tokens, so they get
+    ``default``. Ids may be null or repeat; an empty table, or no labelled URL, leaves listed rules and default. Other columns
+    are not read.
     """
-    urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    urls = urls.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    urls = urls.withColumn("listed", listed(rules, F.col("host"), F.col("path")))
-    known = labels.select("url", "label") if labels is not None else urls.where("listed is not null").select("url", F.col("listed.verdict").alias("label"))
-    known = known.where("label is not null").select(tokens(F.col("url")).alias("tokens"), "label")
-    mined = [] if known.isEmpty() else mine(known, min_support, min_confidence, most_rules)
-    verdict = F.coalesce(F.col("listed.verdict"), matched(mined, tokens(F.col("url")), default))
-    return urls.select("page_id", "host", "path", F.col("listed.rule").alias("rule"), verdict.alias("verdict"))
+    urls = _split(pages, rules, id_col, url_col)
+    known = labelled_urls(urls, rules, labels)
+    said: Column = F.lit(default)
+    if not known.isEmpty():
+        table = written(rule_table(known, min_support, min_confidence, min_lift), "url-rules")
+        if table.count() <= local_rules:
+            said = matched(pruned(table), tokens(F.col("url")), default)
+        else:
+            urls = urls.join(matched_by_join(table, urls), "url", "left")
+            said = F.coalesce("said", F.lit(default))
+    return urls.select("page_id", "host", "path", F.col("listed.rule").alias("rule"), F.coalesce(F.col("listed.verdict"), said).alias("verdict"))
+
+
+def held_out_precision(
+    pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, min_support: float = 0.02, min_confidence: float = 0.9, min_lift: float = 1.2,
+    folds: int = 5, id_col: str = "page_id", url_col: str = "url",
+) -> DataFrame:
+    """How far mined rules hold on hosts that they were not mined from: label, said (rows that a rule spoke on), right.
+
+    One host in ``folds``, by a hash, is held out; no row comes back where no rule speaks on any of them.
+    """
+    known = labelled_urls(_split(pages, rules, id_col, url_col), rules, labels).withColumn("out", F.pmod(F.xxhash64("host"), F.lit(folds)) == 0)
+    seen = known.where("not out")
+    mined = [] if seen.isEmpty() else mine(seen, min_support, min_confidence, min_lift)
+    judged = known.where("out").withColumn("said", matched(mined, F.col("tokens"), "")).where("said <> ''")
+    return judged.groupBy(F.col("said").alias("label")).agg(F.count(F.lit(1)).alias("said"), F.count_if(F.col("said") == F.col("label")).alias("right"))
