@@ -111,6 +111,32 @@ def test_exact_duplicates(spark, bits):
     assert chunk_recipes.exact_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz ", "абвгдежзийклмнопрстуфхцчшщыэюя ", "あいうえおかきくけこさしすせそたちつてとなにぬねのをん。", "的一是不了人我在有他这为之大来以个中上们国说到时要就出会可也你对生能而子那得于"])
+def test_chunks_after_an_insertion(spark, letters):
+    """In every script most chunks come back after text is put in before them."""
+    rnd = random.Random(2)
+    text = "".join(rnd.choice(letters) for _ in range(20_000))
+    rows_ = spark.createDataFrame([(1, text), (2, "xyzzy" + text), (3, text[:1000] + "!" + text[1000:])], "n int, text string")
+    cut = {r.n: r.chunks for r in rows_.select("n", chunk_recipes.chunks_of(F.col("text")).alias("chunks")).collect()}
+    assert all("".join(c).encode("latin-1").decode() == r.text for r in rows_.collect() for c in [cut[r.n]])
+    sizes = sorted(map(len, cut[1]))
+    assert 64 <= sizes[1] and sizes[len(sizes) // 2] < 300 and sizes[-1] <= 2048
+    for n in (2, 3):
+        assert len(set(cut[1]) & set(cut[n])) > 0.95 * len(set(cut[1]))
+
+
+def test_collisions_move_only_their_documents(spark):
+    """Where one key stands for several chunks, ordinals come for the texts that hold these chunks alone."""
+    docs = spark.createDataFrame([(k, f"{k} " * 400) for k in range(60)], "doc_id long, text string").select(chunk_recipes.normalised(F.col("text")).alias("text"))
+    odd = lambda c: c.startswith("7 ") | c.startswith("8 ")
+    keyed = lambda c: F.when(odd(c), F.lit(5)).otherwise(F.xxhash64(c))
+    chunks = chunk_recipes.chunks_of(F.col("text"))
+    got = {r.text_sha256: r.ordinals for r in chunk_recipes._ordinals(docs, chunks, keyed, spark.createDataFrame([(5,)], "key long")).collect()}
+    held = {r.digest: r.found for r in docs.select(F.sha2("text", 256).alias("digest"), F.filter(chunks, odd).alias("found")).collect()}
+    number = {c: n for n, c in enumerate(sorted({c for found in held.values() for c in found}), 1)}
+    assert got == {d: [number[c] for c in found] for d, found in held.items() if found} and 2 <= len(got) < 60
+
+
 # -- 3
 def test_record_files(spark, library, tmp_path):
     docs = awkward(spark)
