@@ -67,8 +67,11 @@ def test_language_of_held_out_and_awkward_texts(spark):
     mixed = spark.createDataFrame([(1, "the and of that el de que ción los para der und die für")], "doc_id long, text string")
     words = langid_crf.predict(mixed, model, words=True).first().word_langs
     assert [w.lang for w in words] == ["en"] * 4 + ["es"] * 6 + ["de"] * 4
-    kept = langid_crf.keep_identified(awkward(spark), model)
+    kept = langid_crf.keep_identified(awkward(spark), model, min_familiar=0.0)
     assert kept.columns == awkward(spark).columns and not {r.doc_id for r in kept.collect()} & {3, 4, 5, 9}
+    told = spark.createDataFrame([(1, data[0][1], None), (2, data[61][1], "de"), (3, "Все люди рождаются свободными и равными", "en"), (4, "zzyq xwvk qqjx vvkz", "es"), (5, None, None)], "doc_id long, text string, lang string")
+    assert {(r.doc_id, r.lang) for r in langid_crf.keep_identified(told, model, lang_col="lang").collect()} == {(1, data[0][2]), (2, "de")}
+    assert {r.doc_id for r in langid_crf.keep_identified(told, model, languages=[data[61][2]]).collect()} == {2}
     nothing = langid_crf.fit(empty(spark))
     assert {r.lang_pred for r in langid_crf.predict(docs, nothing).collect()} == {"und"}
 
