@@ -1,37 +1,7 @@
-"""Shared folders for written intermediates.
-
-Everything goes below ``spark.checkpoint.dir``, which driver and executors share. Only where that setting is
-absent, as in tests on one machine, a temporary folder is chosen once per session.
-"""
+"""Shared folders for written intermediates of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_fallback: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that all executors can read and write."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        key = spark.sparkContext.applicationId
-        if key not in _fallback:
-            _fallback[key] = "file://" + tempfile.mkdtemp(prefix="spoolsight-")
-        base = _fallback[key]
-    return base.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder URI below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
+from spoolsight.shared import new_folder, shared_dir, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+__all__ = ["new_folder", "shared_dir", "written"]
