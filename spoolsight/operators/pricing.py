@@ -3,15 +3,20 @@
 Money is counted in nanodollars and rates in picodollars per token, both whole numbers. Every usage row is priced and rounded
 once, before anything is summed up. Tokens without a rate are counted as unpriced, never as free.
 
-A ``RateBook`` holds three small tables: ``base`` (rates by key), ``cards`` (dated overrides by key) and ``tiers`` (overrides above
-a request size, of a base rate or a card). They grow with the number of models, not with usage.
+A ``RateBook`` holds base rates by key and dated cards by key, each with tiers above a request size. It is a rate file: it grows with
+the number of models, not with usage, and is parsed on the driver once. What it says becomes one table of bands, made from
+the book alone, so that pricing runs no job before its result is asked for.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
+from datetime import datetime, timezone
+from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoolsight.functions.scalars import usd, usd_exact
@@ -19,45 +24,66 @@ from spoolsight.functions.scalars import usd, usd_exact
 ALGORITHM = "priced-1"
 LOCAL_ROWS = 20_000
 FIELDS = ("input", "output", "cache_write", "cache_write_1h", "cache_read")
-_RATE = "input double, output double, cache_write double, cache_write_1h double, cache_read double, tiers array<struct<above_input_tokens:bigint,input:double,output:double,cache_write:double,cache_write_1h:double,cache_read:double>>"
-_STRUCT = _RATE.replace(" double", ":double").replace(", ", ",").replace("tiers array", "tiers:array")
-BOOK_SCHEMA = f"models map<string,struct<{_STRUCT}>>, history map<string,array<struct<effective_from:string,effective_to:string,source:string,rate:struct<{_STRUCT}>>>>"
+_RATE = "struct<input:double,output:double,cache_write:double,cache_write_1h:double,cache_read:double,tiers:array<struct<above_input_tokens:bigint,input:double,output:double,cache_write:double,cache_write_1h:double,cache_read:double>>>"
+_DATE = re.compile(r"\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?")
+_BAND = "dated boolean, key string, tier_key string, valid_from string, valid_to string, from_text string, to_text string, source string, lo bigint, hi bigint, " + ", ".join(f"{f}_picos bigint" for f in FIELDS)
 # What regions and versions look like in hosted model names.
 REGION, VERSION = r"^(us|eu|apac|jp|au|ca|global)\.", r"-v\d+(:\d+)?$"
 
 
 @dataclass(frozen=True)
 class RateBook:
-    base: DataFrame  # key, rate
-    cards: DataFrame  # key, valid_from, valid_to, from_text, to_text, source, rate
+    spark: SparkSession
+    models: dict[str, dict]  # key: rate
+    history: dict[str, list[dict]]  # key: readable cards
+
+    @property
+    def base(self) -> DataFrame:
+        """key, rate"""
+        return _literal(self.spark, [{"key": k, "rate": r} for k, r in self.models.items()], f"key string, rate {_RATE}")
+
+    @property
+    def cards(self) -> DataFrame:
+        """key, effective_from, effective_to, source, rate"""
+        rows = [{"key": k, **{n: c.get(n) or "" for n in ("effective_from", "effective_to", "source")}, "rate": c.get("rate")} for k, cards in self.history.items() for c in cards]
+        return _literal(self.spark, rows, f"key string, effective_from string, effective_to string, source string, rate {_RATE}")
 
 
 def load_rates(spark: SparkSession, path: str, prior: RateBook | None = None) -> RateBook:
     """Read a JSON rate file. Models that only a prior book has are kept, so that old usage stays priced."""
-    return _book(spark.read.schema(BOOK_SCHEMA).json(path, multiLine=True), prior)
+    return rates_from_json(spark, spark.read.text(path, wholetext=True).first()[0], prior)
 
 
 def rates_from_json(spark: SparkSession, text: str, prior: RateBook | None = None) -> RateBook:
-    raw = spark.range(0, 1, 1, 1).select(F.from_json(F.lit(text), BOOK_SCHEMA).alias("b")).select("b.*")
-    return _book(raw, prior)
+    """A book from JSON text. Cards with a start or an end that is no date are left out."""
+    book = json.loads(text)
+    name = lambda key: key.strip().lower()
+    readable = lambda card: all(not card.get(n) or _instant(card[n]) for n in ("effective_from", "effective_to"))
+    models = {name(k): rate for k, rate in (book.get("models") or {}).items()}
+    history = {name(k): [c for c in cards if readable(c)] for k, cards in (book.get("history") or {}).items()}
+    history = {k: cards for k, cards in history.items() if cards}
+    return RateBook(spark, {**(prior.models if prior else {}), **models}, {**(prior.history if prior else {}), **history})
+
 
+def _instant(text: str | None) -> datetime | None:
+    if not text or not _DATE.fullmatch(text):
+        return None
+    try:
+        at = datetime.fromisoformat(text)
+    except ValueError:
+        return None
+    return at.replace(tzinfo=timezone.utc) if at.tzinfo is None else at.astimezone(timezone.utc)
 
-def _book(raw: DataFrame, prior: RateBook | None) -> RateBook:
-    base = raw.select(F.explode("models").alias("key", "rate")).select(F.lower(F.trim("key")).alias("key"), "rate")
-    cards = raw.select(F.explode("history").alias("key", "cards")).select(F.lower(F.trim("key")).alias("key"), F.explode("cards").alias("card"))
-    bound = lambda c: F.coalesce(F.try_to_timestamp(F.nullif(c, F.lit("")), F.lit("yyyy-MM-dd")), F.try_to_timestamp(F.nullif(c, F.lit(""))))
-    cards = cards.select("key", bound(F.col("card.effective_from")).alias("valid_from"), bound(F.col("card.effective_to")).alias("valid_to"), F.coalesce("card.effective_from", F.lit("")).alias("from_text"), F.coalesce("card.effective_to", F.lit("")).alias("to_text"), F.coalesce("card.source", F.lit("")).alias("source"), "card.rate")
-    unreadable = ((F.col("from_text") != "") & F.col("valid_from").isNull()) | ((F.col("to_text") != "") & F.col("valid_to").isNull())
-    cards = cards.where(~unreadable)
-    if prior is not None:
-        base = base.unionByName(prior.base.join(base, "key", "left_anti"))
-        cards = cards.unionByName(prior.cards.join(cards, "key", "left_anti"))
-    return RateBook(base, cards)
+
+def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table that is a literal of the plan."""
+    kind = "array<struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2:", schema) + ">>"
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
 
 def fingerprint(book: RateBook) -> str:
     """Digest of all rates and of the pricing rules; rollups built under another one are stale."""
-    rows = book.base.select(F.to_json(F.struct("key", "rate")).alias("j")).union(book.cards.select(F.to_json(F.struct("key", "from_text", "to_text", "source", "rate"))))
+    rows = book.base.select(F.to_json(F.struct("key", "rate")).alias("j")).union(book.cards.select(F.to_json(F.struct("key", "effective_from", "effective_to", "source", "rate"))))
     digest = rows.agg(F.sha2(F.concat_ws("\n", F.lit(ALGORITHM), F.array_join(F.array_sort(F.collect_list("j")), "\n")), 256)).first()[0]
     return digest
 
@@ -83,84 +109,87 @@ def candidates(model: Column) -> Column:
     return F.when(F.coalesce(base, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(every, lambda k: k.isNotNull() & (k != ""))))
 
 
-def _keys(pairs: DataFrame, book: RateBook) -> DataFrame:
-    """First candidate with a current rate, and first one with any card, of each (provider, model)."""
-    tried = pairs.select("provider", "model", F.posexplode(candidates(pricing_model(F.col("provider"), F.col("model")))).alias("pos", "key"))
-    known = tried.join(book.base.select("key", F.lit(True).alias("has_rate")), "key", "left").join(book.cards.select("key", F.lit(True).alias("has_card")).distinct(), "key", "left")
-    first = lambda flag: F.min(F.when(F.col(flag), F.struct("pos", "key")))["key"]
-    return known.groupBy("provider", "model").agg(first("has_rate").alias("current_key"), first("has_card").alias("history_key"))
+def _picos(rate: float | None) -> int | None:
+    return None if rate is None else int(Decimal(repr(rate * 1e12)).quantize(Decimal(1), ROUND_HALF_UP))
 
 
-def bands(pairs: DataFrame, book: RateBook) -> DataFrame:
-    """All rates that usage of the given (provider, model) pairs can meet, as bands that do not overlap.
+def _tiered(rate: dict, tiers: list[dict]) -> list[dict]:
+    """Ranges of request size ``(lo, hi]`` with their picodollars; what a tier leaves out is as in the range below."""
+    out: list[dict] = []
+    for entry in [{**rate, "above_input_tokens": -1}, *sorted(tiers or [], key=lambda t: t["above_input_tokens"])]:
+        if out:
+            out[-1]["hi"] = entry["above_input_tokens"]
+        below = out[-1] if out else {}
+        out.append({"lo": entry["above_input_tokens"], "hi": None} | {f"{f}_picos": _picos(entry[f]) if entry.get(f) is not None else below.get(f"{f}_picos") for f in FIELDS})
+    return out
 
-    One row per pair, dated or not, stretch of time and range of request size ``(lo, hi]``; so a lookup is an equality with
-    two ranges and finds one row at most. Of overlapping cards the one with the latest start holds; times that no card
-    covers have no row, though the model has a current rate. A card without tiers takes the current rate's. Fields that a
-    tier leaves out are those of the tier below.
-    """
-    keys = _keys(pairs, book)
-    current = keys.join(book.base.withColumnRenamed("key", "current_key").withColumnRenamed("rate", "current"), "current_key", "left")
-    undated = current.where("current is not null").select("provider", "model", F.lit(False).alias("dated"), F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.col("current_key").alias("key"), F.lit("").alias("from_text"), F.lit("").alias("to_text"), F.lit("").alias("source"), F.col("current").alias("rate"))
-    # where the pair has no card at all, dated usage meets the current rate too
-    plain = undated.join(keys.where("history_key is null").select("provider", "model"), ["provider", "model"], "left_semi").withColumn("dated", F.lit(True))
-    cards = current.join(book.cards.withColumnRenamed("key", "history_key"), "history_key")
-    inherits = F.coalesce(F.size("rate.tiers"), F.lit(0)) <= 0
-    cards = cards.withColumn("rate", F.when(inherits & F.col("current").isNotNull(), F.col("rate").withField("tiers", F.col("current.tiers"))).otherwise(F.col("rate")))
-    cut = "timestamp'0001-01-01'"
-    borders = cards.select("provider", "model", F.explode(F.array(F.coalesce("valid_from", F.expr(cut)), F.col("valid_to"))).alias("begin")).where("begin is not null").distinct()
-    stretches = borders.withColumn("end", F.lead("begin").over(Window.partitionBy("provider", "model").orderBy("begin")))
-    covering = stretches.join(cards, ["provider", "model"]).where("(valid_from is null or valid_from <= begin) and (valid_to is null or begin < valid_to)")
-    rank = F.row_number().over(Window.partitionBy("provider", "model", "begin").orderBy(F.desc("from_text"), F.desc("to_text"), F.desc("source")))
-    dated = covering.withColumn("r", rank).where("r = 1").select("provider", "model", F.lit(True).alias("dated"), F.col("begin").alias("valid_from"), F.col("end").alias("valid_to"), F.col("history_key").alias("key"), "from_text", "to_text", "source", "rate")
-    rows = undated.unionByName(plain).unionByName(dated)
-
-    entry = lambda r: F.struct(*(r[f].alias(f) for f in FIELDS))
-    base = F.array(F.struct(F.lit(-1).cast("bigint").alias("lo"), entry(F.col("rate")).alias("r")))
-    tiers = F.transform(F.coalesce("rate.tiers", F.array().cast(_RATE.split("tiers ")[1])), lambda t: F.struct(t.above_input_tokens.alias("lo"), entry(t).alias("r")))
-    stacked = rows.select("*", F.explode(F.array_sort(F.concat(base, tiers))).alias("band")).select("*", "band.lo", "band.r")
-    own = ["provider", "model", "dated", "valid_from", "valid_to", "key"]
-    order = Window.partitionBy(*own).orderBy("lo")
-    down = order.rowsBetween(Window.unboundedPreceding, 0)
-    picos = [F.round(F.last(f"r.{f}", ignorenulls=True).over(down) * F.lit(1e12)).cast("bigint").alias(f"{f}_picos") for f in FIELDS]
-    return stacked.select(*own, "from_text", "to_text", "source", "lo", F.lead("lo").over(order).alias("hi"), *picos)
 
+def _stretches(cards: list[dict]) -> list[tuple[datetime | None, datetime | None, dict]]:
+    """Stretches of time, and the card that holds in each: of overlapping ones that with the latest start."""
+    dated = [(_instant(c.get("effective_from")), _instant(c.get("effective_to")), c) for c in cards]
+    borders = sorted({b for a, z, _ in dated for b in (a, z) if b is not None})
+    out = []
+    for begin, end in zip([None, *borders], [*borders, None]):
+        holding = [c for a, z, c in dated if (a is None or begin is not None and a <= begin) and (z is None or begin is None or begin < z)]
+        if holding:
+            out.append((begin, end, max(holding, key=lambda c: (c.get("effective_from") or "", c.get("effective_to") or "", c.get("source") or ""))))
+    return out
+
+
+def _inheriting(book: RateBook) -> tuple[list[str], list[str]]:
+    """Keys with a card without tiers, and keys whose current rate has tiers that such a card takes."""
+    return [k for k, cards in book.history.items() if any(not (c.get("rate") or {}).get("tiers") for c in cards)], [k for k, r in book.models.items() if r.get("tiers")]
 
-def _positive(c: str) -> Column:
-    return F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).cast("bigint")
 
+def band_rows(book: RateBook) -> list[dict]:
+    """All rates of a book as bands that do not overlap.
 
-def model_pairs(usage: DataFrame) -> DataFrame:
-    """Distinct (provider, model) of usage rows."""
-    return usage.select(F.coalesce("provider", F.lit("")).alias("provider"), F.coalesce("model", F.lit("")).alias("model")).distinct()
+    One row per key, dated or not, stretch of time and range of request size; so a lookup is an equality with two ranges and
+    finds one row at most. Times that no card covers have no row, though the model has a current rate. A card without
+    tiers takes those of the current rate, named by ``tier_key``.
+    """
+    rows = [{"dated": False, "key": k, "tier_key": "", **band} for k, rate in book.models.items() for band in _tiered(rate, rate.get("tiers"))]
+    inheriting, tiered = _inheriting(book)
+    text = lambda t: None if t is None else t.strftime("%Y-%m-%d %H:%M:%S.%f")
+    for key, cards in book.history.items():
+        for begin, end, card in _stretches(cards):
+            rate = card.get("rate") or {}
+            about = {"dated": True, "key": key, "valid_from": text(begin), "valid_to": text(end), "from_text": card.get("effective_from") or "", "to_text": card.get("effective_to") or "", "source": card.get("source") or ""}
+            for tier_key in ["", *(tiered if key in inheriting else [])]:
+                tiers = rate.get("tiers") or (book.models[tier_key]["tiers"] if tier_key else [])
+                rows += [about | {"tier_key": tier_key} | band for band in _tiered(rate, tiers)]
+    return rows
 
 
-def _local(table: DataFrame) -> DataFrame:
-    """A table of up to ``LOCAL_ROWS`` rows as local rows in one partition, which joins broadcast and groupings need not
-    shuffle; a larger one as it is."""
-    rows = table.limit(LOCAL_ROWS + 1).collect()
-    return table if len(rows) > LOCAL_ROWS else table.sparkSession.createDataFrame(rows, table.schema).coalesce(1)
+def _positive(c: str) -> Column:
+    return F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).cast("bigint")
 
 
-def _matched(usage: DataFrame, book: RateBook, pairs: DataFrame | None = None) -> DataFrame:
-    table = _local(bands(_local(model_pairs(usage) if pairs is None else pairs), book)).select(*(F.col(c).alias(f"_{c}") for c in ("provider", "model", "dated", "valid_from", "valid_to", "key", "from_text", "to_text", "source", "lo", "hi", *(f"{f}_picos" for f in FIELDS))))
-    size = _positive("input") + _positive("cache_read") + _positive("cache_write")
-    at, c = F.col("created_at"), F.col
+def _matched(usage: DataFrame, book: RateBook) -> DataFrame:
+    """Usage with the band that each row meets. The keys to try are looked up in the row, in hash sets of the book's keys."""
+    rows = band_rows(book)
+    table = _literal(book.spark, rows, _BAND).select(*(F.col(c).alias(f"_{c}") for c in ("dated", "key", "tier_key", "from_text", "to_text", "source", "lo", "hi", *(f"{f}_picos" for f in FIELDS))), *(F.to_timestamp(c).alias(f"_{c}") for c in ("valid_from", "valid_to")))
+    inheriting, tiered = _inheriting(book)
+    c, none = F.col, F.lit("")
+    first = lambda keys: F.coalesce(F.try_element_at(F.filter("_tried", lambda k: k.isin(list(keys))), F.lit(1)), none)
+    tried = usage.withColumn("_tried", candidates(pricing_model(c("provider"), c("model")))).withColumns({"_current": first(book.models), "_card": first(book.history)}).drop("_tried")
+    # usage without a time, and of models that no card is of, meets the current rate
+    by_card = c("created_at").isNotNull() & (c("_card") != "")
+    asked = tried.withColumns({"_by_card": by_card, "_asked": F.when(by_card, c("_card")).otherwise(c("_current")), "_inherits": F.when(by_card & c("_card").isin(inheriting) & c("_current").isin(tiered), c("_current")).otherwise(none)})
+    size, at = _positive("input") + _positive("cache_read") + _positive("cache_write"), c("created_at")
     meets = (
-        (F.coalesce("provider", F.lit("")) == c("_provider")) & (F.coalesce("model", F.lit("")) == c("_model")) & (at.isNotNull() == c("_dated"))
-        & (at.isNull() | ((c("_valid_from").isNull() | (at >= c("_valid_from"))) & (c("_valid_to").isNull() | (at < c("_valid_to")))))
+        (c("_by_card") == c("_dated")) & (c("_asked") == c("_key")) & (c("_inherits") == c("_tier_key"))
+        & (~c("_by_card") | ((c("_valid_from").isNull() | (at >= c("_valid_from"))) & (c("_valid_to").isNull() | (at < c("_valid_to")))))
         & (size > c("_lo")) & (c("_hi").isNull() | (size <= c("_hi")))
     )
-    return usage.join(table, meets, "left")
+    return asked.join(F.broadcast(table) if len(rows) <= LOCAL_ROWS else table, meets, "left")
 
 
-def price(usage: DataFrame, book: RateBook, pairs: DataFrame | None = None) -> DataFrame:
+def price(usage: DataFrame, book: RateBook) -> DataFrame:
     """Adds cost to every usage row: amount, reported and estimated nanodollars, and unpriced tokens by bucket.
 
     A reported cost other than zero holds; a reported zero holds only for a row without tokens; everything else is
-    estimated. The rates join the usage on (provider, model); they are as small as the list of models in use, which is
-    counted before they are broadcast, so the usage itself is not shuffled. ``pairs``: the (provider, model) pairs in use,
-    where they are known from a cheaper table than ``usage``.
+    estimated. The book's bands are counted before they are broadcast, so the usage itself is not shuffled.
     """
     c, whole = F.col, lambda x: x.cast("decimal(19,0)")
     i, o, r, w = (_positive(n) for n in ("input", "output", "cache_read", "cache_write"))
@@ -176,7 +205,7 @@ def price(usage: DataFrame, book: RateBook, pairs: DataFrame | None = None) -> D
         picos = (picos + F.coalesce((whole(tokens) * whole(c(f"_{field}_picos"))).cast("decimal(38,0)"), zero)).cast("decimal(38,0)")
     estimated = F.when(reported | ~known | (total == 0), F.lit(0).cast("bigint")).otherwise(c("_nanos"))
     missing = lambda tokens, field: F.when(~reported & (~known | c(f"_{field}_picos").isNull()), tokens).otherwise(F.lit(0).cast("bigint"))
-    out = _matched(usage, book, pairs).withColumn("_picos_sum", picos).withColumn("_nanos", F.expr("CAST((_picos_sum + 500) DIV 1000 AS BIGINT)"))
+    out = _matched(usage, book).withColumn("_picos_sum", picos).withColumn("_nanos", F.expr("CAST((_picos_sum + 500) DIV 1000 AS BIGINT)"))
     out = out.withColumns({
         "reported_cost_nanos": F.when(reported, c("reported_nanos")).otherwise(F.lit(0).cast("bigint")),
         "estimated_nanos": estimated,

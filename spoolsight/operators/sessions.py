@@ -8,38 +8,37 @@ from pyspark.sql import functions as F
 from spoolsight.corpus import Corpus
 from spoolsight.operators import filters
 from spoolsight.operators.usage import priced_usage
+from spoolsight.shared import written
 
 SUBAGENT = "subagent_of"
 KEY = ["agent", "session_id"]
 
 
-def descendants(edges: DataFrame, kind: str = SUBAGENT, roots: DataFrame | None = None, most_levels: int = 64) -> DataFrame:
+def descendants(edges: DataFrame, kind: str = SUBAGENT, roots: DataFrame | None = None) -> DataFrame:
     """All (agent, root, node) where node lies below root over edges of a kind; safe with cycles.
 
-    The frontier advances one level a round over all roots at once, and leaves out what a root has reached already. Each
-    round is cut off by a checkpoint where the session has a checkpoint folder.
+    Steps double: after k rounds all nodes less than 2^k levels below a root are found, and the jumps of 2^k levels that lead
+    on from them are made of two jumps of half that length. So the rounds grow with the logarithm of the depth. When a
+    round finds nothing new there is nothing more: a deeper node would have had one at just that distance above it. Each
+    round is written to the shared folder: a lost executor repeats a part of one round, and plans stay short.
     """
-    step = edges.where(F.col("kind") == kind).select("agent", F.col("to_id").alias("node"), F.col("from_id").alias("child")).distinct()
-    start = step.select("agent", F.col("node").alias("root")).distinct() if roots is None else roots.select("agent", F.col("session_id").alias("root")).distinct()
-    frontier = start.select("agent", "root", F.col("root").alias("node"))
-    found = frontier
-    for _ in range(most_levels):
-        below = frontier.join(step, ["agent", "node"]).select("agent", "root", F.col("child").alias("node")).distinct()
-        frontier = _cut(below.join(found, ["agent", "root", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        found = _cut(found.union(frontier))
-    return found.where("node <> root")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
-def session_costs(c: Corpus) -> DataFrame:
-    """Tokens and cost per session, from owned usage."""
+    jump = written(edges.where(F.col("kind") == kind).select("agent", F.col("to_id").alias("node"), F.col("from_id").alias("child")).distinct(), "jumps")
+    start = jump.select("agent", F.col("node").alias("root")).distinct() if roots is None else roots.select("agent", F.col("session_id").alias("root")).distinct()
+    found = written(start.select("agent", "root", F.col("root").alias("node")), "below")
+    while True:
+        below = found.join(jump, ["agent", "node"]).select("agent", "root", F.col("child").alias("node")).distinct()
+        new = written(below.join(found, ["agent", "root", "node"], "left_anti"), "below-new")
+        if new.isEmpty():
+            return found.where("node <> root")
+        found = written(found.unionByName(new), "below")
+        on = jump.select("agent", F.col("node").alias("child"), F.col("child").alias("next"))
+        jump = written(jump.join(on, ["agent", "child"]).select("agent", "node", F.col("next").alias("child")).distinct(), "jumps")
+
+
+def session_costs(c: Corpus, only: DataFrame | None = None) -> DataFrame:
+    """Tokens and cost per session (of ``only``, if given), from owned usage."""
     sums = lambda n: F.sum(F.col(n).cast("decimal(38,0)")).cast("bigint")
-    return priced_usage(c).groupBy(*KEY).agg(
+    return priced_usage(c, only).groupBy(*KEY).agg(
         *(F.sum(F.coalesce(F.col(t), F.lit(0))).cast("bigint").alias(t) for t in ("input", "output", "cache_read", "cache_write")),
         sums("amount_nanos").alias("cost_nanos"), sums("reported_cost_nanos").alias("cost_reported_nanos"), sums("estimated_nanos").alias("cost_estimated_nanos"),
         sums("unpriced_tokens").alias("unpriced_tokens"),
@@ -50,15 +49,16 @@ def session_summary(c: Corpus, only: DataFrame | None = None) -> DataFrame:
     """One row per session: counts of messages, tool calls and subagents, parent and type of a subagent, tokens and cost.
 
     Children are counted first and joined then, each child table shuffled once by session. ``only`` restricts which sessions
-    are shown; who owns a shared turn is still decided among all.
+    are shown, and what is counted and priced for them; who owns a shared turn is still decided among all.
     """
     below = c.relations.where(F.col("kind") == SUBAGENT)
     up = below.groupBy("agent", F.col("from_id").alias("session_id")).agg(F.min("to_id").alias("parent_id"), F.min(F.get_json_object("evidence", "$.agentType")).alias("subagent_type"))
     down = below.groupBy("agent", F.col("to_id").alias("session_id")).agg(F.count(F.lit(1)).alias("subagents"))
-    out = c.sessions if only is None else c.sessions.join(only.select(*KEY), KEY, "left_semi")
+    chosen = (lambda df: df) if only is None else (lambda df: df.join(only.select(*KEY), KEY, "left_semi"))
+    out = chosen(c.sessions)
     for child, name in ((c.messages, "messages"), (c.tool_calls, "tool_calls")):
-        out = out.join(child.groupBy(*KEY).agg(F.count(F.lit(1)).alias(name)), KEY, "left")
-    out = out.join(up, KEY, "left").join(down, KEY, "left").join(session_costs(c), KEY, "left")
+        out = out.join(chosen(child).groupBy(*KEY).agg(F.count(F.lit(1)).alias(name)), KEY, "left")
+    out = out.join(up, KEY, "left").join(down, KEY, "left").join(session_costs(c, only), KEY, "left")
     counts = ["messages", "tool_calls", "subagents", "input", "output", "cache_read", "cache_write", "cost_nanos", "cost_reported_nanos", "cost_estimated_nanos", "unpriced_tokens"]
     return out.select(
         *KEY, "title", "created_at", "modified_at", "cwd", "workspace", "git_branch", *(F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in counts),

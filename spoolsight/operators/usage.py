@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spoolsight.corpus import Corpus
 from spoolsight.functions.scalars import day_of
 from spoolsight.operators import filters
-from spoolsight.operators.pricing import model_pairs, price
+from spoolsight.operators.pricing import price
 
 TOKENS = ("input", "output", "cache_read", "cache_write", "cache_write_1h")
 UNPRICED = ("unpriced_input", "unpriced_output", "unpriced_cache_read", "unpriced_cache_write")
@@ -34,25 +34,44 @@ def richest_claims(claims: DataFrame) -> DataFrame:
     return folded.select(*claims.columns).unionByName(claims.where("content_id = '' or content_id is null"))
 
 
+def _placed(claims: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Owned claims with their session's workspace and times, and whether it is known."""
+    about = sessions.select("agent", "session_id", "workspace", F.col("created_at").alias("session_created_at"), F.col("modified_at").alias("_ended"), F.lit(True).alias("_known"))
+    placed = claims.join(about, ["agent", "session_id"], "left")
+    alone = F.coalesce("content_id", F.lit("")) == ""
+    spread = F.when(alone, F.xxhash64("session_id", "seq"))
+    order = [F.col("_ended").asc_nulls_last(), F.col("session_created_at").asc_nulls_last(), "session_id", "seq"]
+    first = F.row_number().over(Window.partitionBy("agent", "content_id", "request_id", spread).orderBy(*order))
+    return placed.withColumn("_r", first).where((F.col("_r") == 1) | alone)
+
+
 def own_usage(claims: DataFrame, sessions: DataFrame) -> DataFrame:
     """Usage rows that are charged: a turn that several sessions carry belongs to the one that ended first.
 
     Of equal ends the earlier created session, then the smaller id, then the earlier message owns it; unknown ends come last.
-    Rows without content id are never duplicates; they skip the shuffle on the turn's key, and cannot skew it.
+    Rows without content id are never duplicates; they are spread by session and message, and cannot skew the turns' keys.
     """
-    named = claims.where("content_id <> ''").join(sessions.select("agent", "session_id", F.col("modified_at").alias("_ended"), F.col("created_at").alias("_began")), ["agent", "session_id"], "left")
-    order = [F.col("_ended").asc_nulls_last(), F.col("_began").asc_nulls_last(), "session_id", "seq"]
-    first = F.row_number().over(Window.partitionBy("agent", "content_id", "request_id").orderBy(*order))
-    owned = named.withColumn("_r", first).where("_r = 1").select(*claims.columns)
-    return owned.unionByName(claims.where("content_id = '' or content_id is null"))
+    return _placed(claims, sessions.withColumn("workspace", F.lit(None))).select(*claims.columns)
 
 
-def priced_usage(c: Corpus) -> DataFrame:
+def priced_usage(c: Corpus, only: DataFrame | None = None) -> DataFrame:
     """Owned usage with its cost, its session's workspace and times. Ownership is decided before pricing, pricing before any
-    sum."""
-    owned = own_usage(c.usage, c.sessions)
-    placed = owned.join(c.sessions.select("agent", "session_id", "workspace", F.col("created_at").alias("session_created_at")), ["agent", "session_id"])
-    return price(placed, c.rates, model_pairs(c.usage))
+    sum.
+
+    ``only``: sessions to give the usage of. Who owns a turn is decided among all sessions that carry it, so the turns of the
+    asked sessions are looked up by key in all usage, and nothing else of it is ranked or priced.
+    """
+    claims = c.usage
+    if only is not None:
+        own = claims.join(only.select("agent", "session_id"), ["agent", "session_id"], "left_semi")
+        alone = F.coalesce("content_id", F.lit("")) == ""
+        keys = own.where(~alone).select("agent", "content_id", F.coalesce("request_id", F.lit("")).alias("_request")).distinct()
+        shared = claims.where(~alone).withColumn("_request", F.coalesce("request_id", F.lit(""))).join(keys, ["agent", "content_id", "_request"], "left_semi").drop("_request")
+        claims = shared.unionByName(own.where(alone))
+    placed = _placed(claims, c.sessions).where("_known").select(*claims.columns, "workspace", "session_created_at")
+    if only is not None:
+        placed = placed.join(only.select("agent", "session_id"), ["agent", "session_id"], "left_semi")
+    return price(placed, c.rates)
 
 
 def _sums(prefix: str = "") -> list[Column]:
@@ -144,18 +163,18 @@ def usage_pivot(c: Corpus, group: str = "agent", values: list[str] | None = None
 def blocks(c: Corpus, agent: str | None = None, limit: int | None = None, as_of: str | None = None) -> DataFrame:
     """Usage by fixed windows of five hours since the epoch, newest first.
 
-    The newest usage day's end is the anchor; windows further back than ``limit`` from it are left out of the scan. Rows
-    without message time take no part. ``active``: the window contains ``as_of``.
+    The newest usage day's end is the anchor; windows further back than ``limit`` from it are left out. Rows without message
+    time take no part but in that day. ``active``: the window contains ``as_of``.
     """
     default, most = filters.LIMITS["blocks"]
     limit = default if limit is None else limit
     if limit < 0 or limit > most:
         raise ValueError(f"limit of blocks is 0 to {most}")
-    rows = priced_usage(c).where(filters.equal(F.col("agent"), agent))
-    last = rows.agg(F.max(usage_day()).alias("day")).select((F.unix_seconds(F.to_timestamp(F.nullif("day", F.lit("")))) + 86400).alias("anchor"))
-    rows = rows.where("created_at is not null").withColumn("win", F.expr(f"unix_seconds(created_at) div {BLOCK_SECONDS}"))
-    recent = rows.join(F.broadcast(last), F.expr(f"win >= anchor div {BLOCK_SECONDS} - {int(limit)}"))  # the one anchor row
-    sums = recent.groupBy("win").agg(*_sums(), F.countDistinct("agent", "session_id").alias("sessions"), F.count(F.lit(1)).alias("requests"))
+    rows = priced_usage(c).where(filters.equal(F.col("agent"), agent)).withColumn("win", F.expr(f"unix_seconds(created_at) div {BLOCK_SECONDS}"))
+    sums = rows.groupBy("win").agg(*_sums(), F.countDistinct("agent", "session_id").alias("sessions"), F.count(F.lit(1)).alias("requests"), F.max(usage_day()).alias("day"))
+    # one row a window: 1,753 a year
+    anchor = F.unix_seconds(F.to_timestamp(F.nullif(F.max("day").over(Window.partitionBy(F.lit(0))), F.lit("")))) + 86400
+    sums = sums.withColumn("anchor", anchor).where(f"win >= anchor div {BLOCK_SECONDS} - {int(limit)}").drop("anchor", "day")
     now = F.lit(as_of).cast("timestamp")
     start = F.timestamp_seconds(F.col("win") * BLOCK_SECONDS)
     end = F.timestamp_seconds((F.col("win") + 1) * BLOCK_SECONDS)

@@ -100,15 +100,18 @@ def view_sql(*names: str) -> str:
     return ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One view over the tables of ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One view over the tables of ``sf_dir``. ``tables`` keeps those that were read already."""
+    tables = {} if tables is None else tables
     sql = VIEWS[name].replace("//", "div") if "conv_id //" in VIEWS[name] else VIEWS[name]
     bases = [t for t in ("events", "conversations", "documents", "ev") if re.search(rf"\b(FROM|JOIN) {t}\b", sql)]
-    frames = {t: view(spark, sf_dir, t) if t in VIEWS else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in bases}
+    for t in bases:
+        if t not in tables:
+            tables[t] = view(spark, sf_dir, t, tables) if t in VIEWS else spark.read.parquet(f"{sf_dir}/{t}.parquet")
     sql = sql.replace("{", "{{").replace("}", "}}")
     for t in bases:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
-    return spark.sql(sql, **frames)
+    return spark.sql(sql, **{t: tables[t] for t in bases})
 
 
 def _typed(df: DataFrame, table: str) -> DataFrame:
@@ -121,6 +124,7 @@ def driver_rates(spark: SparkSession) -> RateBook:
 
 
 def driver_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """Corpus over the views. Only the tables that an operation uses are ever read."""
-    tables = {n: _typed(view(spark, sf_dir, f"v_{n}"), n) for n in ("sessions", "messages", "usage", "tool_calls", "session_events", "relations", "artifacts")}
+    """Corpus over the views. Each base table's schema is read once; rows only of tables that an operation uses."""
+    read: dict[str, DataFrame] = {}
+    tables = {n: _typed(view(spark, sf_dir, f"v_{n}", read), n) for n in ("sessions", "messages", "usage", "tool_calls", "session_events", "relations", "artifacts")}
     return Corpus(spark, rates=driver_rates(spark), **tables)
