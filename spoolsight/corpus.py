@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,34 +37,29 @@ def schema(name: str) -> T.StructType:
     return T._parse_datatype_string(SCHEMAS[name])  # noqa: SLF001
 
 
-@dataclass(frozen=True)
 class Corpus:
-    """Canonical tables; those not given are empty. ``rates`` is a rate book (see ``operators.pricing``)."""
-
-    spark: SparkSession
-    sessions: DataFrame | None = None
-    relations: DataFrame | None = None
-    messages: DataFrame | None = None
-    usage: DataFrame | None = None
-    tool_calls: DataFrame | None = None
-    tool_results: DataFrame | None = None
-    session_events: DataFrame | None = None
-    artifacts: DataFrame | None = None
-    artifact_links: DataFrame | None = None
-    history: DataFrame | None = None
-    issues: DataFrame | None = None
-    ingest_runs: DataFrame | None = None
-    findings: DataFrame | None = None
-    annotations: DataFrame | None = None
-    rates: object = None
-
-    def __post_init__(self):
-        for name in SCHEMAS:
-            if getattr(self, name) is None:
-                object.__setattr__(self, name, self.spark.createDataFrame([], SCHEMAS[name]))
+    """Canonical tables; those not given are empty. A table may be given as a function that makes it, which is called when the
+    table is first asked for. ``rates`` is a rate book (see ``operators.pricing``)."""
+
+    def __init__(self, spark: SparkSession, rates: object = None, **tables: DataFrame | Callable[[], DataFrame] | None):
+        if unknown := tables.keys() - SCHEMAS.keys():
+            raise TypeError(f"no such tables: {sorted(unknown)}")
+        self.spark, self.rates, self._tables = spark, rates, dict(tables)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        table = self._tables.get(name)
+        if table is None:
+            table = self.spark.createDataFrame([], SCHEMAS[name])
+        elif not isinstance(table, DataFrame):
+            table = table()
+        self._tables[name] = table
+        return table
 
     def with_tables(self, **tables) -> Corpus:
-        return replace(self, **tables)
+        """The same corpus with some tables, or its rates, replaced."""
+        return Corpus(self.spark, **({"rates": self.rates} | self._tables | tables))
 
 
 def union_corpora(corpora: list[Corpus]) -> Corpus:

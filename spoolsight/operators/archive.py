@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoolsight.corpus import Corpus
+from spoolsight.corpus import SCHEMAS, Corpus
 
 KEPT_RUNS = 100
 CHILDREN = ("messages", "usage", "tool_calls", "session_events", "artifact_links")
@@ -18,6 +21,22 @@ def list_sources(spark: SparkSession, *globs: str) -> DataFrame:
     return files.select("path", "length", F.col("modificationTime").alias("mtime"))
 
 
+def discover(spark: SparkSession, agent: str, roots: list[str]) -> tuple[DataFrame | None, list[str], DataFrame]:
+    """Sources of all roots that can be listed (None without any), those roots, and an issue for each other root.
+
+    A root that is missing or unreadable is incomplete: nothing that came from it counts as vanished (see ``prune``, which
+    takes the roots given back here). There are a few roots, each named by the user.
+    """
+    listings, accessible, bad = [], [], []
+    for root in roots:
+        try:
+            listings.append(list_sources(spark, root))
+            accessible.append(root)
+        except AnalysisException as e:
+            bad.append((None, "warning", "discovery", agent, root, None, str(e).split("\n", 1)[0]))
+    return (reduce(DataFrame.unionByName, listings) if listings else None), accessible, spark.createDataFrame(bad, SCHEMAS["issues"])
+
+
 def changed_sources(listing: DataFrame, manifest: DataFrame, parser_version: int, content: DataFrame | None = None) -> DataFrame:
     """Sources to parse: new size or time, or another parser version. With ``content`` (path, content), only files with
     another signature are read, and those whose hash did not change are left out.
@@ -45,6 +64,13 @@ def replace_sessions(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select(*KEY).distinct(), KEY, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def replace_sources(stored: DataFrame, fresh: DataFrame, failed: DataFrame) -> DataFrame:
+    """Rows of a full pass in place of the stored ones, but of sources in ``failed`` (``source_path``) all that was stored, and
+    nothing of what the pass saw before it failed there."""
+    kept = stored.join(failed.select("source_path").distinct(), "source_path", "left_semi")
+    return kept.unionByName(fresh.join(failed.select("source_path").distinct(), "source_path", "left_anti"), allowMissingColumns=True)
+
+
 def replace_history(old: DataFrame, new: DataFrame) -> DataFrame:
     """Prompt logs replaced by whole source files."""
     return old.join(new.select("source_path").distinct(), "source_path", "left_anti").unionByName(new)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import re
 from collections.abc import Iterable
+from string import ascii_lowercase, ascii_uppercase
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -53,8 +54,10 @@ def canonical_argument(path: str) -> str:
 
 
 def contains(column: Column, text: str | None) -> Column:
-    """Literal substring, letters in either case."""
-    return F.lit(True) if not text else F.lower(column).contains(text.lower())
+    """Literal substring; A-Z match in either case, other letters only as they are."""
+    if not text:
+        return F.lit(True)
+    return F.translate(column, ascii_uppercase, ascii_lowercase).contains(text.translate(str.maketrans(ascii_uppercase, ascii_lowercase)))
 
 
 def one_of(column: Column, values: str | Iterable[str] | None, allowed: Iterable[str], what: str) -> Column:
@@ -85,9 +88,10 @@ def searchable(kind: Column, text: Column) -> Column:
 
 
 def page(df: DataFrame, order: list[Column], op: str, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Ordered page under the operation's policy: a default, a ceiling that is refused and not clipped, no negatives."""
+    """Ordered page under the operation's policy: a default, a ceiling that is refused and not clipped, no negatives. A limit of 0
+    is none given."""
     default, most = LIMITS.get(op, (None, None))
-    limit = default if limit is None else limit
+    limit = limit or default
     if offset < 0 or limit is not None and limit < 0:
         raise ValueError("limit and offset must not be negative")
     if most is not None and limit > most:

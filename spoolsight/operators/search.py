@@ -87,18 +87,19 @@ def _followed(first: Column, k: int, word: str) -> Column:
 
 
 def search(index: SearchIndex, q: str, agent: str | None = None, limit: int | None = None) -> DataFrame:
-    """Hits of a query, best BM25 score first, with a marked snippet."""
+    """Hits of a query, best BM25 score first, with a marked snippet. Documents are ranked without their text; only the page's
+    texts are fetched."""
     words = sorted({w for t in parse_query(q) for w in t})
     frequency = index.postings.where(F.col("term").isin(*words) if words else F.lit(False)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    found = hits(index, q).join(index.docs.where(filters.equal(F.col("agent"), agent)), "doc")
-    each = found.select("doc", F.explode("at").alias("term", "positions"), "length")
+    found = hits(index, q).join(index.docs.where(filters.equal(F.col("agent"), agent)).select("doc", "length"), "doc")
+    each = found.select("doc", "start", F.explode("at").alias("term", "positions"), "length")
     parts = each.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(index.totals))  # the query's tokens; one row
     tf, idf = F.size("positions"), F.log(1 + (F.col("documents") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    ranked = parts.groupBy("doc").agg(F.round(F.sum(score), 9).alias("score"))
-    out = found.join(ranked, "doc").withColumn("snippet", snippet(F.col("text"), words, F.col("start")))
-    shown = out.select("doc", "agent", "session_id", "seq", "artifact_kind", "artifact_name", "score", "snippet")
-    return filters.page(shown, [F.desc("score"), F.col("doc")], "search", limit)
+    order = [F.desc("score"), F.col("doc")]
+    ranked = filters.page(parts.groupBy("doc").agg(F.round(F.sum(score), 9).alias("score"), F.first("start").alias("start")), order, "search", limit)
+    out = ranked.join(index.docs, "doc").withColumn("snippet", snippet(F.col("text"), words, F.col("start")))
+    return out.select("doc", "agent", "session_id", "seq", "artifact_kind", "artifact_name", "score", "snippet").orderBy(*order)
 
 
 def snippet(text: Column, words: list[str], start: Column) -> Column:

@@ -55,7 +55,8 @@ def session_summary(c: Corpus, only: DataFrame | None = None) -> DataFrame:
     up = below.groupBy("agent", F.col("from_id").alias("session_id")).agg(F.min("to_id").alias("parent_id"), F.min(F.get_json_object("evidence", "$.agentType")).alias("subagent_type"))
     down = below.groupBy("agent", F.col("to_id").alias("session_id")).agg(F.count(F.lit(1)).alias("subagents"))
     chosen = (lambda df: df) if only is None else (lambda df: df.join(only.select(*KEY), KEY, "left_semi"))
-    out = chosen(c.sessions)
+    whole = only is not None and set(c.sessions.columns) <= set(only.columns)
+    out = only if whole else chosen(c.sessions)
     for child, name in ((c.messages, "messages"), (c.tool_calls, "tool_calls")):
         out = out.join(chosen(child).groupBy(*KEY).agg(F.count(F.lit(1)).alias(name)), KEY, "left")
     out = out.join(up, KEY, "left").join(down, KEY, "left").join(session_costs(c, only), KEY, "left")
@@ -78,7 +79,7 @@ def sessions(c: Corpus, agent: str | None = None, project: str | None = None, mo
         hidden = c.relations.where(F.col("kind") == SUBAGENT).select("agent", F.col("from_id").alias("session_id"))
         chosen = chosen.join(hidden, KEY, "left_anti")
     order = [F.desc("modified_at"), F.desc("session_id"), F.col("agent")]
-    paged = filters.page(chosen, order, "sessions", limit, offset)
+    paged = written(filters.page(chosen, order, "sessions", limit, offset), "sessions-page")  # 500 rows at most, used many times
     return session_summary(c, paged).orderBy(*order)
 
 
@@ -106,7 +107,7 @@ def session(c: Corpus, agent: str, session_id: str) -> dict[str, DataFrame]:
         "summary": session_summary(c, root),
         "relations": relations_of(c, agent, session_id),
         "models": c.messages.where(own & (F.col("model") != "")).select("model").distinct().orderBy("model"),
-        "events": c.session_events.where(own).groupBy(*KEY).agg(F.collect_list("kind").alias("kinds")).select(*KEY, F.expr("map_from_entries(transform(array_distinct(kinds), k -> struct(k, cast(size(filter(kinds, x -> x = k)) as bigint))))").alias("counts")),
+        "events": c.session_events.where(own).groupBy(*KEY, "kind").count().groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("kind", "count"))).alias("counts")),
         "lines": calls.where("lines_added is not null or lines_removed is not null").agg(F.coalesce(F.sum("lines_added"), F.lit(0)).alias("added"), F.coalesce(F.sum("lines_removed"), F.lit(0)).alias("removed"), F.countDistinct(F.nullif("file_path", F.lit(""))).alias("files")),
         "artifacts": c.artifact_links.where(own).select("kind", "name", "relation", "evidence", "anchor_seq").orderBy("kind", "name"),
         "subagents": children.orderBy("created_at", "session_id"),

@@ -167,7 +167,7 @@ def blocks(c: Corpus, agent: str | None = None, limit: int | None = None, as_of:
     time take no part but in that day. ``active``: the window contains ``as_of``.
     """
     default, most = filters.LIMITS["blocks"]
-    limit = default if limit is None else limit
+    limit = limit or default
     if limit < 0 or limit > most:
         raise ValueError(f"limit of blocks is 0 to {most}")
     rows = priced_usage(c).where(filters.equal(F.col("agent"), agent)).withColumn("win", F.expr(f"unix_seconds(created_at) div {BLOCK_SECONDS}"))

@@ -7,6 +7,7 @@ is one SELECT over the base tables or over earlier views.
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,7 +125,7 @@ def driver_rates(spark: SparkSession) -> RateBook:
 
 
 def driver_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """Corpus over the views. Each base table's schema is read once; rows only of tables that an operation uses."""
+    """Corpus over the views. Only tables that an operation uses are made, and each base table's schema is read once."""
     read: dict[str, DataFrame] = {}
-    tables = {n: _typed(view(spark, sf_dir, f"v_{n}", read), n) for n in ("sessions", "messages", "usage", "tool_calls", "session_events", "relations", "artifacts")}
-    return Corpus(spark, rates=driver_rates(spark), **tables)
+    names = ("sessions", "messages", "usage", "tool_calls", "session_events", "relations", "artifacts")
+    return Corpus(spark, rates=driver_rates(spark), **{n: partial(lambda n: _typed(view(spark, sf_dir, f"v_{n}", read), n), n) for n in names})

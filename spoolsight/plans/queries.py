@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +18,7 @@ from spoolsight.operators import search as X
 from spoolsight.operators import sessions as S
 from spoolsight.operators import usage as U
 from spoolsight.plans import driver_views as V
+from spoolsight.shared import new_folder
 from spoolsight.sources import claude, shared
 from spoolsight.sources.lines import split_lines
 from spoolsight.streaming import live
@@ -390,10 +390,11 @@ def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _finish(df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream to its end into a memory table and give that."""
-    name = "stream_" + uuid.uuid4().hex
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """Run a stream to its end, its state and its last whole result in the shared folder, and give that result."""
+    folder, state = new_folder(df.sparkSession, "stream-out"), new_folder(df.sparkSession, "stream-state")
+    store = lambda batch, _: batch.write.mode("overwrite").parquet(folder)  # noqa: E731  a batch that comes again writes the same
+    df.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 @query("stream_tool_counts", f"""{with_views("v_tool_calls")} SELECT strftime(CAST(started_at AS DATE), '%Y-%m-%d') AS day, name, count(*) AS n, count(*) FILTER (status IN ('error', 'blocked')) AS failures, CAST(sum(coalesce(duration_ms, 0)) AS BIGINT) AS total_ms FROM v_tool_calls GROUP BY ALL""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST_BYTES = 10 << 20
@@ -12,11 +12,16 @@ def read_jsonl(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     """Lines of JSON log files: ``path``, ``line`` (from 1), ``value``, ``json`` (a VARIANT); and issues for lines that are too long
     or no JSON.
 
-    A session log is one file and is read whole by one task, up to Spark's limit for one value; files are spread over tasks. Blank
-    lines are skipped but counted. Lines of over 10 MiB are skipped and reported; a bad line does not stop the file.
+    A large log is split over tasks. Its lines are numbered by their place in a block of the file, on top of how many lines the
+    blocks before hold; only those counts, one row a block, are gathered by file. Blank lines are skipped but counted. Lines
+    of over 10 MiB are skipped and reported; a bad line does not stop the file.
     """
-    files = spark.read.text(list(paths), wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "value")).select("path", (F.col("n") + 1).cast("bigint").alias("line"), "value").where(F.trim("value") != "")
+    text = spark.read.text(list(paths), lineSep="\n", recursiveFileLookup=True)
+    # a block is read by one task, in order, so that these ids follow one another within it
+    text = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("value"))
+    blocks = text.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
+    lines = text.join(blocks.withColumn("before", before), ["path", "block"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value").where(F.trim("value") != "")
     return split_lines(lines)
 
 

@@ -154,8 +154,9 @@ def test_plans_prune_columns_and_push_filters(spark, corpus, tmp_path):
     assert "PushedFilters" in plan and "EqualTo(kind,shell)" in plan and "old_text" not in plan.split("== Physical Plan ==")[1]
 
 
-def test_package_works_without_the_corpus_operators(tmp_path):
-    """The entry module still imports where they are deleted."""
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_package_works_without_the_corpus_operators(tmp_path, gone):
+    """Where their folders are deleted, with the pipeline or without, the entry module imports and its other queries run."""
     import os
     import shutil
     import subprocess
@@ -163,7 +164,40 @@ def test_package_works_without_the_corpus_operators(tmp_path):
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     copy = tmp_path / "copy"
-    shutil.copytree(root, copy, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
-    code = "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and 'usage_by_model' in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(*gone, ".git", "__pycache__"))
+    code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+assert "pipeline" not in e.queries() and set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 90
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert e.entry(spark).count() > 0
+"""
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True)
+
+
+def test_closure_of_deep_chains_and_cycles(spark):
+    edge = "agent string, from_id string, to_id string, kind string"
+    chain = [("a", f"n{k + 1}", f"n{k}", "subagent_of") for k in range(150)]
+    ring = [("a", f"r{(k + 1) % 3}", f"r{k}", "subagent_of") for k in range(3)] + [("a", "x", "r0", "subagent_of"), ("a", "y", "r0", "fork_of")]
+    edges = spark.createDataFrame(chain + ring, edge)
+    got = sessions.descendants(edges)
+    assert got.where("root = 'n0'").count() == 150 and got.where("root like 'n%'").count() == 150 * 151 // 2
+    assert {(r.root, r.node) for r in got.where("root like 'r%'").collect()} == {(f"r{a}", f"r{b}") for a in range(3) for b in range(3) if a != b} | {(f"r{a}", "x") for a in range(3)}
+    only = sessions.descendants(edges, roots=spark.createDataFrame([("a", "n140"), ("a", "none")], "agent string, session_id string"))
+    assert {r.node for r in only.collect()} == {f"n{k}" for k in range(141, 151)}
+
+
+def test_discovery_spares_what_cannot_be_listed(spark, tmp_path):
+    (tmp_path / "here").mkdir()
+    (tmp_path / "here" / "s1.jsonl").write_text("{}")
+    here, gone = f"file://{tmp_path}/here", f"file://{tmp_path}/gone"
+    listing, accessible, issues = archive.discover(spark, "claude", [here, gone])
+    assert accessible == [here] and [r.path.rsplit("/", 1)[1] for r in listing.collect()] == ["s1.jsonl"]
+    assert [(i.category, i.path, i.severity) for i in issues.collect()] == [("discovery", gone, "warning")]
+    rows = [(f"s{k}", f"{root}/s{k}.jsonl") for k, root in ((1, here), (2, here), (3, gone))]
+    stored = spark.createDataFrame(rows, "session_id string, source_path string").withColumns({"agent": F.lit("claude"), "origin": F.lit("ingest")})
+    left = archive.prune(Corpus(spark, sessions=stored), listing.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///")), accessible)
+    assert {r.session_id for r in left.sessions.collect()} == {"s1", "s3"}
+    nothing, accessible, issues = archive.discover(spark, "claude", [gone])
+    assert nothing is None and not accessible and issues.count() == 1

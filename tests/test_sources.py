@@ -24,6 +24,23 @@ def test_bad_blank_and_long_lines(spark, tmp_path):
     assert good.count() == 0 and issues.first().category == "size_limit"
 
 
+def test_numbers_of_a_log_that_is_split(spark, tmp_path):
+    """A log is read by several tasks; lines keep their numbers, blank ones counted."""
+    text = "".join("\n" if n % 7 == 0 else json.dumps({"n": n, "pad": "é" * (n % 300)}) + ("\r\n" if n % 2 else "\n") for n in range(1, 3001))
+    (tmp_path / "big.jsonl").write_bytes(text.encode())
+    (tmp_path / "small.jsonl").write_text('{"n": 1}')
+    had = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        good, issues = read_jsonl(spark, str(tmp_path))
+        assert good.rdd.getNumPartitions() > 3
+        rows = [(r.path.rsplit("/", 1)[1], r.line, json.loads(r.value)["n"]) for r in good.select("path", "line", "value").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", had)
+    assert all(line == n for _, line, n in rows) and issues.count() == 0
+    assert sorted(n for f, _, n in rows if f == "big.jsonl") == [n for n in range(1, 3001) if n % 7] and len(rows) == 3000 - 3000 // 7 + 1
+
+
 def test_claude_logs(spark):
     t = lambda s: f"2026-07-01T10:00:{s:02d}Z"
     usage = {"input_tokens": 10, "output_tokens": 5, "cache_read_input_tokens": 7, "cache_creation_input_tokens": 4, "cache_creation": {"ephemeral_1h_input_tokens": 3}}
