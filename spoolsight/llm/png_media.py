@@ -22,6 +22,7 @@ LEVEL = 6
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
 SIDE, LOW = 32, 8
+ROWS_AT_ONCE = 4096
 
 
 def chunk(kind: bytes, data: bytes) -> bytes:
@@ -30,15 +31,19 @@ def chunk(kind: bytes, data: bytes) -> bytes:
 
 def encode_png(samples: np.ndarray) -> bytes:
     """A grey 8-bit PNG of a two-dimensional array. Each row takes the filter, of none, left and up, whose output has the
-    least sum of absolute signed values."""
+    least sum of absolute signed values. Large images are filtered some rows at a time."""
     height, width = samples.shape
-    left, above = np.zeros_like(samples), np.zeros_like(samples)
-    left[:, 1:], above[1:] = samples[:, :-1], samples[:-1]
-    tried = np.stack([samples, samples - left, samples - above])
-    filters = np.abs(tried.view("i1").astype("i2")).sum(axis=2).argmin(axis=0)
     rows = np.empty((height, width + 1), "u1")
-    rows[:, 0] = filters
-    rows[:, 1:] = tried[filters, np.arange(height)]
+    for at in range(0, height, ROWS_AT_ONCE):
+        some = samples[at : at + ROWS_AT_ONCE]
+        left, above = np.zeros_like(some), np.zeros_like(some)
+        left[:, 1:], above[1:] = some[:, :-1], some[:-1]
+        if at:
+            above[0] = samples[at - 1]
+        tried = np.stack([some, some - left, some - above])
+        filters = np.abs(tried.view("i1").astype("i2")).sum(axis=2).argmin(axis=0)
+        rows[at : at + len(some), 0] = filters
+        rows[at : at + len(some), 1:] = tried[filters, np.arange(len(some))]
     header = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
     return SIGNATURE + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(rows.tobytes(), LEVEL)) + chunk(b"IEND", b"")
 
@@ -135,18 +140,23 @@ COSINES = _cosines()
 def low_frequency_hash(samples: np.ndarray) -> bytes:
     """64 bits: which of the 8 x 8 lowest cosine coefficients of the image, averaged down to 32 x 32, lie above the median of
     all but the first. Each small sample is the mean of its area of the image, part rows and columns in proportion."""
-    small = _averaged(_averaged(samples.astype("f8")).T).T
+    small = _averaged(_averaged(samples).T).T
     low = np.rint(COSINES @ small @ COSINES.T * 1e6)
     return np.packbits(low.ravel() > np.median(low.ravel()[1:])).tobytes()
 
 
 def _averaged(rows: np.ndarray) -> np.ndarray:
-    """Rows averaged to 32, by differences of running sums at fractional places."""
+    """Rows averaged to 32, by differences of running sums at fractional places. The running sums of many rows are only made
+    at these places."""
     n = len(rows)
-    sums = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)])
     places = np.arange(SIDE + 1) * n / SIDE
     whole = np.minimum(places.astype(int), n - 1)
-    at = sums[whole] + (places - whole)[:, None] * (sums[whole + 1] - sums[whole])
+    if n > ROWS_AT_ONCE:
+        parts = [rows[a:b].sum(axis=0, dtype="f8") for a, b in zip([0, *whole[:-1]], whole)]
+        at = np.cumsum(parts, axis=0) + (places - whole)[:, None] * rows[whole]
+    else:
+        sums = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0, dtype="f8")])
+        at = sums[whole] + (places - whole)[:, None] * (sums[whole + 1] - sums[whole])
     return np.diff(at, axis=0) * (SIDE / n)
 
 

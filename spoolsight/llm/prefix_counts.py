@@ -28,7 +28,7 @@ from spoolsight.llm.byte_bpe import KEPT_LENGTH, ByteBpe
 from spoolsight.llm.resident import resident
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-SHORT = 64
+SHORT, BLOCK = 64, 1 << 16
 KEPT_PIECES = 700_000
 WHITE_RUN = re.compile(r"[^\S\x1c-\x1f]{2,}(?=[^\s]|[\x1c-\x1f])")
 ROWS_AT_ONCE = 256
@@ -151,24 +151,28 @@ class PrefixCounter:
         return count[1:].T[inside]
 
     def _alone(self, piece: bytes) -> np.ndarray:
-        """One long piece: all token ends are looked up at once, then the places are filled one by one."""
+        """One long piece, a block at a time: all token ends in a block are looked up at once, then its places are filled one by
+        one."""
         n = len(piece)
-        hashes = np.zeros(n + 1, "u8")
-        h = 0
-        for i, c in enumerate(piece, 1):
-            h = (h * int(BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
-            hashes[i] = h
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for size in range(min(n, self.longest), 0, -1):
-            token = self.token_table.get(hashes[size:] - hashes[: n + 1 - size] * self.powers[size])
-            for k in np.flatnonzero(token >= 0):
-                ends[k + size].append((size, int(token[k])))
-        last, count = [-1] * (n + 1), np.zeros(n + 1, "i4")
-        for i in range(1, n + 1):
-            for size, token in ends[i]:
-                if size == i or self.one_pair_stays(last[i - size], token):
-                    last[i], count[i] = token, count[i - size] + 1
-                    break
+        last, count = np.full(n + 1, -1, "i4"), np.zeros(n + 1, "i4")
+        for start in range(0, n, BLOCK):
+            end, low = min(n, start + BLOCK), max(0, start - self.longest)
+            hashes = np.zeros(end - low + 1, "u8")
+            h = 0
+            for i, c in enumerate(piece[low:end], 1):
+                h = (h * int(BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
+                hashes[i] = h
+            ends: list[list[tuple[int, int]]] = [[] for _ in range(end - start)]
+            for size in range(min(end, self.longest), 0, -1):
+                first = max(start + 1, size) - low
+                token = self.token_table.get(hashes[first:] - hashes[first - size : len(hashes) - size] * self.powers[size])
+                for k in np.flatnonzero(token >= 0).tolist():
+                    ends[first + k + low - start - 1].append((size, int(token[k])))
+            for i, found in enumerate(ends, start + 1):
+                for size, token in found:
+                    if size == i or self.one_pair_stays(int(last[i - size]), token):
+                        last[i], count[i] = token, count[i - size] + 1
+                        break
         return count
 
     @lru_cache(maxsize=200_000)  # noqa: B019  one counter a worker

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ SHINGLE = 3
 SEED = 42
 SEGMENTS = 16
 DENSE = 32
-SHINGLES_AT_ONCE = 100_000
+SHINGLES_AT_ONCE, LONG_TEXT = 100_000, 1 << 20
 
 
 def fingerprint_words(text: str | None, shingle: int = SHINGLE) -> list[int]:
@@ -35,6 +36,21 @@ def fingerprint_words(text: str | None, shingle: int = SHINGLE) -> list[int]:
     return [h(b" ".join(s), SEED) for s in zip(*(words[k:] for k in range(shingle)))]
 
 
+def long_fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Fingerprint of one text, of which only some words are held at a time."""
+    words = (m[0] for m in re.finditer(WORD, text.encode().lower()))
+    counts, total, held = np.zeros(64, "i8"), 0, list(islice(words, shingle - 1))
+    while more := list(islice(words, SHINGLES_AT_ONCE)):
+        held += more
+        hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(held[k:] for k in range(shingle)))), "u8", len(more))
+        counts += np.unpackbits(hashes.astype("<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
+        total += len(more)
+        held = held[len(more) :]
+    if not total:  # fewer words than a shingle has
+        return int(majority_bits(np.array(fingerprint_words(text, shingle), "u8"), np.array([1]))[0]) if held else 0
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+
+
 def majority_bits(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """For each run of ``hashes`` the 64-bit number of the bits set in over half of them; 0 for an empty run."""
     out = np.zeros(len(lengths), "u8")
@@ -60,12 +76,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             size = 0
             texts = batch.column(1)
             for k in range(batch.num_rows):
-                held.append(fingerprint_words(texts[k].as_py()))
-                size += len(held[-1])
-                if size > SHINGLES_AT_ONCE or k == batch.num_rows - 1:
+                text = texts[k].as_py()
+                long = text is not None and len(text) > LONG_TEXT
+                if not long:
+                    held.append(fingerprint_words(text))
+                    size += len(held[-1])
+                if held and (long or size > SHINGLES_AT_ONCE or k == batch.num_rows - 1):
                     flat = np.fromiter((h for hs in held for h in hs), "u8", size)
                     fps.append(majority_bits(flat, np.array([len(hs) for hs in held])))
                     held, size = [], 0
+                if long:
+                    fps.append(np.array([long_fingerprint(text)], "u8"))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(fps).view("i8") if fps else np.zeros(0, "i8"))], names=["doc_id", "key", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
