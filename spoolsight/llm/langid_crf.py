@@ -259,8 +259,9 @@ def train(texts: list[tuple[str, str]], rounds: int = 40, seed: int = 11) -> Mod
     return model
 
 
-def fit(labelled: DataFrame, sample_per_language: int = 250, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit to a bounded sample: of each language the ``sample_per_language`` distinct texts with the smallest hash.
+def fit(labelled: DataFrame, sample_per_language: int = 250, sample_chars: int = 8_000_000, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit to a bounded sample: of each language the ``sample_per_language`` distinct texts with the smallest hash, up to the
+    one with which they have ``sample_chars`` characters.
 
     The hashes are found over all labelled rows: distinct ones are counted by language and by their upper twelve bits, and
     only those up to the count that is needed are ranked, so no task sees all of a language. Then just the chosen texts are
@@ -268,13 +269,15 @@ def fit(labelled: DataFrame, sample_per_language: int = 250, text_col: str = "te
     Rows with null text or language teach nothing.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h")).where("text is not null and lang is not null")
-    hashes = rows.select("lang", "h", F.shiftright("h", 52).alias("bucket")).distinct()
+    hashes = rows.select("lang", "h", F.shiftright("h", 52).alias("bucket"), F.length("text").cast("long").alias("size")).distinct()
     upto = F.sum("n").over(Window.partitionBy("lang").orderBy("bucket"))
     enough = hashes.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
     last = enough.groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("upto") >= sample_per_language, F.col("bucket"))), F.max("bucket")).alias("last"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     few = hashes.join(F.broadcast(last), "lang").where("bucket <= last")  # one row a language
-    chosen = few.withColumn("r", rank).where(F.col("r") <= sample_per_language).select("lang", "h")
+    chosen = few.withColumn("r", rank).where(F.col("r") <= sample_per_language)
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    chosen = chosen.withColumn("before", before).where(F.col("before") < sample_chars).select("lang", "h").distinct()
     texts = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     return train([(r.text, r.lang) for r in sorted(texts.collect(), key=lambda r: (r.lang, r.h))])
 
