@@ -76,8 +76,9 @@ def expected_links(c: Corpus, rules: list[LinkRule]) -> DataFrame:
         if r.agent:
             calls, made = calls.where(F.col("agent") == r.agent), made.where(F.col("agent") == r.agent)
         if r.artifact_key is not None and r.call_key is not None:
-            left = made.select("agent", "kind", "name", r.artifact_key.alias("_key")).where("_key is not null")
-            right = calls.select("agent", "session_id", "message_seq", r.call_key.alias("_key")).where("_key is not null")
+            # keys may be whole texts; their digests are what is moved
+            left = made.select("agent", "kind", "name", F.sha2(r.artifact_key, 256).alias("_key")).where("_key is not null")
+            right = calls.select("agent", "session_id", "message_seq", F.sha2(r.call_key, 256).alias("_key")).where("_key is not null")
             found = left.join(right, ["agent", "_key"]).groupBy("agent", "kind", "name", "session_id").agg(F.max("message_seq").alias("anchor_seq"))
             rows = found.select("agent", "kind", "name", "session_id", F.lit("produced").alias("relation"), F.lit("rule").alias("evidence"), "anchor_seq")
         else:
