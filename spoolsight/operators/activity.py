@@ -118,7 +118,7 @@ def export_commands(c: Corpus, fmt: str, path: str | None = None, limit: int | N
     filters.positive("limit", limit)
     arguments = {"agent": None, "project": None, "query": None, "since": None, "until": None} | options
     rows = _commands(c, **arguments)
-    if limit is not None:
+    if limit:
         rows = rows.orderBy(F.desc("started_at"), *_command_ties(F.desc)).limit(limit)
     out = rows.orderBy(F.asc("started_at"), *_command_ties(F.asc)).select(lines[fmt].alias("value"))
     if path is not None:

@@ -10,6 +10,7 @@ from spoolsight.functions import scalars as Z
 from spoolsight.operators import activity as A
 from spoolsight.operators import archive as K
 from spoolsight.operators import links as L
+from spoolsight.operators import pricing as P
 from spoolsight.operators import scan as C
 from spoolsight.operators import search as X
 from spoolsight.operators import sessions as S
@@ -17,7 +18,7 @@ from spoolsight.operators import usage as U
 from spoolsight.plans import driver_views as V
 from spoolsight.plans.queries import _SUMMARY, OWNED, PRICED_FLAG, SUMS, corpus, query, shown, with_views
 from spoolsight.shared import new_folder, written
-from spoolsight.sources import shared
+from spoolsight.sources.lines import read_jsonl
 from spoolsight.streaming import live
 
 # -- ranked search over all messages and documents
@@ -263,3 +264,73 @@ def _failed(c: Corpus) -> DataFrame:
     stored, fresh = rows.withColumn("state", F.lit("old")), rows.where("seq % 3 = 0").withColumn("state", F.lit("new"))
     errors = rows.where("right(session_id, 1) = '5'").select("source_path").distinct()
     return K.replace_sources(stored, fresh, errors).select("session_id", "call_id", "state")
+
+
+# -- shell histories of commands with line ends, empty lines and backslashes
+_AWKWARD = "concat('echo \"a', chr(92), 'b', CAST(seq AS VARCHAR(20)), '\"', CASE seq % 3 WHEN 0 THEN '' WHEN 1 THEN concat(chr(10), 'done') ELSE concat(chr(10), chr(10), 'done') END)"
+_CALLS = f"""{with_views("v_tool_calls")}, c AS (SELECT *, {_AWKWARD} AS text, CAST(CAST(floor(epoch(started_at)) AS BIGINT) AS VARCHAR) AS s FROM v_tool_calls WHERE kind = 'shell')"""
+_ZSH = "replace(replace(text, concat(chr(10), chr(10)), concat(chr(92), chr(92), chr(1), chr(92), chr(1))), chr(10), concat(chr(92), chr(92), chr(1)))"
+for _fmt, _sql in (
+    ("plain", "text"), ("bash", "concat('#', s, chr(10), text)"), ("zsh", f"concat(': ', s, ':0;', replace({_ZSH}, chr(1), chr(10)))"),
+    ("fish", "concat('- cmd: ', replace(replace(text, chr(92), concat(chr(92), chr(92))), chr(10), concat(chr(92), 'n')), chr(10), '  when: ', s)"),
+):
+    query(f"export_awkward_{_fmt}", f"""{_CALLS} SELECT {_sql} AS value FROM c""")(corpus(lambda c, f=_fmt: A.export_commands(_awkward(c), f)))
+query("export_newest", f"""{_CALLS} SELECT text AS value FROM (SELECT * FROM c ORDER BY started_at DESC, session_id DESC, seq DESC, agent DESC LIMIT 100)""")(corpus(lambda c: A.export_commands(_awkward(c), "plain", limit=100)))
+
+
+def _awkward(c: Corpus) -> Corpus:
+    return c.with_tables(tool_calls=c.tool_calls.withColumn("command", F.expr(_AWKWARD.replace("VARCHAR(20)", "STRING"))))
+
+
+# -- where hits lie
+query("search_locators", f"""{_RANKED}, l AS (SELECT concat('message/', agent, '/', session_id, '/', CAST(seq AS VARCHAR)) AS doc, agent, session_id, seq, NULL AS artifact_kind, NULL AS artifact_name FROM v_messages
+    UNION ALL SELECT concat('artifact/', agent, '/plan/', name), agent, NULL, NULL, 'plan', name FROM v_artifacts)
+  SELECT l.* FROM (SELECT doc FROM s ORDER BY s.score DESC, doc LIMIT 50) JOIN l USING (doc)""")(
+    lambda spark, sf_dir: X.search(_search_corpus(spark, sf_dir), "of_the that", limit=50).select("doc", "agent", "session_id", "seq", "artifact_kind", "artifact_name")
+)
+
+# -- runs, their diagnostics, and the archive's state
+query("recorded_runs", """WITH r AS (SELECT conv_id, count(*) AS files, count(*) FILTER (turn % 3 = 2) AS bad FROM conversations GROUP BY conv_id), k AS (SELECT * FROM r ORDER BY conv_id DESC LIMIT 100)
+  SELECT conv_id AS run_id, files, CASE WHEN bad = 0 THEN 'ok' WHEN files > bad THEN 'partial' ELSE 'failed' END AS status, bad AS issues FROM k""")(lambda spark, sf_dir: _runs(spark, sf_dir))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a run with a file a turn, of which every third fails. All runs are recorded; the last hundred stay."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    empty = Corpus(spark)
+    zero = F.lit(0).cast("bigint")
+    runs = turns.groupBy(F.col("conv_id").alias("run_id")).agg(F.count(F.lit(1)).alias("files")).select("run_id", F.lit(None).cast("timestamp").alias("started_at"), F.lit("").alias("status"), "files", zero.alias("sessions"), zero.alias("messages"))
+    found = turns.where("turn % 3 = 2").select(F.col("conv_id").alias("run_id"), F.lit("error").alias("severity"), F.lit("bad_json").alias("category"), F.lit("a").alias("agent"), F.concat_ws("/", "conv_id", "turn").alias("path"), F.lit(None).cast("bigint").alias("line"), F.lit("").alias("detail"))
+    kept, issues = K.record_run(empty.ingest_runs, empty.issues, runs, found)
+    return kept.join(issues.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")), "run_id", "left").select("run_id", "files", "status", F.coalesce("n", zero).alias("issues"))
+
+
+query("archive_status", f"""{with_views("v_sessions")} SELECT count(*) FILTER (right(session_id, 1) = '1') AS imported_sessions, 0 AS truncated, count(*) FILTER (right(session_id, 1) = '2') AS dirty_sessions, TRUE AS rollups_pending, FALSE AS scan_pending FROM v_sessions""")(corpus(lambda c: _status(c)))
+
+
+def _status(c: Corpus) -> DataFrame:
+    marked = c.with_tables(sessions=c.sessions.withColumn("origin", F.when(F.col("session_id").endswith("1"), "imported").otherwise(F.col("origin"))))
+    dirty = c.sessions.where(F.col("session_id").endswith("2"))
+    return K.archive_status(marked, dirty, {"rollups": 1, "scan": 7}, {"rollups": 2, "scan": 7}).drop("last_run", "last_status")
+
+
+# -- rates and logs from files
+@query("priced_from_rate_file", f"""WITH {OWNED} SELECT agent, session_id, seq, reported_cost_nanos + estimated_nanos AS amount_nanos FROM priced""")
+def _from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "rates")
+    spark.createDataFrame([(V.RATES_JSON,)], "value string").coalesce(1).write.text(folder)
+    c = V.driver_corpus(spark, sf_dir).with_tables(rates=P.load_rates(spark, f"{folder}/part-*"))
+    return U.priced_usage(c).select("agent", "session_id", "seq", "amount_nanos")
+
+
+query("read_log_lines", "SELECT count(*) AS lines, TRUE AS numbered, sum(length(text)) AS characters FROM conversations")(lambda spark, sf_dir: _log_files(spark, sf_dir))
+
+
+def _log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files of JSON lines with a blank one after each, read back: how many, whether each file's lines are
+    numbered on and on, and how long their texts are."""
+    folder = new_folder(spark, "logs")
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat(F.to_json(F.struct("conv_id", "turn", "text")), F.lit("\n"))).write.text(folder)
+    good, _ = read_jsonl(spark, folder)
+    files = good.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("line").alias("own"), F.max("line").alias("last"), F.sum(F.length(F.get_json_object("value", "$.text"))).alias("size"))
+    return files.agg(F.sum("n").alias("lines"), F.bool_and((F.col("n") == F.col("own")) & (F.col("last") == 2 * F.col("n") - 1)).alias("numbered"), F.sum("size").alias("characters"))
