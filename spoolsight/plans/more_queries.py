@@ -334,3 +334,47 @@ def _log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, _ = read_jsonl(spark, folder)
     files = good.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("line").alias("own"), F.max("line").alias("last"), F.sum(F.length(F.get_json_object("value", "$.text"))).alias("size"))
     return files.agg(F.sum("n").alias("lines"), F.bool_and((F.col("n") == F.col("own")) & (F.col("last") == 2 * F.col("n") - 1)).alias("numbered"), F.sum("size").alias("characters"))
+
+
+# -- stateful streams against the batch forms
+_DELTAS = f"""{_COUNTED}, p AS (SELECT *, lag(ti) OVER w AS wi, lag("to") OVER w AS wo FROM c WINDOW w AS (PARTITION BY agent, session_id ORDER BY seq))
+  SELECT agent, session_id, seq, CASE WHEN seq % 2 = 0 THEN i WHEN wi IS NULL OR ti + "to" < wi + wo THEN ti ELSE ti - wi END AS input FROM p"""
+
+
+@query("stream_counter_deltas", _DELTAS)
+def _stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of ``counter_deltas_by_session`` as they arrive, with each session's last total in state."""
+    own = spark.newSession()  # the state store is this query's own setting
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        if (value := spark.conf.get(name, None)) is not None:
+            own.conf.set(name, value)
+    rows = _counters(V.driver_corpus(own, sf_dir).usage)
+    return _drained(live.stream_deltas(_landed(own, rows, "counters"))).select("agent", "session_id", F.col("line").alias("seq"), F.col("input_tokens").alias("input"))
+
+
+query("stream_rollups", f"""{with_views("v_usage")} SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS requests, CAST(sum(input) AS BIGINT) AS input FROM v_usage WHERE created_at IS NOT NULL GROUP BY 1""")(lambda spark, sf_dir: _stream_rollups(spark, sf_dir))
+
+
+def _stream_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily rollups kept by a stream: each batch replaces the days that it touches, from all rows of these days."""
+    usage = V.driver_corpus(spark, sf_dir).usage.where("created_at is not null").select("input", F.col("created_at").alias("ts"))
+    usage = live.with_day(usage)
+    folder, rollups = new_folder(spark, "usage"), new_folder(spark, "rollups")
+    usage.write.parquet(folder)
+    build = lambda rows: rows.groupBy("day").agg(F.count(F.lit(1)).alias("requests"), F.sum("input").alias("input"))
+    store = live.rollup_writer(rollups, lambda: spark.read.schema(usage.schema).parquet(folder), build)
+    stream = spark.readStream.schema(usage.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    live.stream_ingest(stream, store, new_folder(spark, "stream-state")).awaitTermination()
+    return spark.read.schema("requests bigint, input bigint, day string").parquet(rollups)
+
+
+query("stream_segments", "SELECT role, count(*) AS lines FROM conversations WHERE role IS NOT NULL GROUP BY role")(lambda spark, sf_dir: _stream_segments(spark, sf_dir))
+
+
+def _stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log segments dropped into a folder, each read once."""
+    folder = new_folder(spark, "segments")
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role is not null").select(F.to_json(F.struct("conv_id", "role"))).write.text(folder)
+    lines = _drained(live.read_segments(spark, folder))
+    return lines.groupBy(F.get_json_object("value", "$.role").alias("role")).agg(F.count(F.lit(1)).alias("lines"))
