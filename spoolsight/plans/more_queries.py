@@ -129,7 +129,7 @@ def _scalars(c: Corpus) -> DataFrame:
 
 
 # -- reads from stored rollups
-def _stored_rollups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def stored_rollups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     folder = new_folder(spark, "rollups")
     U.write_rollups(*U.build_rollups(U.priced_usage(V.driver_corpus(spark, sf_dir))), folder)
     return spark.read.parquet(f"{folder}/daily"), spark.read.parquet(f"{folder}/members")
@@ -137,7 +137,7 @@ def _stored_rollups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 for _group, _key in U.GROUPS.items():
     query(f"usage_by_{_group}_from_rollups", f"""WITH {OWNED} SELECT {_key} AS "group", {SUMS}, count(*) AS requests, {PRICED_FLAG}, count(DISTINCT (agent, session_id)) AS sessions FROM priced GROUP BY 1""")(
-        lambda spark, sf_dir, g=_group: U.usage_from_rollups(*_stored_rollups(spark, sf_dir), g).withColumn("group", F.col("group").cast("string"))
+        lambda spark, sf_dir, g=_group: U.usage_from_rollups(*stored_rollups(spark, sf_dir), g).withColumn("group", F.col("group").cast("string"))
     )
 
 # -- sessions and what lies below them
