@@ -59,8 +59,9 @@ LINKS, SHORT, LONG, MANY_STOPS, FEW_STOPS = 0.4, 70, 140, 0.12, 0.05
 KNOWN, UNSPACED = 0.04, 15
 WORDS = re.compile(r"[^\W\d_]+")
 NOTHING, WEAK, STRONG, COMMENT = range(4)
-#: Shares of the text around it from which an element is spared, by what its names say.
-SPARED = {NOTHING: 2.0, WEAK: 0.5, STRONG: 0.8, COMMENT: 0.95}
+#: Shares of the text around it from which an element is spared, by what its names say. Reader comments are so only on pages
+#: without a main article.
+SPARED = {NOTHING: 2.0, WEAK: 0.5, STRONG: 0.9, COMMENT: 0.99}
 
 
 @dataclass(slots=True)
@@ -195,7 +196,7 @@ def boilerplate(elements: list[_Element]) -> list[int]:
     for k, e in enumerate(elements[1:], 1):
         inside[k] = k == main or inside[e.parent]
         around = elements[main if inside[k] else 0].plain + (e.plain if e.kind == COMMENT else 0)
-        spared = k in holds_main or e.plain >= SPARED[e.kind] * around > 0
+        spared = k in holds_main or e.plain >= SPARED[e.kind] * around > 0 and not (main and e.kind == COMMENT)
         held[k] = max(held[e.parent], NOTHING if spared else e.kind)
     return held
 

@@ -27,6 +27,13 @@ def test_names_do_not_lose_the_article(around):
     assert main_text(AROUND.format(page, TEXT.replace("best", "comment"))) == want
 
 
+def test_comments_longer_than_the_article():
+    comments = f"<section class='comment-list'>{f'<article class=comment><p>{TEXT}</p></article>' * 60}</section>"
+    assert main_text(f"<main><article><p>{TEXT}</p></article>{comments}</main>") == TEXT.strip()
+    assert main_text(f"<div class='entry'><p>{TEXT}</p></div>{comments}") == TEXT.strip()
+    assert main_text(f"<main><p>{TEXT}</p><aside><p>{TEXT * 5}</p></aside></main>") == TEXT.strip()
+
+
 def test_article_without_known_stop_words():
     words = "Xyzzy qwert plugh frobnicate gribble snarf " * 8
     page = f"<article><p>{words}</p><table><tr><td>One cell</td><td>2</td></tr></table><p><a href=x>link one</a></p><p><a href=y>link two</a></p></article>"
