@@ -10,6 +10,8 @@ import ctypes
 import gc
 from collections.abc import Callable, Hashable
 
+import pyarrow as pa
+
 _held: dict[Hashable, object] = {}
 
 
@@ -28,7 +30,8 @@ def release() -> None:
     if _held:
         _held.clear()
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):
-            return
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return
