@@ -22,14 +22,20 @@ def resident(key: Hashable, make: Callable[[], object]):
         made = make()
         _held.clear()
         _held[key] = made
+        _give_back()  # what was only needed to make it
     return _held[key]
 
 
 def release() -> None:
-    """Let go of what is kept, and give free memory back to the system where its C library can."""
+    """Let go of what is kept, and give free memory back to the system."""
     if _held:
         _held.clear()
         gc.collect()
+    _give_back()
+
+
+def _give_back() -> None:
+    """Arrow's free memory and, where the C library can, that of Python."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
