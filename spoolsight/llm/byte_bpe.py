@@ -41,7 +41,7 @@ def byte_alphabet() -> list[str]:
 class ByteBpe:
     """One opened tokenizer. Only byte-level BPE without normaliser is accepted; anything else raises ValueError."""
 
-    def __init__(self, source: str, leaf: int = 16):
+    def __init__(self, source: str, leaf: int = 16, kept: int = KEPT_PIECES):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
@@ -54,7 +54,7 @@ class ByteBpe:
         self.library.no_padding()
         self.raw = Tokenizer(self.library.model)  # BPE over exactly the characters between two blanks
         self.raw.pre_tokenizer = CharDelimiterSplit(" ")
-        self.leaf = leaf
+        self.leaf, self.kept = leaf, kept
         chars = byte_alphabet()
         self.to_chars = {b: c if b != JOINED else " " for b, c in enumerate(chars)}
         self.from_chars = {ord(c): b for b, c in enumerate(chars)}
@@ -127,7 +127,7 @@ class ByteBpe:
         missing = [p for p in dict.fromkeys(pieces) if p not in known]
         if not missing:
             return
-        if len(known) + len(missing) > KEPT_PIECES:
+        if len(known) + len(missing) > self.kept:
             known.clear()
             missing = list(dict.fromkeys(pieces))
         specials, leaf = self.specials, self.leaf
@@ -212,7 +212,7 @@ def _halves(n: int, leaf: int) -> list[int]:
     return [n * k // parts for k in range(parts + 1)] if n else [0]
 
 
-def opened(source: str, leaf: int = 16) -> ByteBpe:
+def opened(source: str, leaf: int = 16, kept: int = KEPT_PIECES) -> ByteBpe:
     """This worker's tokenizer for ``source``. The library takes as many threads as Spark grants a Python worker."""
     os.environ.setdefault("RAYON_NUM_THREADS", os.environ.get("OMP_NUM_THREADS", "1"))
-    return resident(("tokenizer", hash(source), leaf), lambda: ByteBpe(source, leaf))
+    return resident(("tokenizer", hash(source), leaf, kept), lambda: ByteBpe(source, leaf, kept))

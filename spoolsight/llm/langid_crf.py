@@ -33,7 +33,7 @@ BUCKETS = 1 << 17
 NOTHING = BUCKETS  # the row of weights that stays 0
 BLOCK = 512
 WORDS_AT_ONCE = 200_000
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
 FLOOR = -25.0
 GAIN = 1e-3  # training ends when a round adds less than this to the log-likelihood of a word
 #: Texts of the tables have 0.946 or more of their features in the sample, other Latin languages up to 0.88, scripts up to 0.53.

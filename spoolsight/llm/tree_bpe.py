@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spoolsight.llm.byte_bpe import opened
 
 ROWS_AT_ONCE = 256
+KEPT_PIECES = 250_000  # beside the ids and texts of a pipeline's last stage
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 16) -> DataFrame:
@@ -28,7 +29,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     source = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = opened(source.value, leaf)
+        bpe = opened(source.value, leaf, KEPT_PIECES)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
