@@ -210,8 +210,8 @@ ORACLES: dict[str, str] = {
               FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
         SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
     "op13_suffix_spans": """
-        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-        w AS (SELECT r, p, x[2 * p + 1 : 2 * p + 400] AS s FROM (SELECT r, x, unnest(range(strlen(x) // 2 - 199)) AS p FROM d)),
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS y, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT r, p, y[p + 1 : p + 200] AS s FROM (SELECT r, y, unnest(range(strlen(x) // 2 - 199)) AS p FROM d)),
         f AS (SELECT r, p, p - row_number() OVER (PARTITION BY r ORDER BY p) AS g FROM (SELECT r, p, count(*) OVER (PARTITION BY s) AS n FROM w) WHERE n > 1),
         i AS (SELECT r, min(p) AS s, max(p) + 200 AS e FROM f GROUP BY r, g),
         o AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY r ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM i),
