@@ -11,19 +11,31 @@ from spoolsight.operators.usage import priced_usage
 from spoolsight.shared import written
 
 SUBAGENT = "subagent_of"
+#: Levels that are searched one by one below given roots, before steps double.
+LEVELS = 16
 KEY = ["agent", "session_id"]
 
 
 def descendants(edges: DataFrame, kind: str = SUBAGENT, roots: DataFrame | None = None) -> DataFrame:
     """All (agent, root, node) where node lies below root over edges of a kind; safe with cycles.
 
-    Steps double: after k rounds all nodes less than 2^k levels below a root are found, and the jumps of 2^k levels that lead
-    on from them are made of two jumps of half that length. So the rounds grow with the logarithm of the depth. When a
+    With given ``roots`` the search goes down level by level from them and touches no other tree; only below ``LEVELS`` levels it
+    goes on as without roots.
+
+    Without, steps double: after k rounds all nodes less than 2^k levels below a root are found, and the jumps of 2^k levels that
+    lead on from them are made of two jumps of half that length. So the rounds grow with the logarithm of the depth. When a
     round finds nothing new there is nothing more: a deeper node would have had one at just that distance above it. Each
     round is written to the shared folder: a lost executor repeats a part of one round, and plans stay short.
     """
-    jump = written(edges.where(F.col("kind") == kind).select("agent", F.col("to_id").alias("node"), F.col("from_id").alias("child")).distinct(), "jumps")
-    start = jump.select("agent", F.col("node").alias("root")).distinct() if roots is None else roots.select("agent", F.col("session_id").alias("root")).distinct()
+    steps = edges.where(F.col("kind") == kind).select("agent", F.col("to_id").alias("node"), F.col("from_id").alias("child")).distinct()
+    if roots is None:
+        start = steps.select("agent", F.col("node").alias("root")).distinct()
+    else:
+        start = roots.select("agent", F.col("session_id").alias("root")).distinct()
+        found, ended = _levels_below(steps, start)
+        if ended:
+            return found.where("node <> root")
+    jump = written(steps, "jumps")
     found = written(start.select("agent", "root", F.col("root").alias("node")), "below")
     while True:
         below = found.join(jump, ["agent", "node"]).select("agent", "root", F.col("child").alias("node")).distinct()
@@ -35,6 +47,97 @@ def descendants(edges: DataFrame, kind: str = SUBAGENT, roots: DataFrame | None
         jump = written(jump.join(on, ["agent", "child"]).select("agent", "node", F.col("next").alias("child")).distinct(), "jumps")
 
 
+def _levels_below(steps: DataFrame, start: DataFrame) -> tuple[DataFrame, bool]:
+    """What lies up to ``LEVELS`` levels below the roots of ``start``, and whether that is all. Only the last level is joined."""
+    level = written(start.select("agent", "root", F.col("root").alias("node")), "level")
+    found = level
+    for _ in range(LEVELS):
+        below = level.join(steps, ["agent", "node"]).select("agent", "root", F.col("child").alias("node")).distinct()
+        level = written(below.join(found, ["agent", "root", "node"], "left_anti"), "level")
+        if level.isEmpty():
+            return found, True
+        found = found.unionByName(level)
+    return found, False
+
+
+def subtree_totals(edges: DataFrame, values: DataFrame, names: list[str], kind: str = SUBAGENT) -> DataFrame:
+    """For every node of an edge what lies below it: ``agent``, ``session_id``, ``sessions`` (how many nodes) and the sums of the columns
+    ``names`` of ``values`` (agent, session_id, numbers; nodes without a row count 0).
+
+    A node counts once below another, however it is reached, and never below itself. No list of pairs is made: sums and pointers
+    double. When each node has the sum of what is less than 2^k levels below it, and a pointer to the node 2^k levels above, it
+    hands that sum to that node, which so has the sum of twice as many levels. Each round has one row a node.
+
+    Cycles: what still has a pointer after as many levels as there are nodes leads into a cycle, and all pointers end on one. Nodes
+    of a cycle have each other and all that hangs on the cycle below them; for everybody else the cycle is cut there.
+    Several parents: sums would count a node once a way. Only nodes above one with several parents are listed in pairs instead.
+    """
+    links = edges.where(F.col("kind") == kind).select("agent", F.col("from_id").alias("node"), F.col("to_id").alias("up")).where("node <> up").distinct()
+    links = written(links, "tree-links")
+    sums = ["sessions", *names]
+    own = values.select("agent", F.col("session_id").alias("node"), *(F.coalesce(F.col(n), F.lit(0)).cast("decimal(38,0)").alias(n) for n in names))
+    nodes = links.select("agent", "node").union(links.select("agent", "up")).distinct()
+    numbers = [F.lit(1).cast("decimal(38,0)").alias("sessions"), *(F.coalesce(n, F.lit(0)).cast("decimal(38,0)").alias(n) for n in names)]
+    nodes = written(nodes.join(own, ["agent", "node"], "left").select("agent", "node", *numbers), "tree-nodes")
+
+    shared = written(links.groupBy("agent", "node").agg(F.count(F.lit(1)).alias("ups")).where("ups > 1").select("agent", "node"), "several-parents")
+    many = not shared.isEmpty()
+    if many:  # they and all above them; the edges of the others make a forest, with cycles
+        turned = links.select("agent", F.col("node").alias("to_id"), F.col("up").alias("from_id"), F.lit(kind).alias("kind"))
+        above = descendants(turned, kind, shared.select("agent", F.col("node").alias("session_id"))).select("agent", "node")
+        above = written(above.union(shared).distinct(), "above-several-parents")
+        pairs = descendants(edges, kind, above.select("agent", F.col("node").alias("session_id")))
+        listed = pairs.join(nodes, ["agent", "node"]).groupBy("agent", F.col("root").alias("node")).agg(*(F.sum(n).alias(n) for n in sums))
+        forest = links.join(above, ["agent", "node"], "left_anti")
+    else:
+        forest = links
+
+    cycles = _cycles(forest, nodes.count())
+    cut = forest if cycles is None else forest.join(cycles.select("agent", "node"), ["agent", "node"], "left_anti")
+    whole = written(_summed(cut, nodes, sums), "tree-sums")  # each node with what is below it
+    below = whole.join(nodes.select("agent", "node", *(F.col(n).alias(f"own_{n}") for n in sums)), ["agent", "node"])
+    if cycles is not None:
+        rings = cycles.join(whole, ["agent", "node"]).groupBy("agent", "ring").agg(*(F.sum(n).alias(f"ring_{n}") for n in sums))
+        below = below.join(cycles.join(rings, ["agent", "ring"]).drop("ring"), ["agent", "node"], "left")
+    else:
+        below = below.select("*", *(F.lit(None).cast("decimal(38,0)").alias(f"ring_{n}") for n in sums))
+    out = below.select("agent", "node", *((F.coalesce(f"ring_{n}", n) - F.col(f"own_{n}")).alias(n) for n in sums))
+    if many:
+        rest = out.join(above, ["agent", "node"], "left_anti")
+        none = above.join(listed, ["agent", "node"], "left").select("agent", "node", *(F.coalesce(n, F.lit(0)).alias(n) for n in sums))
+        out = rest.unionByName(none)
+    return out.select("agent", F.col("node").alias("session_id"), *(F.col(n).cast("bigint").alias(n) for n in sums))
+
+
+def _doubled(pointers: DataFrame) -> DataFrame:
+    """Pointers (agent, node, up, and perhaps least) of twice the length; those that end above a root are gone."""
+    on = pointers.select("agent", F.col("node").alias("up"), F.col("up").alias("next"), *([F.col("least").alias("_least")] if "least" in pointers.columns else []))
+    least = [F.least("least", "_least").alias("least")] if "least" in pointers.columns else []
+    return pointers.join(on, ["agent", "up"]).select("agent", "node", F.col("next").alias("up"), *least)
+
+
+def _cycles(forest: DataFrame, most: int) -> DataFrame | None:
+    """``agent``, ``node``, ``ring`` (least node of its cycle) of all nodes on cycles; None without any. Each node has one parent here."""
+    pointers, length = forest.withColumn("least", F.least("node", "up")), 1
+    while length < 2 * most:
+        pointers, length = written(_doubled(pointers), "cycle-pointers"), 2 * length
+        if pointers.isEmpty():
+            return None
+    ends = pointers.select("agent", F.col("up").alias("node")).distinct()
+    return written(pointers.join(ends, ["agent", "node"], "left_semi").select("agent", "node", F.col("least").alias("ring")), "cycles")
+
+
+def _summed(forest: DataFrame, nodes: DataFrame, sums: list[str]) -> DataFrame:
+    """``nodes`` with their sums over themselves and all below them, in a forest."""
+    pointers = forest
+    while not pointers.isEmpty():
+        given = nodes.join(pointers, ["agent", "node"]).groupBy("agent", F.col("up").alias("node")).agg(*(F.sum(n).alias(f"more_{n}") for n in sums))
+        nodes = nodes.join(given, ["agent", "node"], "left")
+        nodes = nodes.select("agent", "node", *((F.col(n) + F.coalesce(f"more_{n}", F.lit(0))).cast("decimal(38,0)").alias(n) for n in sums))
+        nodes, pointers = written(nodes, "subtree-sums"), written(_doubled(pointers), "subtree-pointers")
+    return nodes
+
+
 def session_costs(c: Corpus, only: DataFrame | None = None) -> DataFrame:
     """Tokens and cost per session (of ``only``, if given), from owned usage."""
     sums = lambda n: F.sum(F.col(n).cast("decimal(38,0)")).cast("bigint")
@@ -94,14 +197,16 @@ def relations_of(c: Corpus, agent: str, session_id: str) -> DataFrame:
 
 
 def session(c: Corpus, agent: str, session_id: str) -> dict[str, DataFrame]:
-    """Everything about one session: summary, relations, models, event counts, line totals, artifacts, and totals over all
-    sessions below it. An unknown session is a LookupError."""
+    """Everything about one session: summary, relations, models, event counts, line totals, artifacts, its direct subagents, and
+    totals over all sessions below it. An unknown session is a LookupError."""
     own = (F.col("agent") == agent) & (F.col("session_id") == session_id)
     root = c.sessions.where(own)
     if root.isEmpty():
         raise LookupError(f"no session {agent}/{session_id}")
     below = descendants(c.relations, SUBAGENT, root).select("agent", F.col("node").alias("session_id"))
-    children = session_summary(c, below)
+    children = written(session_summary(c, below), "sessions-below")
+    direct = c.relations.where((F.col("kind") == SUBAGENT) & (F.col("agent") == agent) & (F.col("to_id") == session_id))
+    direct = direct.select("agent", F.col("from_id").alias("session_id")).distinct()
     calls = c.tool_calls.where(own)
     return {
         "summary": session_summary(c, root),
@@ -110,7 +215,7 @@ def session(c: Corpus, agent: str, session_id: str) -> dict[str, DataFrame]:
         "events": c.session_events.where(own).groupBy(*KEY, "kind").count().groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("kind", "count"))).alias("counts")),
         "lines": calls.where("lines_added is not null or lines_removed is not null").agg(F.coalesce(F.sum("lines_added"), F.lit(0)).alias("added"), F.coalesce(F.sum("lines_removed"), F.lit(0)).alias("removed"), F.countDistinct(F.nullif("file_path", F.lit(""))).alias("files")),
         "artifacts": c.artifact_links.where(own).select("kind", "name", "relation", "evidence", "anchor_seq").orderBy("kind", "name"),
-        "subagents": children.orderBy("created_at", "session_id"),
+        "subagents": children.join(direct, KEY, "left_semi").orderBy("created_at", "session_id"),
         "subagent_totals": children.agg(F.count(F.lit(1)).alias("sessions"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("messages", "tool_calls", "input", "output", "cache_read", "cache_write", "cost_nanos", "unpriced_tokens"))),
     }
 

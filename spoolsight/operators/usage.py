@@ -9,6 +9,7 @@ from spoolsight.corpus import Corpus
 from spoolsight.functions.scalars import day_of
 from spoolsight.operators import filters
 from spoolsight.operators.pricing import price
+from spoolsight.shared import written
 
 TOKENS = ("input", "output", "cache_read", "cache_write", "cache_write_1h")
 UNPRICED = ("unpriced_input", "unpriced_output", "unpriced_cache_read", "unpriced_cache_write")
@@ -113,6 +114,83 @@ def refresh_rollups(old: tuple[DataFrame, DataFrame], priced: DataFrame, dirty:
     return daily.join(days, "day", "left_anti").unionByName(new_daily), members.join(days, "day", "left_anti").unionByName(new_members)
 
 
+TURN = ["agent", "content_id", "request_id"]
+
+
+def _turns(rows: DataFrame) -> DataFrame:
+    """Rows with a content id; a null request counts as an empty one."""
+    return rows.where("content_id <> ''").withColumn("request_id", F.coalesce("request_id", F.lit("")))
+
+
+def usage_owners(claims: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Who owns each turn that has a content id: agent, content_id, request_id, session_id, seq."""
+    return _placed(_turns(claims), sessions.withColumn("workspace", F.lit(None))).select(*TURN, "session_id", "seq")
+
+
+def owner_moves(claims: DataFrame, sessions: DataFrame, owners: DataFrame, dirty: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What changes owner after the sessions ``dirty`` (agent, session_id) have changed, and all sessions that are dirty then.
+
+    ``owners`` is what ``usage_owners`` gave before. Only keys of turns that a dirty session has or owned are looked at: their copies
+    are ranked anew, among all sessions that carry them. A move makes both its sessions dirty, whose keys are looked at
+    next, until no session is added. Moves: agent, content_id, request_id, from_session, from_seq, to_session, to_seq; a turn that
+    is new comes from null, one that nobody carries any more goes to null. Each round is written; its keys are shuffled,
+    and of claims and owners only the rows with these keys.
+    """
+    named, key = _turns(claims), ["agent", "session_id"]
+    asked = written(dirty.select(*key).distinct(), "dirty-sessions")
+    known, moves = asked, None
+    while True:
+        keys = named.join(asked, key, "left_semi").select(*TURN).union(owners.join(asked, key, "left_semi").select(*TURN)).distinct()
+        keys = written(keys, "dirty-turns")
+        now = usage_owners(named.join(keys, TURN, "left_semi"), sessions).select(*TURN, F.col("session_id").alias("to_session"), F.col("seq").alias("to_seq"))
+        before = owners.join(keys, TURN, "left_semi").select(*TURN, F.col("session_id").alias("from_session"), F.col("seq").alias("from_seq"))
+        same = F.col("from_session").eqNullSafe(F.col("to_session")) & F.col("from_seq").eqNullSafe(F.col("to_seq"))
+        here = written(before.join(now, TURN, "full_outer").where(~same), "owner-moves")
+        moves = here if moves is None else moves.unionByName(here).distinct()
+        ends = here.select("agent", F.col("from_session").alias("session_id")).union(here.select("agent", "to_session"))
+        asked = written(ends.where("session_id is not null").distinct().join(known, key, "left_anti"), "dirty-sessions")
+        if asked.isEmpty():
+            return moves, known
+        known = known.unionByName(asked)
+
+
+def touched_days(c: Corpus, members: DataFrame, dirty: DataFrame, moves: DataFrame) -> DataFrame:
+    """``day``: where the changed sessions were active when stored or are now, and the days of both rows of every move."""
+    key = ["agent", "session_id"]
+    stored = members.join(dirty, key, "left_semi").select("day")
+    moved = moves.select("agent", F.col("from_session").alias("session_id"), F.col("from_seq").alias("seq"))
+    moved = moved.union(moves.select("agent", "to_session", "to_seq")).where("session_id is not null").distinct()
+    rows = _dated(c.usage, c.sessions)
+    return stored.union(rows.join(dirty, key, "left_semi").select("day")).union(rows.join(moved, [*key, "seq"], "left_semi").select("day")).distinct()
+
+
+def _dated(claims: DataFrame, sessions: DataFrame) -> DataFrame:
+    starts = sessions.select("agent", "session_id", F.col("created_at").alias("session_created_at"))
+    return claims.join(starts, ["agent", "session_id"], "left").withColumn("day", usage_day())
+
+
+def priced_days(c: Corpus, days: DataFrame) -> DataFrame:
+    """Owned and priced usage of some days, as ``priced_usage`` gives it. Only claims of these days and, to decide who owns them, other
+    copies of their turns are read on; only owned rows of these days are priced."""
+    rows = _dated(c.usage, c.sessions).join(days, "day", "left_semi").select(*c.usage.columns)
+    alone = F.coalesce("content_id", F.lit("")) == ""
+    request = F.coalesce("request_id", F.lit("")).alias("_request")
+    keys = rows.where(~alone).select("agent", "content_id", request).distinct()
+    shared = c.usage.where(~alone).select("*", request).join(keys, ["agent", "content_id", "_request"], "left_semi").drop("_request")
+    placed = _placed(shared.unionByName(rows.where(alone)), c.sessions).where("_known")
+    mine = placed.withColumn("day", usage_day()).join(days, "day", "left_semi")
+    return price(mine.select(*c.usage.columns, "workspace", "session_created_at"), c.rates)
+
+
+def refresh_moved(c: Corpus, old: tuple[DataFrame, DataFrame], dirty: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rollups after the sessions ``dirty`` changed and turns moved (``owner_moves``): the touched days are priced and summed anew, all
+    others are kept as they are stored."""
+    daily, members = old
+    days = written(touched_days(c, members, dirty, moves), "touched-days")
+    new_daily, new_members = build_rollups(priced_days(c, days))
+    return daily.join(days, "day", "left_anti").unionByName(new_daily), members.join(days, "day", "left_anti").unionByName(new_members)
+
+
 GROUPS = {"day": "day", "model": "model", "project": "workspace", "agent": "agent"}
 
 

@@ -74,7 +74,9 @@ def from_lines(spark: SparkSession, lines: DataFrame, issues: DataFrame | None =
     )
     odd = usage.where("clamped").select(F.lit(None).cast("bigint").alias("run_id"), F.lit("warning").alias("severity"), F.lit("usage").alias("category"), F.lit(AGENT).alias("agent"), "path", "line", F.lit("cached input exceeds input; ordinary input taken as 0").alias("detail"))
 
-    before = rows.where(call).join(said.select(*KEY, F.col("line").alias("m_line"), F.col("seq").alias("m_seq")), KEY, "left").groupBy(*KEY, "line").agg(F.max(F.when(F.col("m_line") < F.col("line"), F.col("m_seq"))).alias("m_seq"))
+    spoken = said.select(*KEY, "line", F.col("seq").alias("m_seq"), F.lit(False).alias("is_call"))
+    called = rows.where(call).select(*KEY, "line", F.lit(None).cast("bigint").alias("m_seq"), F.lit(True).alias("is_call"))
+    before = spoken.unionByName(called).withColumn("m_seq", F.last("m_seq", ignorenulls=True).over(earlier)).where("is_call").select(*KEY, "line", "m_seq")
     used = numbered(rows.where(call).join(before, [*KEY, "line"]), "seq", "line")
     function = kind == "function_call"
     arguments = F.coalesce("p.arguments", F.lit("{}"))

@@ -39,8 +39,8 @@ def test_sessions_and_detail(spark, corpus):
     d = sessions.session(corpus, "a", "p")
     s = d["summary"].first()
     assert (s.messages, s.tool_calls, s.subagents, s.cost_nanos) == (3, 5, 1, 22_000)
-    assert {r.session_id: (r.parent_id, r.subagent_type) for r in d["subagents"].collect()} == {"kid": ("p", "helper"), "grandkid": ("kid", "")}
-    assert d["subagent_totals"].first().cost_nanos == 11_000
+    assert {r.session_id: (r.parent_id, r.subagent_type) for r in d["subagents"].collect()} == {"kid": ("p", "helper")}
+    assert d["subagent_totals"].first().cost_nanos == 11_000 and d["subagent_totals"].first().sessions == 2
     assert d["events"].first().counts == {"turn": 2, "hook": 1}
     assert tuple(d["lines"].first()) == (3, 1, 1)
     assert [(r.kind, r.direction, r.other_id, r.at_seq) for r in d["relations"].collect()] == [("resumed_from", "in", "alone", 1), ("subagent_of", "in", "kid", None)]
