@@ -34,7 +34,9 @@ TOKEN = re.compile(
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
-CLOSED = re.compile(r"(?:<!--.*--!?|<!--|<!---|</[a-z]+\s*)>\Z", re.S | re.I)
+COMMENT_ENDS = re.compile(r"<!--(?:-?|.*--!?)>\Z", re.S)
+#: A line of the page's owner, however its element is called.
+OWNER = re.compile(r"\A\W*(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.I)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 BLOCK = set("address article aside blockquote body canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 SELF_CLOSING = set("p li dt dd option tr td th".split())
@@ -43,7 +45,7 @@ NEVER = set("head nav aside footer form select menu dialog button".split())
 SECTION = set("article main section body td".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Names that mark boilerplate as a part of a class or id, reader comments, and those that do so only as the whole of one.
-NAMES = set("ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar newsletter subscribe subscription login signup".split())
+NAMES = set("ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar newsletter subscribe subscription login signup copyright legal".split())
 COMMENTS = set("comment comments disqus reply replies".split())
 VAGUE = set("notice notices alert header share sharing social related recommended search tags".split())
 #: A class with such a part says something of the page's state, not what its element is.
@@ -115,7 +117,7 @@ def parse(page: str) -> tuple[list[_Block], list[_Element]]:
         at = m.end()
         closing, tag = m[2], (m[3] or "").lower()
         if m[1] or m[0].startswith("<!--"):  # it may go on to the end of the page
-            unclosed = at == last and not CLOSED.search(m[0])
+            unclosed = at == last and not _closed(m[0], m[1])
             continue
         if tag == "a":
             in_link = not closing
@@ -159,6 +161,11 @@ def parse(page: str) -> tuple[list[_Block], list[_Element]]:
     return found, elements
 
 
+def _closed(token: str, tag: str | None) -> bool:
+    """Whether a comment, or an element whose content is no markup, has its own end."""
+    return bool(re.search(rf"</{tag}\s*>\Z", token, re.I) if tag else COMMENT_ENDS.match(token))
+
+
 def _kind(attributes: str | None) -> int:
     """How class, id, role and visibility speak against an element."""
     kind = NOTHING
@@ -214,13 +221,20 @@ def densities(found: list[_Block], held: list[int]) -> list[float | None]:
 def first_pass(found: list[_Block], elements: list[_Element], held: list[int]) -> list[bool | None]:
     """Labels of the blocks that their own features decide."""
     labels: list[bool | None] = []
-    for block, density in zip(found, densities(found, held), strict=True):
+    dense = [b.linked > LINKS * len(b.text) for b in found]
+    for k, (block, density) in enumerate(zip(found, densities(found, held), strict=True)):
         kind, size = held[block.element], len(block.text) * (1 if density is not None else 2)
-        if kind >= STRONG or block.linked > LINKS * len(block.text):
+        article = elements[block.element].article
+        if kind >= STRONG:
+            labels.append(False)
+        elif dense[k]:  # links in a row are a list of them; one among an article's other blocks may be a part of it
+            alone = article and not any(dense[max(0, k - 1) : k]) and not any(dense[k + 1 : k + 2])
+            labels.append(None if alone else False)
+        elif not article and size < LONG and OWNER.search(block.text):
             labels.append(False)
         elif size >= SHORT and density is not None and density >= MANY_STOPS:
             labels.append(True)
-        elif size >= LONG and (density is None or elements[block.element].article):
+        elif size >= LONG and (density is None or article):
             labels.append(True)
         elif size >= LONG and density < FEW_STOPS or kind == WEAK:
             labels.append(False)

@@ -90,3 +90,28 @@ def test_second_pass_equals_plain_form():
         labels = [False if s is None else rnd.choice([True, False, None, None]) for s in sections]
         articles = [s == 1 for s in sections]
         assert second_pass(labels, sections, articles) == plain_second_pass(labels, sections, articles)
+
+
+TEXT = "The river runs down from the hills and through the old town, and in the spring it is so high that the bridge has to be closed for some days."
+
+
+@pytest.mark.parametrize("tail", ["<script>document.write('<b>x</b>'); trackUser()", "<!-- a </b> secret tail", "<!-- a </script> secret", "<style>p > b {} </b> x", "<script>a </style> b", "<textarea>x</p> y", "<!--x</b>>y", "<SCRIPT>1 </b> 2"])
+def test_what_is_left_open_is_no_text(tail):
+    assert main_text(f"<body><article><p>{TEXT}</p></article>{tail}") == TEXT
+
+
+@pytest.mark.parametrize("tail", ["<script>a</script >", "<!-- a -->", "<!-- a --!>", "<!-->", "<!--->", "<STYLE>b</style>"])
+def test_what_is_closed_by_its_own_end_hides_nothing_after_it(tail):
+    assert main_text(f"<body><article><p>{TEXT}</p>{tail} and so on") == f"{TEXT}\nand so on"
+
+
+def test_a_link_alone_among_an_article_stays_and_lists_of_links_go():
+    page = "<article><p>{0}</p><p><a href=x>the report of the commission on the bridge</a></p><p>{0} Again.</p></article>"
+    assert main_text(page.format(TEXT)).split("\n") == [TEXT, "the report of the commission on the bridge", TEXT + " Again."]
+    listed = f"<article><p>{TEXT}</p><ul><li><a href=a>One of the other reports</a></li><li><a href=b>Another one of the reports</a></li></ul></article>"
+    assert main_text(listed) == TEXT
+
+
+@pytest.mark.parametrize("line", ["<div class=copyright>2024 The Town Council and its friends</div>", "<div>© 2024 The Town Council</div>", "<p>Copyright 2024, the town.</p>", "<div>The Town Council 2024. All rights reserved.</div>", "<div class=legal>Terms of the town</div>"])
+def test_lines_of_the_owner_go(line):
+    assert main_text(f"<body><article><p>{TEXT}</p></article>{line}</body>") == TEXT
