@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,8 @@ from spoolsight.llm.rows import repeat_rows
 from spoolsight.llm.store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUDGET = 1 << 16
+#: What the knapsack is left of a budget, unless documents are so long that it needs more.
+RESERVE = 1 << 15
 RANKED_AT_ONCE = 256
 
 
@@ -46,39 +47,40 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return rows.select("source", "source_size", F.when(F.col("x").isNull(), F.col("cap")).otherwise(F.least(F.col("weight") * F.col("x"), F.col("cap"))).alias("target"))
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, bound: int = BUDGET) -> list[int]:
+def fit(lengths: list[int], counts: list[int], budget: int, least: int = RESERVE) -> list[int]:
     """How many documents of each length to take so that their lengths sum up to ``budget``, as near as can be.
 
-    All of the budget but an eighth (half of ``bound`` at most) is met by an equal share of every length, from the longest
-    on, so that large and small sources alike are drawn from all lengths: what rounding one length leaves over or short is
-    carried to the next shorter ones. What is left is a bounded knapsack over the documents not taken yet (or, should
-    rounding have overshot, over those to give back). A budget of up to half of ``bound`` that this does not meet is also
-    tried by the knapsack alone, and the nearer one holds.
+    All of the budget but a reserve is met by an equal share of every length, from the longest on, so that large and small
+    sources alike are drawn from all lengths: what rounding one length leaves over or short is carried to the next shorter
+    ones. What is left is a bounded knapsack over the documents not taken yet (or, should rounding have overshot, over those to
+    give back). The reserve is an eighth of the budget at first (``least``, or eight times the longest length, at most);
+    while the sum is not the nearest that lengths with their common divisor could make, a larger one is tried, at last the
+    whole budget, with which the knapsack alone finds the nearest sum there is. The nearest try holds, the first of equals.
     """
     whole = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= whole:
         return list(counts)
-    order = sorted((k for k in range(len(lengths)) if lengths[k] > 0), key=lambda k: -lengths[k])
+    order = sorted((k for k in range(len(lengths)) if lengths[k] > 0 and counts[k] > 0), key=lambda k: -lengths[k])
+    step = math.gcd(*(lengths[k] for k in order))
+    perfect = min(budget % step, -budget % step)
     misses = lambda taken: abs(budget - sum(n * t for n, t in zip(lengths, taken, strict=True)))
-    spread = _spread(lengths, counts, budget, bound, order, whole)
-    if budget > bound // 2 or not misses(spread):
-        return spread
-    return min(spread, _knapsack(lengths, counts, order, budget), key=misses)
+    enough = max(least, 8 * lengths[order[0]])
+    reserve = min(enough, budget // 8)
+    best = _spread(lengths, counts, budget, reserve, order, whole)
+    while misses(best) > perfect and reserve < budget:
+        reserve = min(budget, max(enough, 4 * reserve))
+        best = min(best, _spread(lengths, counts, budget, reserve, order, whole), key=misses)
+    return best
 
 
-def _spread(lengths: list[int], counts: list[int], budget: int, bound: int, order: list[int], whole: int) -> list[int]:
-    share, taken, carry = budget - min(bound // 2, budget // 8), [0] * len(lengths), 0
+def _spread(lengths: list[int], counts: list[int], budget: int, reserve: int, order: list[int], whole: int) -> list[int]:
+    share, taken, carry = budget - reserve, [0] * len(lengths), 0
     for k in order:
         n, c = lengths[k], counts[k]
         ideal = n * c * share // whole + carry
         taken[k] = min(c, max(0, (2 * ideal + n) // (2 * n)))
         carry = ideal - taken[k] * n
     rest = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
-    for k in order:
-        if rest > bound:
-            more = min(counts[k] - taken[k], rest // lengths[k])
-            taken[k] += more
-            rest -= more * lengths[k]
     if rest >= 0:
         more = _knapsack(lengths, [c - t for c, t in zip(counts, taken, strict=True)], order, rest)
         return [t + m for t, m in zip(taken, more, strict=True)]
@@ -87,40 +89,49 @@ def _spread(lengths: list[int], counts: list[int], budget: int, bound: int, orde
 
 
 def _knapsack(lengths: list[int], counts: list[int], order: list[int], rest: int) -> list[int]:
-    """How many of each length sum up nearest to ``rest``: the greatest sum within it, or that and one more document of the
-    shortest length left where this comes nearer.
+    """How many of each length sum up nearest to ``rest``, the lesser sum of two that are as near.
 
-    Dynamic programming over sums: the bits of one number say which sums can be made, and each sum remembers the step that
-    first made it, so that every step uses only documents that earlier ones left.
+    Dynamic programming over sums, in units of the lengths' common divisor: the bits of one number say which sums can be made,
+    and each sum remembers the step that first made it, so that every step uses only documents that earlier ones left. The
+    nearest sum above ``rest`` is less than the longest length away, as it would do without one of its documents otherwise.
     """
-    limit, sums, made = (1 << rest + 1) - 1, 1, {}
+    order = [k for k in order if counts[k]]
+    took = [0] * len(lengths)
+    if not order:
+        return took
+    unit = math.gcd(*(lengths[k] for k in order))
+    top = (rest + lengths[order[0]]) // unit
+    limit, sums, steps = (1 << top + 1) - 1, 1, []
+    first = np.full(top + 1, -1, "i4")  # of each sum, the step that made it
+    near = {rest // unit, -(-rest // unit)} if 2 * (rest % unit) == unit else {(2 * rest + unit) // (2 * unit)}
     for k in order:
-        n, step = lengths[k], 1
-        left = min(counts[k], rest // n)
-        while left and not sums >> rest & 1:
+        n, step, left = lengths[k] // unit, 1, min(counts[k], top // (lengths[k] // unit))
+        while left and not any(sums >> s & 1 for s in near):
             step = min(step, left)
             new = sums << n * step & limit & ~sums
+            first[_bits(new)] = len(steps)
+            steps.append((k, step))
             sums |= new
-            for s in _bits(new):
-                made[s] = (k, step)
             left, step = left - step, 2 * step
-    took, at = [0] * len(lengths), sums.bit_length() - 1
-    short = rest - at
+    made = np.flatnonzero(first >= 0)
+    at = min([0, *made.tolist()] if len(made) < 64 else _around(made, rest / unit), key=lambda s: (abs(s * unit - rest), s))
     while at:
-        k, step = made[at]
+        k, step = steps[first[at]]
         took[k] += step
-        at -= step * lengths[k]
-    over = min((k for k in order if counts[k] > took[k]), key=lambda k: lengths[k], default=None)
-    if over is not None and lengths[over] - short < short:
-        took[over] += 1
+        at -= step * lengths[k] // unit
     return took
 
 
-def _bits(number: int) -> Iterable[int]:
-    if not number:
-        return []
+def _around(made: np.ndarray, place: float) -> list[int]:
+    """The sums next to a place, on both sides."""
+    at = int(np.searchsorted(made, place))
+    return [0, *made[max(0, at - 1) : at + 1].tolist()]
+
+
+def _bits(number: int) -> np.ndarray:
+    """Places of the bits that are set."""
     raw = np.frombuffer(number.to_bytes((number.bit_length() + 7) // 8, "little"), "u1")
-    return np.flatnonzero(np.unpackbits(raw, bitorder="little")).tolist()
+    return np.flatnonzero(np.unpackbits(raw, bitorder="little"))
 
 
 def mix(

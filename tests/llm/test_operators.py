@@ -283,22 +283,48 @@ def test_mix(spark, monkeypatch):
     assert {(r.target, r.taken) for r in budget_mix.mix(zero).collect()} == {(0.0, 0)}
 
 
+def nearest(lengths, counts, budget):
+    """Distance of the nearest sum there is."""
+    sums = 1
+    for n, c in zip(lengths, counts):
+        for _ in range(c):
+            sums |= sums << n
+    return next(d for d in range(budget + max(lengths) + 1) if sums >> (budget + d) & 1 or budget >= d and sums >> (budget - d) & 1)
+
+
+def miss(lengths, counts, budget, **options):
+    took = budget_mix.fit(lengths, counts, budget, **options)
+    assert len(took) == len(lengths) and all(0 <= t <= c for t, c in zip(took, counts))
+    return abs(sum(n * t for n, t in zip(lengths, took)) - budget)
+
+
 def test_subset_sum_fit():
     rnd = random.Random(3)
     for _ in range(300):
-        lengths = rnd.sample(range(60), rnd.randint(1, 7))
+        lengths = rnd.sample(range(1, 60), rnd.randint(1, 7))
         counts = [rnd.randint(1, 5) for _ in lengths]
+        budget = rnd.randint(0, sum(n * c for n, c in zip(lengths, counts)))
+        assert miss(lengths, counts, budget, least=rnd.choice([1, 10, 1 << 15])) == nearest(lengths, counts, budget)
+    assert miss(list(range(1, 3000)), [7] * 2999, 1_234_567) == 0
+
+
+def test_subset_sum_has_no_bound_where_it_gives_way():
+    """Few long documents, on both sides of the reserve and of an eighth of the budget; sums far beyond them."""
+    assert miss([860, 1334, 6595, 7528], [1, 1, 5, 6], 33_851) == nearest([860, 1334, 6595, 7528], [1, 1, 5, 6], 33_851) == 16
+    rnd = random.Random(9)
+    bounds = [budget_mix.RESERVE, 8 * budget_mix.RESERVE]
+    for k in range(60):
+        lengths = rnd.sample(range(300, 20_000), rnd.randint(2, 6))
+        counts = [rnd.randint(1, 6) for _ in lengths]
         whole = sum(n * c for n, c in zip(lengths, counts))
-        budget = rnd.randint(0, whole + 5)
-        took = budget_mix.fit(lengths, counts, budget, bound=rnd.choice([10, 100, 1 << 16]))
-        assert all(0 <= t <= c for t, c in zip(took, counts))
-        sums = {0}
-        for n, c in zip(lengths, counts):
-            sums = {s + n * j for s in sums for j in range(c + 1)}
-        best = min(abs(s - budget) for s in sums)
-        assert abs(sum(n * t for n, t in zip(lengths, took)) - budget) <= best + max(lengths)
-    lengths = list(range(1, 3000))
-    assert sum(n * t for n, t in zip(lengths, budget_mix.fit(lengths, [7] * len(lengths), 1_234_567))) == 1_234_567
+        budget = min(whole, max(0, bounds[k % 2] + rnd.randint(-40, 40))) if k % 3 else rnd.randint(0, whole)
+        assert miss(lengths, counts, budget) == nearest(lengths, counts, budget)
+    for size in (10**5, 10**6, 10**7):  # many documents of some lengths: within the shortest of them
+        lengths = sorted(rnd.sample(range(50, 20_000), 40))
+        counts = [1 + 2 * size // (40 * n) for n in lengths]
+        budget = rnd.randint(size // 2, size)
+        assert miss(lengths, counts, budget) <= lengths[0]
+    assert miss([10, 30, 500], [900, 900, 900], 123_456) == 4 and miss([7], [10**6], 3_500_003) == 3
 
 
 # -- 7
