@@ -5,7 +5,8 @@ all occurrences of a string meet in one block of bounded size; each block has a
 
 1. Anchors. Of the grams in a window (a string of ``LENGTH`` bytes at one place) the one with the least hash, leftmost on ties, is
    its anchor. Equal windows have equal anchors at equal places. Consecutive windows with one anchor make a snippet.
-2. Only snippets whose anchor's gram occurs more than once go on; of equal snippets one goes on, with their number.
+2. Only snippets whose anchor's gram occurs more than once go on. Equal ones (two 64-bit hashes) are merged, with their number: where
+   a gram has no other snippets, they repeat as a whole, and there is nothing to compare. Of all other grams the distinct ones go on.
 3. A gram with more than ``MANY`` distinct snippets is split by where its anchor lies in the window: half of the places share more
    bytes on the right, half on the left, and those bytes join the key. Windows of one place are equal or have other keys.
 4. In a block, intervals of the transform are expanded backward, breadth first: common prefixes of neighbours come out by
@@ -185,7 +186,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     rank = np.empty(n, "i8")
     times = 3 if n <= 1 << 20 else 2
     while have < depth:
-        group = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+        group = np.maximum.accumulate(np.where(starts, np.arange(n, dtype="i4"), 0)).astype("i8")
         rank[order] = group
         still = np.flatnonzero(~(starts & np.append(starts[1:], True)))
         if not len(still):
@@ -412,7 +413,12 @@ def repeated_spans(texts: DataFrame, many: int = MANY) -> DataFrame:
     met = anchors(texts, keys_only=True).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     placed = written(anchors(texts).join(written(met, "repeated-grams"), "key", "left_semi"), "repeated-anchors")
     one = [F.first(c).alias(c) for c in ("u1", "u2", "lo", "span", "off")]
-    wanted = written(placed.groupBy("key", "sid").agg(F.sum("count").alias("n"), *one), "distinct-snippets")
+    distinct = placed.groupBy("key", "sid").agg(F.sum("count").alias("n"), *one)
+    distinct = written(distinct, "distinct-snippets")
+    kinds = distinct.groupBy(F.col("key").alias("gram")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds = 1").select("gram")
+    told = written(distinct.join(kinds, F.col("key") == F.col("gram"), "left"), "told-snippets")
+    alike = told.where("gram is not null").select("key", "sid", F.lit(0).alias("a"), F.col("span").cast("int").alias("b"))
+    wanted = told.where("gram is null")
     some = _marked(wanted.select("u2").distinct(), wanted.count())
     snippets = written(_snippets(texts.where(some("u2")), wanted), "snippets")
     parts, moved = _split(snippets, many)
@@ -420,7 +426,7 @@ def repeated_spans(texts: DataFrame, many: int = MANY) -> DataFrame:
     if moved is not None:
         back = moved.join(runs.select(F.col("key").alias("ckey"), F.col("sid").alias("csid"), "a", "b"), ["ckey", "csid"])
         runs = runs.unionByName(back.select("key", "sid", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b")))
-    on = placed.select("u1", "u2", "key", "sid", "lo", "stride", "count").join(runs, ["key", "sid"])
+    on = placed.select("u1", "u2", "key", "sid", "lo", "stride", "count").join(runs.unionByName(alike), ["key", "sid"])
     # the windows of a run of snippets are no further apart than they are long, so what a run covers has no gaps
     return on.select("u1", "u2", (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("stride") * (F.col("count") - 1) + F.col("b") + LENGTH).alias("e"))
 
