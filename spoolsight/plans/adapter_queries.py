@@ -120,3 +120,17 @@ query("ingest_events", f"""{_CLAUDE} SELECT session_id, seq AS message_seq, 'com
   UNION ALL SELECT session_id, seq, 'api_error', 'rate_limit', left(text, 20), 0 FROM s WHERE role = 'assistant' AND turn % 7 = 3""")(lambda spark, sf_dir: claude_corpus(spark, sf_dir).session_events.select("session_id", "message_seq", "kind", "label", F.left("detail", F.lit(20)).alias("detail"), "duration_ms"))
 query("ingest_relations", f"""{_CLAUDE} SELECT DISTINCT session_id AS from_id, concat('c', CAST(conv_id // 2 AS VARCHAR)) AS to_id, 'subagent_of' AS kind FROM s WHERE conv_id % 4 = 0 AND conv_id > 0""")(lambda spark, sf_dir: claude_corpus(spark, sf_dir).relations.select("from_id", "to_id", "kind"))
 query("ingest_all_turns", f"""{_CLAUDE} SELECT session_id, seq, role, CASE role WHEN 'system' THEN 'compaction' ELSE 'message' END AS kind, coalesce(text, '') AS text FROM s""")(lambda spark, sf_dir: claude_corpus(spark, sf_dir).messages.select("session_id", "seq", "role", "kind", "text"))
+
+
+@query("ingest_codex_calls", "SELECT concat('x', CAST(conv_id AS VARCHAR)) AS session_id, concat('call-', CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS call_id, row_number() OVER w - 1 AS seq, row_number() OVER w - 1 AS message_seq FROM conversations WHERE role IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def _codex_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call after each turn belongs to the last message before its line."""
+    turns = _turns(spark, sf_dir)
+    heads = _sessions(turns)
+    path = "/logs/rollout-"
+    meta = heads.select(*_line(path, F.lit(1), timestamp=F.col("at"), type=F.lit("session_meta"), payload=F.struct(F.concat(F.lit("x"), F.col("conv_id").cast("string")).alias("id"), F.lit("/w").alias("cwd"))))
+    said = F.struct(F.lit("message").alias("type"), "role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content"))
+    messages = turns.select(*_line(path, 10 + 10 * F.col("turn"), timestamp=F.col("at"), type=F.lit("response_item"), payload=said))
+    call = F.struct(F.lit("function_call").alias("type"), F.lit("shell").alias("name"), F.concat_ws("-", F.lit("call"), "conv_id", "turn").alias("call_id"), F.lit("{}").alias("arguments"))
+    calls = turns.select(*_line(path, 15 + 10 * F.col("turn"), timestamp=F.col("at"), type=F.lit("response_item"), payload=call))
+    return codex.from_lines(spark, meta.union(messages).union(calls)).tool_calls.select("session_id", "call_id", "seq", "message_seq")
