@@ -1,119 +1,234 @@
-"""Full-text search: documents, inverted index, and ranked queries."""
+"""Full-text search: documents, inverted index with upkeep, and ranked queries."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoolsight.corpus import Corpus
 from spoolsight.operators import filters
 
 TOKEN = r"[\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}][\p{L}\p{N}\p{Mn}]*"
 K1, B = 1.2, 0.75
+LEAST_IDF = 1e-6
 MARKS = ("\x02", "\x03")
 SNIPPET = 12
+CUT = "…"
+DEAD_SHARE = 0.2
+SHOWN = ["doc", "agent", "session_id", "seq", "artifact_kind", "artifact_name", "title"]
+
+
+def _one_accent() -> tuple[str, str]:
+    """Lower-case Latin letters with one accent, and the letters without it."""
+    pairs = [(chr(p), unicodedata.normalize("NFD", chr(p))) for p in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    kept = [(c, d[0]) for c, d in pairs if len(d) == 2 and unicodedata.combining(d[1]) and d[0].isalpha() and c == c.lower()]
+    return "".join(c for c, _ in kept), "".join(d for _, d in kept)
+
+
+ACCENTED, PLAIN = _one_accent()
 
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """``docs`` (doc, locator columns, text, length), ``postings`` (term, doc, positions), ``totals`` (documents, mean length)."""
+    """``docs`` (doc, locator columns, text, length), ``postings`` (term, doc, agent, length, positions), ``totals`` (documents,
+    tokens)."""
 
     docs: DataFrame
     postings: DataFrame
     totals: DataFrame
 
     def write(self, folder: str, parts: int = 64) -> None:
-        """Store the index; postings are dealt and sorted by term, so a query reads few row groups."""
-        self.docs.write.mode("overwrite").parquet(f"{folder}/docs")
-        self.postings.repartitionByRange(parts, "term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{folder}/postings")
-        self.totals.write.mode("overwrite").parquet(f"{folder}/totals")
-
-
-def read_index(spark, folder: str) -> SearchIndex:
-    return SearchIndex(*(spark.read.parquet(f"{folder}/{n}") for n in ("docs", "postings", "totals")))
+        """Store the index as the first generation of a folder."""
+        _store(self, folder, 0, parts)
+
+
+def _store(index: SearchIndex, folder: str, generation: int, parts: int, dead: DataFrame | None = None, totals: DataFrame | None = None, first: int | None = None) -> None:
+    """Write a generation; its row of ``commits`` comes last, so a pass that dies leaves nothing that is read. Postings are sorted by
+    term and documents by key, so a query reads few row groups of either."""
+    at = f"{folder}/generation={generation}"
+    index.docs.repartitionByRange(parts, "doc").sortWithinPartitions("doc").write.mode("overwrite").parquet(f"{at}/docs")
+    index.postings.repartitionByRange(parts, "term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{at}/postings")
+    if dead is not None:
+        dead.write.mode("overwrite").parquet(f"{at}/dead")
+    begin = generation if first is None else first
+    row = (index.totals if totals is None else totals).select(F.lit(generation).alias("generation"), F.lit(begin).alias("first"), "documents", "tokens")
+    row.coalesce(1).write.mode("overwrite").parquet(f"{folder}/commits/{generation}")
+
+
+def commits(spark: SparkSession, folder: str) -> list:
+    """Committed generations in order: generation, first (the oldest one that it is read with), documents, tokens. One row an update."""
+    rows = spark.read.schema("generation int, first int, documents bigint, tokens bigint").option("recursiveFileLookup", "true").parquet(f"{folder}/commits")
+    return sorted(rows.collect(), key=lambda r: r.generation)
+
+
+def read_index(spark: SparkSession, folder: str, generation: int | None = None) -> SearchIndex:
+    """A stored index as of its last committed generation, or of an earlier one. Postings and documents of a generation are live
+    unless a later one replaced or removed their document."""
+    done = [c for c in commits(spark, folder) if generation is None or c.generation <= generation]
+    last = done[-1]
+    live = [c.generation for c in done if c.generation >= last.first]
+    read = lambda n, name: spark.read.parquet(f"{folder}/generation={n}/{name}")
+    docs, postings = (reduce(DataFrame.unionByName, [read(n, name).withColumn("_from", F.lit(n)) for n in live]) for name in ("docs", "postings"))
+    gone = [read(n, "dead").select("doc", F.lit(n).alias("_until")) for n in live[1:]]
+    if gone:
+        dead = reduce(DataFrame.union, gone).groupBy("doc").agg(F.max("_until").alias("_until"))
+        docs, postings = (df.join(dead.withColumnRenamed("doc", "_doc"), (F.col("doc") == F.col("_doc")) & (F.col("_from") < F.col("_until")), "left_anti") for df in (docs, postings))
+    totals = spark.createDataFrame([(last.documents, last.tokens)], "documents bigint, tokens bigint")
+    return SearchIndex(docs.drop("_from"), postings.drop("_from"), totals)
+
+
+def update_index(spark: SparkSession, folder: str, changed: DataFrame, removed: DataFrame | None = None, parts: int = 8, dead_share: float = DEAD_SHARE) -> int:
+    """Store ``changed`` documents (as ``search_documents`` gives them) in place of those of their keys, and take out those of ``removed``
+    (``doc``). Texts that did not change are not read: totals follow from the lengths of the documents that die. When replaced
+    documents outnumber ``dead_share`` of all, the live rows are written as one generation. Gives the new generation's number."""
+    old = read_index(spark, folder)
+    done = commits(spark, folder)
+    last = done[-1]
+    fresh = build_search_index(changed)
+    keys = changed.select("doc") if removed is None else changed.select("doc").union(removed.select("doc"))
+    dead = keys.distinct()
+    died = old.docs.select("doc", "length").join(dead, "doc", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("size"))
+    totals = fresh.totals.crossJoin(died).select((last.documents + F.col("documents") - F.col("n")).alias("documents"), (last.tokens + F.col("tokens") - F.col("size")).alias("tokens"))  # one row each
+    number = last.generation + 1
+    _store(fresh, folder, number, parts, dead, totals, last.first)
+    stored = sum(spark.read.parquet(f"{folder}/generation={c.generation}/docs").count() for c in done if c.generation >= last.first)
+    now = commits(spark, folder)[-1]
+    if stored and stored + fresh.docs.count() - now.documents > dead_share * stored:
+        whole = read_index(spark, folder)
+        number += 1
+        _store(whole, folder, number, max(parts, 64))
+    return number
 
 
 def search_documents(c: Corpus) -> DataFrame:
-    """One document per message with text, and per searchable artifact. ``doc`` is a key of agent, kind and place."""
+    """One document per message with text, and per searchable artifact, which is titled by its name. ``doc`` is a key of agent, kind
+    and place."""
     none = F.lit(None).cast("string")
-    said = c.messages.where(F.col("text").rlike(r"\S")).select(F.concat_ws("/", F.lit("message"), "agent", "session_id", F.col("seq").cast("string")).alias("doc"), "agent", "session_id", "seq", none.alias("artifact_kind"), none.alias("artifact_name"), "text")
-    made = c.artifacts.where(filters.searchable(F.col("kind"), F.col("content"))).select(F.concat_ws("/", F.lit("artifact"), "agent", "kind", "name").alias("doc"), "agent", none.alias("session_id"), F.lit(None).cast("bigint").alias("seq"), F.col("kind").alias("artifact_kind"), F.col("name").alias("artifact_name"), F.col("content").alias("text"))
+    key = lambda *parts: F.concat_ws("/", *parts).alias("doc")
+    said = c.messages.where(F.col("text").rlike(r"\S")).select(
+        key(F.lit("message"), "agent", "session_id", F.col("seq").cast("string")), "agent", "session_id", "seq",
+        none.alias("artifact_kind"), none.alias("artifact_name"), F.lit("").alias("title"), "text",
+    )
+    made = c.artifacts.where(filters.searchable(F.col("kind"), F.col("content"))).select(
+        key(F.lit("artifact"), "agent", "kind", "name"), "agent", none.alias("session_id"), F.lit(None).cast("bigint").alias("seq"),
+        F.col("kind").alias("artifact_kind"), F.col("name").alias("artifact_name"), F.col("name").alias("title"), F.col("content").alias("text"),
+    )
     return said.unionByName(made)
 
 
+def folded(text: Column) -> Column:
+    """Lower case, without the accent of Latin letters that have one, and without combining marks."""
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\p{Mn}", "")
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0))
 
 
 def build_search_index(docs: DataFrame) -> SearchIndex:
     """Index of documents (``doc``, ``text``, and locator columns). Postings are grouped by term *and* document, so a term that
-    stands in every document is spread like any other; the grouping starts in each task."""
+    stands in every document is spread like any other; the grouping starts in each task. They carry what ranking needs."""
     counted = docs.withColumn("length", F.size(tokens(F.col("text"))).cast("bigint"))
-    placed = docs.select("doc", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    postings = placed.groupBy("term", "doc").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    totals = counted.agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("mean_length"))
+    agent = F.col("agent") if "agent" in docs.columns else F.lit(None).cast("string")
+    words = docs.select("doc", agent.alias("agent"), tokens(F.col("text")).alias("words"))
+    placed = words.select("doc", "agent", F.size("words").cast("bigint").alias("length"), F.posexplode("words").alias("pos", "term"))
+    postings = placed.groupBy("term", "doc", "agent", "length").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    totals = counted.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
     return SearchIndex(counted, postings, totals)
 
 
 def parse_query(q: str) -> list[list[str]]:
-    """Terms of a query, each a list of tokens; a term of several tokens is a phrase. There are no operators."""
-    terms = [re.findall(r"[^\W_]+", t.lower()) for t in q.split()]
+    """Terms of a query, each a list of folded tokens; a term of several tokens is a phrase. There are no operators."""
+    plain = str.maketrans(ACCENTED, PLAIN)
+    fold = lambda t: "".join(ch for ch in t.lower().translate(plain) if unicodedata.category(ch) != "Mn")
+    terms = [re.findall(r"[^\W_]+", fold(t)) for t in q.split()]
     return [t for t in terms if t]
 
 
-def hits(index: SearchIndex, q: str) -> DataFrame:
-    """All documents that hold every term of a query: ``doc``, ``at`` (positions by token), ``start`` (first match). A term of
-    several tokens is a phrase. Only the postings of the query's tokens are read. Without a term there is no hit."""
-    terms = parse_query(q)
+def _places(index: SearchIndex, terms: list[list[str]]) -> DataFrame:
+    """Documents with any token of a query: ``doc``, ``agent``, ``length``, and ``places`` of each term in turn (where it starts)."""
     words = sorted({w for t in terms for w in t})
     posted = index.postings.where(F.col("term").isin(*words)) if words else index.postings.where("false")
-    spread = posted.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-    has, start = F.lit(bool(words)), None
+    spread = posted.groupBy("doc", "agent", "length").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    none = F.array().cast("array<int>")
+    where = []
     for t in terms:
-        first = F.try_element_at("at", F.lit(t[0]))
+        first = F.coalesce(F.try_element_at("at", F.lit(t[0])), none)
         for k, w in enumerate(t[1:], 1):
             first = _followed(first, k, w)
-        has = has & F.coalesce(F.size(first) > 0, F.lit(False))
-        start = F.array_min(first) if start is None else F.least(start, F.array_min(first))
-    return spread.where(has).withColumn("start", start if start is not None else F.lit(0))
+        where.append(F.coalesce(first, none))
+    return spread.select("doc", "agent", "length", (F.array(*where) if where else F.array().cast("array<array<int>>")).alias("places"))
 
 
 def _followed(first: Column, k: int, word: str) -> Column:
     """Positions after which ``word`` stands ``k`` further on."""
-    return F.filter(first, lambda p: F.array_contains(F.try_element_at("at", F.lit(word)), p + k))
+    return F.filter(first, lambda p: F.coalesce(F.array_contains(F.try_element_at("at", F.lit(word)), p + k), F.lit(False)))
+
+
+def _whole(places: DataFrame) -> DataFrame:
+    """Documents that hold every term."""
+    return places.where((F.size("places") > 0) & F.forall("places", lambda p: F.size(p) > 0))
+
+
+def hits(index: SearchIndex, q: str) -> DataFrame:
+    """All documents that hold every term of a query: ``doc``, ``start`` (first match), ``places``. A term of several tokens is a
+    phrase. Only the postings of the query's tokens are read. Without a term there is no hit."""
+    return _whole(_places(index, parse_query(q))).select("doc", "places", F.array_min(F.flatten("places")).alias("start"))
+
+
+def ranked(index: SearchIndex, q: str, agent: str | None = None, limit: int | None = None) -> DataFrame:
+    """A page of hits, best first: ``doc``, ``score``, ``start``. A phrase is ranked as one term, by the documents that hold it
+    whole; a term in over half of all documents weighs next to nothing. Neither documents nor their texts are read."""
+    terms = parse_query(q)
+    places = _places(index, terms)
+    holding = [F.count_if(F.size(F.get("places", F.lit(k))) > 0).alias(f"n{k}") for k in range(len(terms))]
+    known = places.agg(*(holding or [F.lit(0).alias("n0")])).crossJoin(index.totals)  # of one row each
+    found = _whole(places).where(filters.equal(F.col("agent"), agent)).crossJoin(F.broadcast(known))
+    length = K1 * (1 - B + B * F.col("length") * F.col("documents") / F.col("tokens"))
+    score = F.lit(0.0)
+    for k in range(len(terms)):
+        tf, n = F.size(F.get("places", F.lit(k))), F.col(f"n{k}")
+        idf = F.log((F.col("documents") - n + 0.5) / (n + 0.5))
+        score = score + F.when(idf > 0, idf).otherwise(LEAST_IDF) * tf * (K1 + 1) / (tf + length)
+    rows = found.select("doc", F.round(score, 9).alias("score"), F.array_min(F.flatten("places")).alias("start"))
+    return filters.page(rows, [F.desc("score"), F.col("doc")], "search", limit)
 
 
 def search(index: SearchIndex, q: str, agent: str | None = None, limit: int | None = None) -> DataFrame:
-    """Hits of a query, best BM25 score first, with a marked snippet. Documents are ranked without their text; only the page's
-    texts are fetched."""
+    """Hits of a query, best score first, with title and marked snippet. The page is ranked first; its keys, as many as the page has
+    at most, then go to the scan of the documents as a filter, so that only their row groups are read."""
     words = sorted({w for t in parse_query(q) for w in t})
-    frequency = index.postings.where(F.col("term").isin(*words) if words else F.lit(False)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    found = hits(index, q).join(index.docs.where(filters.equal(F.col("agent"), agent)).select("doc", "length"), "doc")
-    each = found.select("doc", "start", F.explode("at").alias("term", "positions"), "length")
-    parts = each.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(index.totals))  # the query's tokens; one row
-    tf, idf = F.size("positions"), F.log(1 + (F.col("documents") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    order = [F.desc("score"), F.col("doc")]
-    ranked = filters.page(parts.groupBy("doc").agg(F.round(F.sum(score), 9).alias("score"), F.first("start").alias("start")), order, "search", limit)
-    out = ranked.join(index.docs, "doc").withColumn("snippet", snippet(F.col("text"), words, F.col("start")))
-    return out.select("doc", "agent", "session_id", "seq", "artifact_kind", "artifact_name", "score", "snippet").orderBy(*order)
+    page = ranked(index, q, agent, limit).collect()  # a page, bounded by the operation's ceiling
+    spark = index.docs.sparkSession
+    rows = spark.createDataFrame([tuple(r) for r in page], "doc string, score double, start int")
+    keys = sorted(r.doc for r in page)
+    tens = [F.col("doc").isin(keys[k : k + 10]) for k in range(0, len(keys), 10)]  # longer lists reach Parquet as a range only
+    docs = index.docs.where(reduce(Column.__or__, tens)) if tens else index.docs.where("false")
+    out = docs.join(F.broadcast(rows), "doc").withColumn("snippet", snippet(F.col("text"), words, F.col("start")))
+    return out.select(*SHOWN, "score", "snippet").orderBy(F.desc("score"), "doc")
 
 
 def snippet(text: Column, words: list[str], start: Column) -> Column:
-    """About twelve tokens from shortly before the first match on, matches between marks."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+[^\p{L}\p{N}]*"), F.lit(0))
+    """About twelve tokens from shortly before the first match on, matches between marks, with an ellipsis where text was cut off."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"{WORD}[^\p{{L}}\p{{N}}]*"), F.lit(0))
     begin = F.greatest(start - 3, F.lit(0)) + 1
-    cut = F.rtrim(F.array_join(F.slice(pieces, begin, SNIPPET), ""))
-    if not words:
-        return cut
-    any_word = "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
-    return F.regexp_replace(cut, rf"(?iu)(?<![\p{{L}}\p{{N}}])({any_word})(?![\p{{L}}\p{{N}}])", MARKS[0] + "$1" + MARKS[1])
+
+    def marked(piece: Column) -> Column:
+        word = F.regexp_extract(piece, f"^{WORD}", 0)
+        shown = F.concat(F.lit(MARKS[0]), word, F.lit(MARKS[1]), F.substring(piece, F.length(word) + 1, F.length(piece)))
+        return F.when(folded(word).isin(*words), shown).otherwise(piece)
+
+    shown = F.slice(pieces, begin, SNIPPET)
+    cut = F.rtrim(F.array_join(F.transform(shown, marked) if words else shown, ""))
+    return F.concat(F.when(begin > 1, CUT).otherwise(""), cut, F.when(begin + SNIPPET <= F.size(pieces), CUT).otherwise(""))
 
 
 def for_agents(snippets: Column) -> Column:
     """Marks as ``**``."""
     return F.regexp_replace(snippets, "[\x02\x03]", "**")
-

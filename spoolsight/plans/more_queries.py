@@ -25,12 +25,13 @@ from spoolsight.streaming import live
 _TOKEN = r"[\p{L}\p{N}]+"
 _RANKED = rf"""{with_views("v_messages", "v_artifacts")}, d AS (SELECT concat('message/', agent, '/', session_id, '/', CAST(seq AS VARCHAR)) AS doc, agent, text AS t FROM v_messages
     UNION ALL SELECT concat('artifact/', agent, '/plan/', name), agent, content FROM v_artifacts),
-  w AS (SELECT doc, agent, t, regexp_extract_all(lower(t), '{_TOKEN}') AS l FROM d WHERE regexp_matches(t, '\S')),
-  n AS (SELECT count(*) AS docs, avg(len(l)) AS mean FROM w), q(term) AS (VALUES ('of'), ('the'), ('that')),
-  f AS (SELECT term, count(*) AS n FROM w, q WHERE list_contains(l, term) GROUP BY term),
-  h AS (SELECT doc, agent, t, l FROM w WHERE contains(concat(' ', array_to_string(l, ' '), ' '), ' of the ') AND list_contains(l, 'that')),
-  s AS (SELECT doc, round(sum(ln(1 + (docs - f.n + 0.5) / (f.n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score
-    FROM (SELECT doc, term, len(list_filter(l, lambda x: x = term)) AS tf, len(l) AS size FROM h, q) JOIN f USING (term), n GROUP BY doc)"""
+  w AS (SELECT doc, agent, t, regexp_extract_all(strip_accents(lower(t)), '{_TOKEN}') AS l FROM d WHERE regexp_matches(t, '\S')),
+  n AS (SELECT count(*) AS docs, sum(len(l)) AS tokens FROM w),
+  m AS (SELECT doc, agent, t, l, len(list_filter(range(1, len(l)), lambda i: l[i] = 'of' AND l[i + 1] = 'the')) AS a, len(list_filter(l, lambda x: x = 'that')) AS b FROM w),
+  f AS (SELECT greatest(ln((docs - na + 0.5) / (na + 0.5)), 1e-6) AS ia, greatest(ln((docs - nb + 0.5) / (nb + 0.5)), 1e-6) AS ib, docs, tokens
+    FROM (SELECT count(*) FILTER (a > 0) AS na, count(*) FILTER (b > 0) AS nb FROM m), n),
+  h AS (SELECT *, 1.2 * (0.25 + 0.75 * len(l) * docs / tokens) AS z FROM m, f WHERE a > 0 AND b > 0),
+  s AS (SELECT doc, round(ia * a * 2.2 / (a + z) + ib * b * 2.2 / (b + z), 9) AS score FROM h)"""
 
 
 def _search_corpus(spark: SparkSession, sf_dir: str) -> X.SearchIndex:
@@ -48,11 +49,11 @@ query("search_ranked", f"""{_RANKED} SELECT doc, round(score, 6) AS score FROM s
 query("search_of_agent", f"""{_RANKED} SELECT doc, round(score, 6) AS score FROM s JOIN h USING (doc) WHERE h.agent = 'docs' ORDER BY s.score DESC, doc LIMIT 20""")(
     lambda spark, sf_dir: X.search(_search_corpus(spark, sf_dir), "of_the that", agent="docs").select("doc", F.round("score", 6).alias("score"))
 )
-query("search_snippets", rf"""{_RANKED}, p AS (SELECT doc, score, regexp_extract_all(t, '[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]*') AS pieces, least(list_position(l, 'that'), list_min(list_filter(range(1, len(l)), lambda i: l[i] = 'of' AND l[i + 1] = 'the'))) AS place
+query("search_snippets", rf"""{_RANKED}, p AS (SELECT doc, regexp_extract_all(t, '[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]*') AS pieces, least(list_position(l, 'that'), list_min(list_filter(range(1, len(l)), lambda i: l[i] = 'of' AND l[i + 1] = 'the'))) AS place
     FROM s JOIN h USING (doc) ORDER BY s.score DESC, doc LIMIT 50),
-  c AS (SELECT doc, list_transform(list_slice(pieces, greatest(place - 3, 1), greatest(place - 3, 1) + 11), lambda x: CASE WHEN lower(regexp_extract(x, '{_TOKEN}')) IN ('of', 'the', 'that')
-    THEN concat('**', regexp_extract(x, '{_TOKEN}'), '**', substr(x, 1 + length(regexp_extract(x, '{_TOKEN}')))) ELSE x END) AS shown FROM p)
-  SELECT doc, regexp_replace(array_to_string(shown, ''), ' +$', '') AS snippet FROM c""")(
+  c AS (SELECT doc, list_transform(list_slice(pieces, greatest(place - 3, 1), greatest(place - 3, 1) + 11), lambda x: CASE WHEN strip_accents(lower(regexp_extract(x, '{_TOKEN}'))) IN ('of', 'the', 'that')
+    THEN concat('**', regexp_extract(x, '{_TOKEN}'), '**', substr(x, 1 + length(regexp_extract(x, '{_TOKEN}')))) ELSE x END) AS shown, greatest(place - 3, 1) AS b, len(pieces) AS n FROM p)
+  SELECT doc, concat(CASE WHEN b > 1 THEN '…' ELSE '' END, regexp_replace(array_to_string(shown, ''), ' +$', ''), CASE WHEN b + 12 <= n THEN '…' ELSE '' END) AS snippet FROM c""")(
     lambda spark, sf_dir: X.search(_search_corpus(spark, sf_dir), "of_the that", limit=50).select("doc", X.for_agents(F.col("snippet")).alias("snippet"))
 )
 
@@ -283,10 +284,10 @@ def _awkward(c: Corpus) -> Corpus:
 
 
 # -- where hits lie
-query("search_locators", f"""{_RANKED}, l AS (SELECT concat('message/', agent, '/', session_id, '/', CAST(seq AS VARCHAR)) AS doc, agent, session_id, seq, NULL AS artifact_kind, NULL AS artifact_name FROM v_messages
-    UNION ALL SELECT concat('artifact/', agent, '/plan/', name), agent, NULL, NULL, 'plan', name FROM v_artifacts)
+query("search_locators", f"""{_RANKED}, l AS (SELECT concat('message/', agent, '/', session_id, '/', CAST(seq AS VARCHAR)) AS doc, agent, session_id, seq, NULL AS artifact_kind, NULL AS artifact_name, '' AS title FROM v_messages
+    UNION ALL SELECT concat('artifact/', agent, '/plan/', name), agent, NULL, NULL, 'plan', name, name FROM v_artifacts)
   SELECT l.* FROM (SELECT doc FROM s ORDER BY s.score DESC, doc LIMIT 50) JOIN l USING (doc)""")(
-    lambda spark, sf_dir: X.search(_search_corpus(spark, sf_dir), "of_the that", limit=50).select("doc", "agent", "session_id", "seq", "artifact_kind", "artifact_name")
+    lambda spark, sf_dir: X.search(_search_corpus(spark, sf_dir), "of_the that", limit=50).select("doc", "agent", "session_id", "seq", "artifact_kind", "artifact_name", "title")
 )
 
 # -- runs, their diagnostics, and the archive's state

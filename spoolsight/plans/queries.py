@@ -278,11 +278,11 @@ def _index(spark: SparkSession, sf_dir: str):
     return X.build_search_index(X.search_documents(V.driver_corpus(spark, sf_dir).with_tables(messages=spark.createDataFrame([], V.schema("messages")))))
 
 
-query("search_index_terms", rf"""WITH {_DOC_TEXTS}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) AS term FROM d WHERE regexp_matches(t, '\S'))
+query("search_index_terms", rf"""WITH {_DOC_TEXTS}, w AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(t)), '[\p{{L}}\p{{N}}]+')) AS term FROM d WHERE regexp_matches(t, '\S'))
   SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM w GROUP BY term""")(
     lambda spark, sf_dir: _index(spark, sf_dir).postings.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
 )
-query("search_hits", rf"""WITH {_DOC_TEXTS}, h AS (SELECT doc_id, concat(' ', array_to_string(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+'), ' '), ' ') AS words FROM d)
+query("search_hits", rf"""WITH {_DOC_TEXTS}, h AS (SELECT doc_id, concat(' ', array_to_string(regexp_extract_all(strip_accents(lower(t)), '[\p{{L}}\p{{N}}]+'), ' '), ' ') AS words FROM d)
   SELECT concat('artifact/docs/', CASE doc_id % 3 WHEN 0 THEN 'plan' ELSE 'memory' END, '/doc', CAST(doc_id AS VARCHAR)) AS doc FROM h WHERE contains(words, ' of the ') AND contains(words, ' that ')""")(
     lambda spark, sf_dir: _all_hits(_index(spark, sf_dir), "of_the that")
 )
@@ -301,12 +301,12 @@ def _whole_index(spark: SparkSession, sf_dir: str):
 
 _ALL_TEXTS = f"""{with_views("v_messages", "v_artifacts")}, d AS (SELECT concat('message/', agent, '/', session_id, '/', CAST(seq AS VARCHAR)) AS doc, text AS t FROM v_messages
   UNION ALL SELECT concat('artifact/', agent, '/plan/', name), content FROM v_artifacts)"""
-query("search_index_terms_whole", rf"""{_ALL_TEXTS}, w AS (SELECT doc, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) AS term FROM d WHERE regexp_matches(t, '\S'))
+query("search_index_terms_whole", rf"""{_ALL_TEXTS}, w AS (SELECT doc, unnest(regexp_extract_all(strip_accents(lower(t)), '[\p{{L}}\p{{N}}]+')) AS term FROM d WHERE regexp_matches(t, '\S'))
   SELECT term, count(DISTINCT doc) AS documents, count(*) AS occurrences FROM w GROUP BY term""")(
     lambda spark, sf_dir: _whole_index(spark, sf_dir).postings.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
 )
 for _name, _q, _words in (("search_hits_whole", "of_the that", (" of the ", " that ")), ("search_hits_messages", "click number", (" click ", " number "))):
-    query(_name, rf"""{_ALL_TEXTS}, h AS (SELECT doc, concat(' ', array_to_string(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+'), ' '), ' ') AS words FROM d)
+    query(_name, rf"""{_ALL_TEXTS}, h AS (SELECT doc, concat(' ', array_to_string(regexp_extract_all(strip_accents(lower(t)), '[\p{{L}}\p{{N}}]+'), ' '), ' ') AS words FROM d)
   SELECT doc FROM h WHERE contains(words, '{_words[0]}') AND contains(words, '{_words[1]}')""")(lambda spark, sf_dir, q=_q: _all_hits(_whole_index(spark, sf_dir), q))
 
 
