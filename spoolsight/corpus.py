@@ -27,7 +27,7 @@ SCHEMAS: dict[str, str] = {
     "artifact_links": "agent string, kind string, name string, session_id string, relation string, evidence string, anchor_seq bigint",
     "history": "agent string, display string, at timestamp, session_id string, source_path string",
     "issues": "run_id bigint, severity string, category string, agent string, path string, line bigint, detail string",
-    "ingest_runs": "run_id bigint, started_at timestamp, status string, files bigint, sessions bigint, messages bigint",
+    "ingest_runs": "run_id bigint, started_at timestamp, finished_at timestamp, status string, files bigint, sessions bigint, messages bigint, failures bigint, warnings bigint",
     "findings": "rule_id string, entity_type string, agent string, natural_key string, session_id string, artifact_kind string, artifact_name string, line bigint, redacted string, found_at timestamp",
     "annotations": "entity_type string, natural_key string, kind string, value string, created_at timestamp",
 }

@@ -112,22 +112,35 @@ def merge_archive(c: Corpus, other: Corpus) -> Corpus:
 
 
 def archive_status(c: Corpus, dirty: DataFrame | None = None, built: dict | None = None, current: dict | None = None) -> DataFrame:
-    """One row: sessions awaiting rollups, imported sessions, last run and its status, size truncations, and whether rollups
-    or the scan are behind: ``built`` and ``current`` hold the fingerprints and generations they were and would be made from."""
+    """One row: sessions awaiting rollups, imported sessions, the last run (its number, status, start, end, failures, warnings, and size
+    truncations), and whether rollups or the scan are behind. ``built`` and ``current`` hold the fingerprints and generations that
+    they were and would be made from. ``built`` also tells when the last scan was completed (``scan_completed_at``) and whether it
+    left something out (``scan_incomplete``): a scan that was never completed, or left something out, is behind."""
     built, current = built or {}, current or {}
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    last = c.ingest_runs.agg(F.max("run_id").alias("last_run"), F.max_by("status", "run_id").alias("last_status"))
-    out = count(c.sessions.where("origin = 'imported'"), "imported_sessions").crossJoin(count(c.issues.where("category = 'size_limit'"), "truncated"))  # of one row each
-    out = out.crossJoin(last).crossJoin(count(dirty, "dirty_sessions") if dirty is not None else c.spark.range(1).select(F.lit(0).cast("bigint").alias("dirty_sessions")))
+    of_run = ("status", "started_at", "finished_at", "failures", "warnings")
+    last = c.ingest_runs.agg(F.max("run_id").alias("last_run"), F.max_by(F.struct(*of_run), "run_id").alias("_run"))
+    last = last.select("last_run", *(F.col(f"_run.{n}").alias(f"last_{n}") for n in of_run))
+    sized = c.issues.where("category = 'size_limit'").groupBy("run_id").agg(F.count(F.lit(1)).alias("truncated"))
+    last = last.join(sized, F.col("run_id") == F.col("last_run"), "left").drop("run_id").withColumn("truncated", F.coalesce("truncated", F.lit(0).cast("bigint")))
+    out = count(c.sessions.where("origin = 'imported'"), "imported_sessions").crossJoin(last)  # of one row each
+    out = out.crossJoin(count(dirty, "dirty_sessions") if dirty is not None else c.spark.range(1).select(F.lit(0).cast("bigint").alias("dirty_sessions")))
     behind = {k: built.get(k) != v for k, v in current.items()}
-    return out.select("*", F.lit(behind.get("rollups", False)).alias("rollups_pending"), F.lit(behind.get("scan", False)).alias("scan_pending"))
+    completed = built.get("scan_completed_at")
+    scan_behind = behind.get("scan", False) or completed is None or bool(built.get("scan_incomplete"))
+    return out.select("*", F.lit(behind.get("rollups", False)).alias("rollups_pending"), F.lit(completed).cast("timestamp").alias("scan_completed_at"), F.lit(scan_behind).alias("scan_pending"))
 
 
 def record_run(runs: DataFrame, issues: DataFrame, run: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Diagnostics with a further run: status ok, partial (some sources failed) or failed, the last hundred runs and their
     issues are kept."""
-    counted = found.groupBy("run_id").agg(F.count_if(F.col("severity") == "error").alias("_errors"))
-    done = run.join(counted, "run_id", "left").withColumn("status", F.when(F.coalesce("_errors", F.lit(0)) == 0, "ok").when(F.col("files") > F.col("_errors"), "partial").otherwise("failed")).drop("_errors")
+    kinds = {"failures": F.count_if(F.col("severity") == "error"), "warnings": F.count_if(F.col("severity") == "warning")}
+    counted = found.groupBy("run_id").agg(*(count.alias(n) for n, count in kinds.items()))
+    done = run.drop(*kinds).join(counted, "run_id", "left").withColumns({n: F.coalesce(n, F.lit(0).cast("bigint")) for n in kinds})
+    status = F.when(F.col("failures") == 0, "ok").when(F.col("files") > F.col("failures"), "partial").otherwise("failed")
+    done = done.withColumn("status", status)
+    absent = [f for f in runs.schema.fields if f.name not in done.columns]
+    done = done.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent}) if absent else done
     kept = runs.unionByName(done.select(*runs.columns)).orderBy(F.desc("run_id")).limit(KEPT_RUNS)
     return kept, issues.unionByName(found).join(kept.select("run_id"), "run_id", "left_semi").select(*issues.columns)
 

@@ -55,13 +55,13 @@ def load_rates(spark: SparkSession, path: str, prior: RateBook | None = None) ->
 
 
 def rates_from_json(spark: SparkSession, text: str, prior: RateBook | None = None) -> RateBook:
-    """A book from JSON text. Cards with a start or an end that is no date are left out."""
+    """A book from JSON text. Cards with a start or an end that is no date are left out; a model all of whose cards are left out stays
+    in the history without any, so that its dated usage is unpriced and not priced at the current rate."""
     book = json.loads(text)
     name = lambda key: key.strip().lower()
     readable = lambda card: all(not card.get(n) or _instant(card[n]) for n in ("effective_from", "effective_to"))
     models = {name(k): rate for k, rate in (book.get("models") or {}).items()}
-    history = {name(k): [c for c in cards if readable(c)] for k, cards in (book.get("history") or {}).items()}
-    history = {k: cards for k, cards in history.items() if cards}
+    history = {name(k): [c for c in cards if readable(c)] for k, cards in (book.get("history") or {}).items() if cards}
     return RateBook(spark, {**(prior.models if prior else {}), **models}, {**(prior.history if prior else {}), **history})
 
 
@@ -84,7 +84,8 @@ def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 def fingerprint(book: RateBook) -> str:
     """Digest of all rates and of the pricing rules; rollups built under another one are stale."""
     rows = book.base.select(F.to_json(F.struct("key", "rate")).alias("j")).union(book.cards.select(F.to_json(F.struct("key", "effective_from", "effective_to", "source", "rate"))))
-    digest = rows.agg(F.sha2(F.concat_ws("\n", F.lit(ALGORITHM), F.array_join(F.array_sort(F.collect_list("j")), "\n")), 256)).first()[0]
+    gaps = json.dumps(sorted(k for k, cards in book.history.items() if not cards))
+    digest = rows.agg(F.sha2(F.concat_ws("\n", F.lit(ALGORITHM), F.lit(gaps), F.array_join(F.array_sort(F.collect_list("j")), "\n")), 256)).first()[0]
     return digest
 
 

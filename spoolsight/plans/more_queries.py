@@ -306,13 +306,28 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(issues.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")), "run_id", "left").select("run_id", "files", "status", F.coalesce("n", zero).alias("issues"))
 
 
-query("archive_status", f"""{with_views("v_sessions")} SELECT count(*) FILTER (right(session_id, 1) = '1') AS imported_sessions, 0 AS truncated, count(*) FILTER (right(session_id, 1) = '2') AS dirty_sessions, TRUE AS rollups_pending, FALSE AS scan_pending FROM v_sessions""")(corpus(lambda c: _status(c)))
-
-
-def _status(c: Corpus) -> DataFrame:
-    marked = c.with_tables(sessions=c.sessions.withColumn("origin", F.when(F.col("session_id").endswith("1"), "imported").otherwise(F.col("origin"))))
+query("archive_status", f"""{with_views("v_sessions")}, t AS (SELECT conv_id, count(*) FILTER (turn % 3 = 2) AS failures, count(*) FILTER (turn % 3 = 1) AS warnings, count(*) FILTER (turn % 3 = 1) AS truncated, count(*) AS files FROM conversations GROUP BY conv_id),
+  r AS (SELECT * FROM t ORDER BY conv_id DESC LIMIT 1)
+  SELECT count(*) FILTER (right(session_id, 1) = '1') AS imported_sessions, any_value(r.conv_id) AS last_run, any_value(CASE WHEN r.failures = 0 THEN 'ok' WHEN r.files > r.failures THEN 'partial' ELSE 'failed' END) AS last_status,
+  TIMESTAMP '2024-02-01' AS last_started_at, TIMESTAMP '2024-02-02' AS last_finished_at, any_value(r.failures) AS last_failures, any_value(r.warnings) AS last_warnings, any_value(r.truncated) AS truncated,
+  count(*) FILTER (right(session_id, 1) = '2') AS dirty_sessions, TRUE AS rollups_pending, TIMESTAMP '2024-02-03' AS scan_completed_at, FALSE AS scan_pending FROM v_sessions, r""")(lambda spark, sf_dir: _status(spark, sf_dir))
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation is a run with a file a turn; every third fails, every third is cut off. The last run is told of."""
+    c, turns = V.driver_corpus(spark, sf_dir), spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    zero, at = F.lit(0).cast("bigint"), lambda day: F.lit(day).cast("timestamp")
+    runs = turns.groupBy(F.col("conv_id").alias("run_id")).agg(F.count(F.lit(1)).alias("files")).select("run_id", at("2024-02-01").alias("started_at"), at("2024-02-02").alias("finished_at"), "files", zero.alias("sessions"), zero.alias("messages"))
+    bad = F.col("turn") % 3 == 2
+    found = turns.where("turn % 3 <> 0").select(
+        F.col("conv_id").alias("run_id"), F.when(bad, "error").otherwise("warning").alias("severity"), F.when(bad, "bad_json").otherwise("size_limit").alias("category"),
+        F.lit("a").alias("agent"), F.concat_ws("/", "conv_id", "turn").alias("path"), F.lit(None).cast("bigint").alias("line"), F.lit("").alias("detail"),
+    )
+    kept, issues = K.record_run(c.ingest_runs, c.issues, runs, found)
+    marked = c.sessions.withColumn("origin", F.when(F.col("session_id").endswith("1"), "imported").otherwise(F.col("origin")))
     dirty = c.sessions.where(F.col("session_id").endswith("2"))
-    return K.archive_status(marked, dirty, {"rollups": 1, "scan": 7}, {"rollups": 2, "scan": 7}).drop("last_run", "last_status")
+    built = {"rollups": 1, "scan": 7, "scan_completed_at": "2024-02-03"}
+    return K.archive_status(c.with_tables(sessions=marked, ingest_runs=kept, issues=issues), dirty, built, {"rollups": 2, "scan": 7})
 
 
 # -- rates and logs from files
@@ -324,6 +339,18 @@ def _from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.priced_usage(c).select("agent", "session_id", "seq", "amount_nanos")
 
 
+_GAP = OWNED.replace("('m-large', NULL, NULL,", "('m-large', NULL, FALSE,")
+
+
+@query("priced_without_readable_cards", f"""WITH {_GAP} SELECT agent, session_id, seq, reported_cost_nanos + estimated_nanos AS amount_nanos, unpriced_input, unpriced_output FROM priced""")
+def _gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model whose only card has no date that can be read: its dated usage is unpriced, though it has a current rate."""
+    cards = '"m-large": [{"effective_from": "in spring", "source": "x", "rate": {"input": 0.000001}}],'
+    text = V.RATES_JSON.replace('"history": {', '"history": {' + cards)
+    c = V.driver_corpus(spark, sf_dir).with_tables(rates=P.rates_from_json(spark, text))
+    return U.priced_usage(c).select("agent", "session_id", "seq", "amount_nanos", "unpriced_input", "unpriced_output")
+
+
 query("read_log_lines", "SELECT count(*) AS lines, TRUE AS numbered, sum(length(text)) AS characters FROM conversations")(lambda spark, sf_dir: _log_files(spark, sf_dir))
 
 
@@ -342,14 +369,50 @@ _DELTAS = f"""{_COUNTED}, p AS (SELECT *, lag(ti) OVER w AS wi, lag("to") OVER w
   SELECT agent, session_id, seq, CASE WHEN seq % 2 = 0 THEN i WHEN wi IS NULL OR ti + "to" < wi + wo THEN ti ELSE ti - wi END AS input FROM p"""
 
 
-@query("stream_counter_deltas", _DELTAS)
-def _stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counters of ``counter_deltas_by_session`` as they arrive, with each session's last total in state."""
-    own = spark.newSession()  # the state store is this query's own setting
+def _with_rocksdb(spark: SparkSession) -> SparkSession:
+    """A session of its own with the state store that needs to be set."""
+    own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         if (value := spark.conf.get(name, None)) is not None:
             own.conf.set(name, value)
+    return own
+
+
+@query("stream_late_results", f"""{with_views("v_tool_calls")} SELECT agent, session_id, call_id, CASE seq % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'error' WHEN 2 THEN 'ok' WHEN 4 THEN 'blocked' END AS status,
+  CASE seq % 5 WHEN 0 THEN 9000 WHEN 1 THEN 4000 WHEN 2 THEN 9000 END AS duration_ms FROM v_tool_calls""")
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of five calls one has two results in one portion, one a result that comes a portion before it, one a second result after its
+    state was let go of, one none, and one a result dated before it. Each portion is landed and drained on its own."""
+    own = _with_rocksdb(spark)
+    base = V.driver_corpus(own, sf_dir).tool_calls.select("agent", "session_id", "call_id", "started_at", "seq")
+    k = F.col("seq") % 5
+
+    def result(kinds: tuple[int, ...], line: int, status: str, seconds: int) -> DataFrame:
+        at = F.col("started_at") + F.make_dt_interval(secs=F.lit(seconds))
+        return base.where(k.isin(*kinds)).select("agent", "session_id", "call_id", F.lit(line).cast("bigint").alias("line"), at.alias("at"), F.lit(status).alias("status"))
+
+    calls = lambda rows: rows.drop("seq")
+    first = (calls(base.where(k != 1)), result((0,), 7, "ok", 9).union(result((0,), 5, "error", 4)).union(result((1,), 5, "error", 4)).union(result((2,), 5, "error", 4)).union(result((4,), 5, "blocked", -4)))
+    second = (calls(base.where(k == 1)), result((), 1, "ok", 1))
+    third = (calls(base.where("false")), result((2,), 8, "ok", 9))  # its state is a new one, which knows no call
+    folders, out = [new_folder(own, n) for n in ("late-calls", "late-results")], new_folder(own, "late-rows")
+    for portion, state in zip((first, second, third), ("one", "one", "two"), strict=True):
+        streams = []
+        for df, folder in zip(portion, folders, strict=True):
+            where = f"{folder}-{state}"
+            df.write.mode("append").parquet(where)
+            streams.append(own.readStream.schema(df.schema).parquet(where))
+        late = live.stream_late_results(*streams)
+        late.writeStream.format("parquet").option("path", f"{out}/{state}").option("checkpointLocation", f"{out}-state-{state}").trigger(availableNow=True).start().awaitTermination()
+    rows = [own.read.schema(live.LATE_ROW).parquet(f"{out}/{state}") for state in ("one", "two")]
+    return live.latest_results(rows[0].union(rows[1])).drop("started_at")
+
+
+@query("stream_counter_deltas", _DELTAS)
+def _stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of ``counter_deltas_by_session`` as they arrive, with each session's last total in state."""
+    own = _with_rocksdb(spark)
     rows = _counters(V.driver_corpus(own, sf_dir).usage)
     return _drained(live.stream_deltas(_landed(own, rows, "counters"))).select("agent", "session_id", F.col("line").alias("seq"), F.col("input_tokens").alias("input"))
 

@@ -82,6 +82,72 @@ def stream_pair_results(calls: DataFrame, results: DataFrame, wait: str = "1 hou
     return joined.select(*(F.col(f"a.{k}").alias(k) for k in (*KEY, "call_id")), "a.started_at", "b.status", took.alias("duration_ms"))
 
 
+LATE_ROW = "agent string, session_id string, call_id string, started_at timestamp, line bigint, at timestamp, status string"
+
+
+class LateResults(StatefulProcessor):
+    """Per session: what is known of each call, its start and its last result, until it was not seen for ``keep_ms``."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.calls = handle.getMapState("calls", "call_id string", "started_at timestamp, line bigint, at timestamp, status string, seen bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known: dict[str, list] = {}
+        seen = 0
+        for row in (r for df in rows for r in df.itertuples(index=False)):
+            call = known.get(row.call_id)
+            if call is None:
+                stored = self.calls.getValue((row.call_id,)) if self.calls.containsKey((row.call_id,)) else None
+                call = known[row.call_id] = [None] * 4 if stored is None else list(stored[:4])
+            if pd.isna(row.line):
+                call[0] = row.started_at if call[0] is None else min(pd.Timestamp(call[0]), row.started_at)
+            elif call[1] is None or row.line >= call[1]:
+                call[1:] = [int(row.line), None if pd.isna(row.at) else row.at, row.status]
+            seen = max(seen, int(row.seen))
+        for call_id, call in known.items():
+            self.calls.updateValue((call_id,), (*(pd.Timestamp(v).to_pydatetime() if k in (0, 2) and v is not None else v for k, v in enumerate(call)), seen))
+        self.handle.registerTimer(seen + self.keep_ms)
+        out = pd.DataFrame([(*key, call_id, *call) for call_id, call in known.items()], columns=["agent", "session_id", "call_id", "started_at", "line", "at", "status"])
+        yield out.astype({"line": "Int64", "started_at": "datetime64[ns]", "at": "datetime64[ns]"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = expiredTimerInfo.getExpiryTimeInMs() - self.keep_ms
+        for (call_id,), call in list(self.calls.iterator()):
+            if call[4] <= last:
+                self.calls.removeKey((call_id,))
+        return iter([])
+
+    def close(self) -> None:
+        return None
+
+
+def stream_late_results(calls: DataFrame, results: DataFrame, keep: str = "1 day") -> DataFrame:
+    """What is known of each call whenever that changes: of several results the last by line, and results that come before their
+    call. For append mode; ``latest_results`` takes the rows of a call together.
+
+    ``calls``: agent, session_id, call_id, started_at. ``results``: agent, session_id, call_id, line, at, status. A call's state is let
+    go of ``keep`` after it last arrived, by timers on the time of arrival, so no row is too late: a result beyond that goes out
+    alone and meets its call among the stored rows. Needs the RocksDB state store.
+    """
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    rows = calls.select(*KEY, "call_id", "started_at").unionByName(results.select(*KEY, "call_id", "line", "at", "status"), allowMissingColumns=True)
+    arrived = rows.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "0 seconds").withColumn("seen", F.unix_millis("arrived"))
+    return arrived.groupBy(*KEY).transformWithStateInPandas(LateResults(keep_ms), outputStructType=LATE_ROW, outputMode="append", timeMode="eventTime")
+
+
+def latest_results(rows: DataFrame) -> DataFrame:
+    """One row a call from all rows that ``stream_late_results`` gave: its last result, and the time that it took, if that is not
+    negative. Results of calls that never came are left out."""
+    result = F.max_by(F.struct("at", "status"), "line")
+    whole = rows.groupBy(*KEY, "call_id").agg(F.min("started_at").alias("started_at"), result.alias("_last")).where("started_at is not null")
+    took = F.unix_millis("_last.at") - F.unix_millis("started_at")
+    return whole.select(*KEY, "call_id", "started_at", "_last.status", F.when(took >= 0, took).alias("duration_ms"))
+
+
 DELTA_FIELDS = ["input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"]
 DELTA_SCHEMA = "agent string, session_id string, line bigint, " + ", ".join(f"{f} bigint" for f in DELTA_FIELDS)
 

@@ -127,8 +127,11 @@ def test_archive(spark, corpus):
     runs = table(spark, "ingest_runs", [{"run_id": k, "status": "ok", "files": 1} for k in range(150)])
     kept, issues = archive.record_run(runs, table(spark, "issues", [{"run_id": 0}]), table(spark, "ingest_runs", [{"run_id": 200, "files": 3}]), table(spark, "issues", [{"run_id": 200, "severity": "error", "category": "size_limit"}]))
     assert kept.count() == 100 and kept.where("run_id = 200").first().status == "partial" and issues.count() == 1
-    status = archive.archive_status(back.with_tables(ingest_runs=kept, issues=issues), built={"rollups": 1}, current={"rollups": 2, "scan": None}).first()
+    status = archive.archive_status(back.with_tables(ingest_runs=kept, issues=issues), built={"rollups": 1, "scan_completed_at": "2024-01-01"}, current={"rollups": 2, "scan": None}).first()
     assert (status.imported_sessions, status.truncated, status.last_run, status.rollups_pending, status.scan_pending, status.dirty_sessions) == (2, 1, 200, True, False, 0)
+    assert (status.last_failures, status.last_warnings, status.last_status) == (1, 0, "partial")
+    never = archive.archive_status(back, built={"scan": 1}, current={"scan": 1}).first()
+    assert never.scan_pending and never.last_run is None and never.truncated == 0
     assert archive.stale({"a": 1}, {"a": 1, "b": 2}) == ["b"]
     known = spark.createDataFrame([("a", 1, 0, "h", 1), ("b", 2, 0, "h", 1)], "path string, length bigint, mtime int, content_hash string, parser_version int")
     now = spark.createDataFrame([("a", 1, 0), ("b", 3, 0), ("c", 1, 0)], "path string, length bigint, mtime int")

@@ -98,3 +98,13 @@ def test_bad_arguments(spark, book):
     with pytest.raises(LookupError):
         activity.tool(c, "a", "s", 1)
     assert sessions.sessions(c).count() == 0 and usage.usage(c).count() == 0
+
+
+def test_cards_that_cannot_be_read_leave_a_gap(spark):
+    text = '{"models": {"m": {"input": 0.000001}, "n": {"input": 0.000001}}, "history": {"m": [{"effective_from": "spring", "rate": {"input": 0.000002}}], "n": []}}'
+    book = pricing.rates_from_json(spark, text)
+    rows = spark.createDataFrame([("m", "2024-01-01"), ("m", None), ("n", "2024-01-01")], "model string, at string").selectExpr("'' AS provider", "model", "CAST(at AS timestamp) AS created_at", "1000000L AS input")
+    got = {(r.model, r.created_at is None): (r.found, r.key) for r in pricing.explain_pricing(rows, book).collect()}
+    assert got == {("m", False): (False, ""), ("m", True): (True, "m"), ("n", False): (True, "n")}
+    without = pricing.rates_from_json(spark, text.replace("spring", ""))
+    assert pricing.fingerprint(book) != pricing.fingerprint(without) != pricing.fingerprint(pricing.rates_from_json(spark, '{"models": {"m": {"input": 0.000001}, "n": {"input": 0.000001}}}'))

@@ -85,3 +85,20 @@ def test_segments_and_duplicates(spark, tmp_path):
     rows = [("x", T0), ("x", T0), ("y", T0)]
     stream = landed(spark, tmp_path / "dup", rows, "id string, at timestamp", 1)
     assert sorted(r.id for r in finished(live.once_each(stream, ["id"], "at", "1 hour"), "once").collect()) == ["x", "y"]
+
+
+def test_last_result_wins_whenever_it_comes(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    of_calls, of_results = "agent string, session_id string, call_id string, started_at timestamp", "agent string, session_id string, call_id string, line bigint, at timestamp, status string"
+    call = lambda n: ("a", "s", n, T0)
+    result = lambda n, line, status, seconds=1: ("a", "s", n, line, None if seconds is None else T0 + timedelta(seconds=seconds), status)
+    portions = [
+        ([call("two"), call("none"), call("back")], [result("two", 9, "ok", 3), result("two", 4, "error"), result("before", 2, "ok", 2), result("back", 3, "ok", -5), result("orphan", 1, "ok")]),
+        ([call("before"), call("twice")], [result("two", 6, "late but earlier", 8)]),
+        ([call("twice")], [result("twice", 11, "ok", None), result("before", 12, None, 7)]),
+    ]
+    for calls, results in portions:
+        late = live.stream_late_results(landed(spark, tmp_path / "c", calls, of_calls, 1), landed(spark, tmp_path / "r", results, of_results))
+        late.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    got = {r.call_id: (r.status, r.duration_ms) for r in live.latest_results(spark.read.schema(live.LATE_ROW).parquet(str(tmp_path / "out"))).collect()}
+    assert got == {"two": ("ok", 3000), "none": (None, None), "back": ("ok", None), "before": (None, 7000), "twice": ("ok", None)}
