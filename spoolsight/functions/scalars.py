@@ -198,3 +198,18 @@ def redacted(secret: Column, shown: int = 4) -> Column:
 def ignore_keys(rule: Column, natural_key: Column, secret: Column) -> Column:
     """Keys under which a finding may be ignored: this finding, or the rule in this entity whatever the match."""
     return F.array(F.concat_ws("|", rule, natural_key, secret), F.concat_ws("|", rule, natural_key, F.lit("*")))
+
+
+def json_pointer(doc: Column, pointer: Column) -> Column:
+    """Value in a JSON text that a pointer (RFC 6901) leads to, as a VARIANT; null if a step is missing or the text is no JSON. Steps
+    are keys of objects, whatever characters they hold, or indexes of arrays without leading zeros; ``~1`` stands for a
+    slash and ``~0`` for a tilde. The empty pointer is the whole text. The pointer may differ from row to row."""
+    steps = F.transform(F.slice(F.split(pointer, "/", -1), 2, 1 << 20), lambda t: F.replace(F.replace(t, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+
+    def down(value: Column, step: Column) -> Column:
+        inside = F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), step)
+        place = F.when(step.rlike("^(0|[1-9][0-9]{0,8})$"), step.try_cast("int"))
+        return F.coalesce(inside, F.get(F.try_variant_get(value, "$", "array<variant>"), place))
+
+    led = F.aggregate(steps, F.try_parse_json(doc), down)
+    return F.when((pointer == "") | pointer.startswith("/"), led)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,22 +54,56 @@ def entropy(s: Column) -> Column:
     return F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda acc, ch: acc - share(ch) * F.log2(share(ch)))
 
 
+def any_keyword(words: list[str]) -> str:
+    """A pattern that finds, at each place of a text, the longest of the words that begins there. Words that begin alike share their
+    beginning, so the work at a place does not grow with the number of words."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for ch in w:
+            at = at.setdefault(ch, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        ways = [re.escape(ch) + pattern(below) for ch, below in sorted(at.items()) if ch]
+        if not ways:
+            return ""
+        return "(?:" + "|".join(ways) + ")" + ("?" if "" in at else "")
+
+    first = "".join(re.escape(ch) for ch in sorted(tree))
+    return f"(?=[{first}])(?=({pattern(tree)}))" if tree else "(?!)()"
+
+
 def find_secrets(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Findings: rule, entity, redacted match and its line (the message's number for tool calls), once per entity.
 
-    A rule's pattern runs only on texts that contain one of its keywords in any case. Rules are read on the driver, as
-    they are a table of configuration, and become columns of one projection: the texts are read once for all rules.
+    A rule's pattern runs only on texts that contain one of its keywords in any case, or on all if it has none. One pattern finds all
+    rules' keywords in one pass over a text; an inverted index from keyword to rules tells which rules the text meets, and only
+    their patterns run. Rules are read on the driver, as they are a table of configuration; the projection does not grow with them.
     """
-    table = [tuple(r) for r in rules.select(*("rule_id", "description", "regex", "keywords", "min_entropy")).collect()] if rules is not None else DEFAULT_RULES
-    hits = []
-    for rule_id, _, regex, keywords, floor in table:
-        low, any_word = F.lower("text"), F.lit(False)
+    names = ("rule_id", "description", "regex", "keywords", "min_entropy")
+    table = [tuple(r) for r in rules.select(*names).collect()] if rules is not None else DEFAULT_RULES
+    kept = [{"rule_id": r, "regex": x, "place": 1 if re.compile(x).groups else 0, "floor": floor} for r, _, x, _, floor in table]
+    index: dict[str, set[int]] = {}
+    for n, (_, _, _, keywords, _) in enumerate(table):
         for k in keywords or []:
-            any_word = any_word | low.contains(k.lower())
-        group = 1 if re.compile(regex).groups else 0
-        named = _named(F.regexp_extract_all("text", F.lit(regex), F.lit(group)), rule_id, floor)
-        hits.append(F.when(any_word if keywords else F.lit(True), named).otherwise(F.array().cast("array<struct<rule_id:string,secret:string>>")))
-    each = docs.select("*", F.explode(F.concat(*hits)).alias("hit")).select("*", "hit.rule_id", "hit.secret")
+            index.setdefault(k.lower(), set()).add(n)
+    always = {n for n, r in enumerate(table) if not r[3]} | index.pop("", set())
+    # the longest word at a place holds all others that begin there
+    meets = {k: sorted(set().union(*(index[w] for w in index if k.startswith(w)))) for k in index}
+    literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    every = literal(kept, "array<struct<rule_id:string,regex:string,place:int,floor:double>>")
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_keyword(sorted(index))), F.lit(1)))
+    met = F.flatten(F.transform(found, lambda k: F.try_element_at(literal(meets, "map<string,array<int>>"), k)))
+    met = F.array_distinct(F.concat(literal(sorted(always), "array<int>"), met))
+
+    def named(n: Column) -> Column:
+        rule = F.get(every, n)
+        matches = F.regexp_extract_all("text", rule.regex, rule.place)
+        enough = F.filter(F.array_distinct(matches), lambda m: rule.floor.isNull() | (entropy(m) >= rule.floor))
+        return F.transform(enough, lambda m: F.struct(rule.rule_id.alias("rule_id"), m.alias("secret")))
+
+    each = docs.select("*", F.explode(F.flatten(F.transform(met, named))).alias("hit")).select("*", "hit.rule_id", "hit.secret")
     before = F.expr("substring(text, 1, locate(secret, text))")
     text_line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
     line = F.when(F.col("entity_type") == "tool_call", F.col("place")).otherwise(text_line).cast("bigint")
@@ -77,13 +112,6 @@ def find_secrets(docs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     return once.drop("secret")
 
 
-def _named(found: Column, rule_id: str, floor: float | None) -> Column:
-    """Distinct matches of a rule with enough entropy, with the rule's id."""
-    if floor is not None:
-        found = F.filter(found, lambda m: entropy(m) >= floor)
-    return F.transform(F.array_distinct(found), lambda m: F.struct(F.lit(rule_id).alias("rule_id"), m.alias("secret")))
-
-
 def to_scan(docs: DataFrame, prior: DataFrame | None, fingerprint: str) -> tuple[DataFrame, DataFrame]:
     """Texts of entities that changed since a prior scan, or all under other rules; and the new state per entity."""
     hashed = docs.groupBy("entity_type", "natural_key").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.sha2("text", 256)))), 256).alias("content_hash"))

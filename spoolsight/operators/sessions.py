@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoolsight.corpus import Corpus
+from spoolsight.functions.scalars import json_pointer
 from spoolsight.operators import filters
 from spoolsight.operators.usage import priced_usage
 from spoolsight.shared import written
@@ -240,12 +241,23 @@ def transcript(c: Corpus, agent: str, session_id: str, from_seq: int = 0, full:
     return filters.page(rows.select(*columns, *(["thinking"] if thinking else []), *(["content"] if full else [])), [F.col("seq")], "transcript", limit)
 
 
+#: Media types that are given out.
+SERVED = ["image/png", "image/jpeg", "image/gif", "image/webp"]
+
+
+def decoded_images(messages: DataFrame) -> DataFrame:
+    """Images of messages, decoded from their content by their pointers: ``agent``, ``session_id``, ``seq``, ``image`` (its place in the
+    message), ``media_type``, ``data``, and ``problem`` where there is no data: a type that is not given out, a pointer that leads
+    to no text or an empty one, or text that is not base64."""
+    each = messages.select(*KEY, "seq", "content", F.posexplode("images").alias("image", "locator")).withColumn("media_type", F.col("locator.media_type"))
+    found = json_pointer(F.col("content"), F.col("locator.pointer"))
+    text = F.when(F.schema_of_variant(found) == "STRING", F.nullif(F.try_variant_get(found, "$", "string"), F.lit("")))
+    served = each.withColumn("_text", F.when(F.col("media_type").isin(*SERVED), text)).withColumn("data", F.try_to_binary("_text", F.lit("base64")))
+    problem = F.when(~F.coalesce(F.col("media_type").isin(*SERVED), F.lit(False)), "type is not given out").when(F.col("_text").isNull(), "no data").when(F.col("data").isNull(), "not base64")
+    return served.select(*KEY, "seq", "image", "media_type", "data", problem.alias("problem"))
+
+
 def message_images(c: Corpus, agent: str, session_id: str, seq: int) -> DataFrame:
-    """Images of a message, decoded from its content by their pointers. Only four media types are given out."""
-    allowed = ["image/png", "image/jpeg", "image/gif", "image/webp"]
+    """Images of one message, as ``decoded_images`` gives them."""
     rows = c.messages.where((F.col("agent") == agent) & (F.col("session_id") == session_id) & (F.col("seq") == seq))
-    each = rows.select("content", F.posexplode("images").alias("image", "locator")).where(F.col("locator.media_type").isin(*allowed))
-    indexed = F.regexp_replace("locator.pointer", "/([0-9]+)", "[$1]")
-    path = F.concat(F.lit("$"), F.regexp_replace(indexed, "/([A-Za-z_][A-Za-z_0-9]*)", ".$1"))
-    data = F.call_function("get_json_object", F.col("content"), path)  # its path differs from row to row
-    return each.select("image", "locator.media_type", F.try_to_binary(data, F.lit("base64")).alias("data"))
+    return decoded_images(rows).select("image", "media_type", "data", "problem")

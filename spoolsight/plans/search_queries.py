@@ -1,4 +1,4 @@
-"""Registered queries of search with accents, and of the upkeep of a stored index."""
+"""Registered queries of search with accents, of the upkeep of a stored index, and of images in messages."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoolsight.operators import search as X
+from spoolsight.operators import sessions as S
 from spoolsight.plans import driver_views as V
 from spoolsight.plans.queries import ORACLES, query, with_views
 from spoolsight.shared import new_folder, written
@@ -47,3 +48,19 @@ def _upkept(spark: SparkSession, sf_dir: str) -> DataFrame:
     X.update_index(spark, folder, docs.where("false"), gone.select("doc"))
     live = X.read_index(spark, folder).postings
     return live.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("positions")).alias("occurrences"))
+
+
+@query("decoded_images", f"""{with_views("v_messages")} SELECT agent, session_id, seq, i AS image, CASE i WHEN 0 THEN CASE seq % 5 WHEN 0 THEN concat('first ', CAST(seq AS VARCHAR)) WHEN 2 THEN concat('second ', CAST(seq AS VARCHAR)) END END AS data,
+  CASE i WHEN 1 THEN 'type is not given out' ELSE CASE seq % 5 WHEN 1 THEN 'no data' WHEN 3 THEN 'no data' WHEN 4 THEN 'not base64' END END AS problem FROM v_messages, (VALUES (0), (1)) t(i)""")
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two images a message, the second of a type that is not given out. Pointers lead through a key with a slash and a tilde inside a
+    tool's result, to a place that is not there, through a key that is a number, to a number, and to text that is not base64."""
+    c = V.driver_corpus(spark, sf_dir)
+    encoded = lambda word: F.base64(F.encode(F.concat(F.lit(f"{word} "), F.col("seq").cast("string")), "UTF-8"))
+    content = F.format_string(
+        '{"content": [{"n": 5, "result": null}, {"result": {"a/b~c": {"data": "%s"}}}], "0": {"data": "%s", "odd": "?*?"}}', encoded("first"), encoded("second"),
+    )
+    pointer = F.element_at(F.array(*map(F.lit, ("/content/1/result/a~1b~0c/data", "/content/7/result", "/0/data", "/content/0/n", "/0/odd"))), (F.col("seq") % 5 + 1).cast("int"))
+    image = lambda kind: F.struct(F.lit(kind).alias("media_type"), pointer.alias("pointer"))
+    messages = c.messages.withColumns({"content": content, "images": F.array(image("image/png"), image("image/svg+xml"))})
+    return S.decoded_images(messages).select("agent", "session_id", "seq", "image", F.decode("data", "UTF-8").alias("data"), "problem")

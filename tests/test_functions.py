@@ -1,3 +1,4 @@
+import json
 import posixpath
 
 import pytest
@@ -55,3 +56,12 @@ def test_day_window_includes_its_last_day(spark):
     assert rows.where(filters.day_window(F.col("at"), "2026-01-01", "2026-01-02")).count() == 2
     assert rows.where(filters.day_window(F.col("at"), None, None)).count() == 4
     assert rows.where(filters.contains(F.lit("50%_Off"), "%_o")).count() == 4 and rows.where(filters.contains(F.lit("50x off"), "%")).count() == 0
+
+
+def test_json_pointers(spark):
+    doc = '{"a": [{"b": 1}, "x"], "a/b": {"~": "t", "": "e"}, "0": "zero", "it\'s": [[2]], "null": null, "~1": "s"}'
+    want = {"/a/0/b": "1", "/a/1": '"x"', "/a~1b/~0": '"t"', "/a~1b/": '"e"', "/0": '"zero"', "/it's/0/0": "2", "/null": "null", "/~01": '"s"', "/a/2": None, "/a/01": None, "/a/-": None, "/a/b": None, "/null/x": None, "a": None, "/a/1/0": None}
+    rows = spark.createDataFrame([(doc, p) for p in want] + [(doc, ""), (doc, None), ("{", "/a"), (None, "/a")], "doc string, pointer string")
+    out = rows.select("doc", "pointer", F.to_json(S.json_pointer(F.col("doc"), F.col("pointer"))).alias("v")).collect()
+    assert {r.pointer: r.v for r in out[: len(want)]} == want
+    assert json.loads(out[-4].v) == json.loads(doc) and [r.v for r in out[-3:]] == [None] * 3

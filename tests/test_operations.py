@@ -44,7 +44,7 @@ def test_sessions_and_detail(spark, corpus):
     assert d["events"].first().counts == {"turn": 2, "hook": 1}
     assert tuple(d["lines"].first()) == (3, 1, 1)
     assert [(r.kind, r.direction, r.other_id, r.at_seq) for r in d["relations"].collect()] == [("resumed_from", "in", "alone", 1), ("subagent_of", "in", "kid", None)]
-    assert [(bytes(r.data), r.media_type) for r in sessions.message_images(corpus, "a", "p", 1).collect()] == [(b"hi", "image/png")]
+    assert [(r.data and bytes(r.data), r.media_type, r.problem) for r in sessions.message_images(corpus, "a", "p", 1).collect()] == [(b"hi", "image/png", None), (None, "text/html", "type is not given out")]
     assert sessions.transcript(corpus, "a", "p", from_seq=1, thinking=True, full=True, limit=1).columns[-2:] == ["thinking", "content"]
     cycle = corpus.relations.unionByName(table(spark, "relations", [{"agent": "a", "from_id": "p", "to_id": "grandkid", "kind": "subagent_of"}]))
     assert {(r.root, r.node) for r in sessions.descendants(cycle).collect()} == {(x, y) for x in ("p", "kid", "grandkid") for y in ("p", "kid", "grandkid") if x != y}
