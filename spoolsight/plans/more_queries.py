@@ -208,12 +208,13 @@ query("counter_deltas_by_session", f"""{_COUNTED}, p AS (SELECT *, lag(ti) OVER
 
 
 def _counters(usage: DataFrame) -> DataFrame:
-    """Cumulative counters of each session that start anew every 400 numbers; even rows tell their own figures too."""
+    """Cumulative counters of each session that start anew every 400 numbers; even rows tell their own figures too. One counter goes
+    on when the others restart, so that no total stands twice and a turn with the figures of the one before is no repeat."""
     run = Window.partitionBy("agent", "session_id", F.expr("seq div 400")).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     i, o = F.sum("input").over(run), F.sum("output").over(run)
     zero = F.lit(0).cast("bigint")
     own = lambda x: F.when(F.col("seq") % 2 == 0, x)
-    total = {"input_tokens": i, "output_tokens": o, "total_tokens": i + o}
+    total = {"input_tokens": i, "output_tokens": o, "total_tokens": i + o, "cache_write_input_tokens": F.col("seq")}
     last = {"input_tokens": own(F.col("input")), "output_tokens": own(F.col("output")), "total_tokens": own(F.col("input") + F.col("output"))}
     return usage.select("agent", "session_id", F.col("seq").alias("line"), *(total.get(f, zero).cast("bigint").alias(f"total_{f}") for f in live.DELTA_FIELDS), *(last.get(f, own(zero)).cast("bigint").alias(f"last_{f}") for f in live.DELTA_FIELDS))
 
