@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spoolsight.functions.scalars import day_of
 from spoolsight.sources.shared import counter_deltas
@@ -83,46 +84,61 @@ def stream_pair_results(calls: DataFrame, results: DataFrame, wait: str = "1 hou
 
 
 LATE_ROW = "agent string, session_id string, call_id string, started_at timestamp, line bigint, at timestamp, status string"
-
-
-class LateResults(StatefulProcessor):
-    """Per session: what is known of each call, its start and its last result, until it was not seen for ``keep_ms``."""
-
-    def __init__(self, keep_ms: int) -> None:
-        self.keep_ms = keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.calls = handle.getMapState("calls", "call_id string", "started_at timestamp, line bigint, at timestamp, status string, seen bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known: dict[str, list] = {}
-        seen = 0
-        for row in (r for df in rows for r in df.itertuples(index=False)):
-            call = known.get(row.call_id)
-            if call is None:
-                stored = self.calls.getValue((row.call_id,)) if self.calls.containsKey((row.call_id,)) else None
-                call = known[row.call_id] = [None] * 4 if stored is None else list(stored[:4])
-            if pd.isna(row.line):
-                call[0] = row.started_at if call[0] is None else min(pd.Timestamp(call[0]), row.started_at)
-            elif call[1] is None or row.line >= call[1]:
-                call[1:] = [int(row.line), None if pd.isna(row.at) else row.at, row.status]
-            seen = max(seen, int(row.seen))
-        for call_id, call in known.items():
-            self.calls.updateValue((call_id,), (*(pd.Timestamp(v).to_pydatetime() if k in (0, 2) and v is not None else v for k, v in enumerate(call)), seen))
-        self.handle.registerTimer(seen + self.keep_ms)
-        out = pd.DataFrame([(*key, call_id, *call) for call_id, call in known.items()], columns=["agent", "session_id", "call_id", "started_at", "line", "at", "status"])
-        yield out.astype({"line": "Int64", "started_at": "datetime64[ns]", "at": "datetime64[ns]"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = expiredTimerInfo.getExpiryTimeInMs() - self.keep_ms
-        for (call_id,), call in list(self.calls.iterator()):
-            if call[4] <= last:
-                self.calls.removeKey((call_id,))
-        return iter([])
-
-    def close(self) -> None:
-        return None
+#: Sessions share a group's state, so that Python gets the rows and the state of many of them at a time, as columns. A stored
+#: stream keeps its number.
+BUCKETS = 4096
+LATE_COLUMNS = [*KEY, "call_id", "started_us", "started", "line", "lined", "at_us", "dated", "status", "seen"]
+_LATE_TYPES = {"started_us": "int64", "started": "bool", "line": "int64", "lined": "bool", "at_us": "int64", "dated": "bool", "seen": "int64"}
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows as one Arrow stream, which is what a group's state holds."""
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(state: GroupState) -> list[pd.DataFrame]:
+    return [pa.ipc.open_stream(state.get[0]).read_all().to_pandas()] if state.exists else []
+
+
+def _late_results(keep_ms: int):
+    """Of the calls of some sessions what is known, their starts and last results, until one was not seen for ``keep_ms``."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fresh = [] if state.hasTimedOut else list(frames)
+        known = _unpacked(state)
+        rows = pd.concat([df[LATE_COLUMNS] for df in (*known, *fresh)], ignore_index=True).astype(_LATE_TYPES)
+        stored = sum(map(len, known))
+        call = rows.groupby([*KEY, "call_id"], dropna=False, sort=False).ngroup().to_numpy()
+        n = call.max() + 1
+        of_last = np.lexsort((np.arange(len(rows)), rows["line"].to_numpy(), rows["lined"].to_numpy(), call))  # of equal lines the later row
+        last = of_last[np.searchsorted(call[of_last], np.arange(n), "right") - 1]
+        calls = rows.iloc[last].reset_index(drop=True)
+        least = np.full(n, np.iinfo("i8").max)
+        np.minimum.at(least, call[rows["started"]], rows["started_us"].to_numpy()[rows["started"]])
+        calls["started"] = least < np.iinfo("i8").max
+        calls["started_us"] = np.where(calls["started"], least, 0)
+        seen = np.zeros(n, "i8")
+        np.maximum.at(seen, call, rows["seen"].to_numpy())
+        calls["seen"] = seen
+        if fresh:
+            yield calls.iloc[np.unique(call[stored:])]
+        now = state.getCurrentWatermarkMs()
+        kept = calls[calls["seen"] + keep_ms > now]
+        if len(kept):
+            state.update((_packed(kept),))
+            state.setTimeoutTimestamp(int(kept["seen"].min()) + keep_ms)
+        elif state.exists:
+            state.remove()
+
+    return run
 
 
 def stream_late_results(calls: DataFrame, results: DataFrame, keep: str = "1 day") -> DataFrame:
@@ -131,12 +147,20 @@ def stream_late_results(calls: DataFrame, results: DataFrame, keep: str = "1 day
 
     ``calls``: agent, session_id, call_id, started_at. ``results``: agent, session_id, call_id, line, at, status. A call's state is let
     go of ``keep`` after it last arrived, by timers on the time of arrival, so no row is too late: a result beyond that goes out
-    alone and meets its call among the stored rows. Needs the RocksDB state store.
+    alone and meets its call among the stored rows.
     """
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
     rows = calls.select(*KEY, "call_id", "started_at").unionByName(results.select(*KEY, "call_id", "line", "at", "status"), allowMissingColumns=True)
-    arrived = rows.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "0 seconds").withColumn("seen", F.unix_millis("arrived"))
-    return arrived.groupBy(*KEY).transformWithStateInPandas(LateResults(keep_ms), outputStructType=LATE_ROW, outputMode="append", timeMode="eventTime")
+    arrived = rows.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "0 seconds")
+    number = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    flat = arrived.select(
+        _bucket(), *KEY, "call_id", number(F.unix_micros("started_at")).alias("started_us"), F.col("started_at").isNotNull().alias("started"), number(F.col("line")).alias("line"), F.col("line").isNotNull().alias("lined"),
+        number(F.unix_micros("at")).alias("at_us"), F.col("at").isNotNull().alias("dated"), "status", F.unix_millis("arrived").alias("seen"), "arrived",
+    )
+    kinds = "agent string, session_id string, call_id string, started_us bigint, started boolean, line bigint, lined boolean, at_us bigint, dated boolean, status string, seen bigint"
+    known = flat.groupBy("bucket").applyInPandasWithState(_late_results(keep_ms), kinds, "calls binary", "append", GroupStateTimeout.EventTimeTimeout)
+    when = lambda flag, c: F.when(F.col(flag), c)
+    return known.select(*KEY, "call_id", when("started", F.timestamp_micros("started_us")).alias("started_at"), when("lined", F.col("line")).alias("line"), when("dated", F.timestamp_micros("at_us")).alias("at"), "status")
 
 
 def latest_results(rows: DataFrame) -> DataFrame:
@@ -152,46 +176,50 @@ DELTA_FIELDS = ["input_tokens", "cached_input_tokens", "cache_write_input_tokens
 DELTA_SCHEMA = "agent string, session_id string, line bigint, " + ", ".join(f"{f} bigint" for f in DELTA_FIELDS)
 
 
-class CounterState(StatefulProcessor):
-    """Per session: the last known total, and the last-turn figure of the row before."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        kinds = lambda: T.StructType([T.StructField("known", T.BooleanType()), *(T.StructField(f, T.LongType()) for f in DELTA_FIELDS)])
-        self.total, self.last = handle.getValueState("total", kinds()), handle.getValueState("last", kinds())
-
-    @staticmethod
-    def _of(state) -> tuple | None:
-        value = state.get() if state.exists() else None
-        return tuple(value[1:]) if value is not None and value[0] else None
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        had, was = self._of(self.total), self._of(self.last)
-        out = []
-        for row in sorted((r for df in rows for r in df.to_dict("records")), key=lambda r: r["line"]):
-            total, last = (None if pd.isna(row[f"{kind}_total_tokens"]) else tuple(int(row[f"{kind}_{f}"]) for f in DELTA_FIELDS) for kind in ("total", "last"))
-            delta = None
-            if last is not None:
-                delta = None if was == last and total == had else last
-            elif total is not None:
-                delta = total if had is None or total[-1] < had[-1] else tuple(a - b for a, b in zip(total, had, strict=True))
-            had, was = total or had, last
-            if delta is not None:
-                out.append((*key, row["line"], *delta))
-        empty = (False, *([0] * len(DELTA_FIELDS)))
-        self.total.update((True, *had) if had is not None else empty)
-        self.last.update((True, *was) if was is not None else empty)
-        yield pd.DataFrame(out, columns=["agent", "session_id", "line", *DELTA_FIELDS])
-
-    def close(self) -> None:
-        return None
+_COUNTS = [f"{kind}_{f}" for kind in ("total", "last") for f in DELTA_FIELDS]
+_COUNTER_COLUMNS = [*KEY, "line", "totalled", "told", *_COUNTS]
+
+
+def _counter_deltas(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Deltas of the rows of some sessions. What is known of a session, its last total and the last-turn figure of the row before,
+    is kept as one row, which stands before those that arrive."""
+    known = _unpacked(state)
+    rows = pd.concat([df[_COUNTER_COLUMNS] for df in (*known, *frames)], ignore_index=True)
+    fresh = np.arange(len(rows)) >= sum(map(len, known))
+    session = rows.groupby(KEY, dropna=False, sort=False).ngroup().to_numpy()
+    order = np.lexsort((rows["line"].to_numpy(), fresh, session))
+    rows, fresh, session, at = rows.iloc[order], fresh[order], session[order], np.arange(len(rows))
+    total, last = (rows[[f"{kind}_{f}" for f in DELTA_FIELDS]].to_numpy("i8") for kind in ("total", "last"))
+    totalled, told = rows["totalled"].to_numpy("bool"), rows["told"].to_numpy("bool")
+    start = np.searchsorted(session, session)
+    newest = np.maximum.accumulate(np.where(totalled, at, -1))  # the last row with a total, perhaps of a session before
+    newest = np.where(newest >= start, newest, -1)
+    before = np.maximum(at - 1, 0)
+    had = np.where(at > start, newest[before], -1)
+    same_total = np.where(had < 0, ~totalled, totalled & (total == total[had]).all(axis=1))
+    repeat = (at > start) & told[before] & (last == last[before]).all(axis=1) & same_total
+    restart = (had < 0) | (total[:, -1] < total[had, -1])
+    delta = np.where(told[:, None], last, np.where(restart[:, None], total, total - total[had]))
+    given = fresh & np.where(told, ~repeat, totalled)
+    out = rows.loc[given, [*KEY, "line"]].reset_index(drop=True)
+    yield pd.concat([out, pd.DataFrame(delta[given], columns=DELTA_FIELDS)], axis=1)
+
+    end = np.flatnonzero(np.diff(session, append=-1))
+    kept = rows.iloc[end].copy()
+    kept["totalled"] = newest[end] >= 0
+    kept[[f"total_{f}" for f in DELTA_FIELDS]] = np.where((newest[end] >= 0)[:, None], total[newest[end]], 0)
+    state.update((_packed(kept),))
 
 
 def stream_deltas(rows: DataFrame) -> DataFrame:
     """Usage per turn from cumulative counters as they arrive, with the last total of every session in state.
 
-    ``rows``: agent, session_id, line, and ``total_*`` and ``last_*`` for each of ``DELTA_FIELDS``. Needs the RocksDB state store.
+    ``rows``: agent, session_id, line, and ``total_*`` and ``last_*`` for each of ``DELTA_FIELDS``. A figure missing beside a known
+    ``total_tokens`` counts 0.
     """
-    return rows.groupBy(*KEY).transformWithStateInPandas(CounterState(), outputStructType=DELTA_SCHEMA, outputMode="append", timeMode="none")
+    counts = [F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c) for c in _COUNTS]
+    flat = rows.select(_bucket(), *KEY, "line", F.col("total_total_tokens").isNotNull().alias("totalled"), F.col("last_total_tokens").isNotNull().alias("told"), *counts)
+    return flat.groupBy("bucket").applyInPandasWithState(_counter_deltas, DELTA_SCHEMA, "counters binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def batch_deltas(rows: DataFrame) -> DataFrame:
