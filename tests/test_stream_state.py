@@ -5,6 +5,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from spoolsight.plans import more_queries
 from spoolsight.streaming import live
@@ -41,3 +42,17 @@ def test_turns_with_equal_figures_are_no_repeats(spark):
     usage = spark.createDataFrame([("a", "s", n, 100 + n * 37 % 5000, n * 13 % 900) for n in (1000, 46000, 46001, 91000)], "agent string, session_id string, seq bigint, input bigint, output bigint")
     got = live.batch_deltas(more_queries._counters(usage)).select("line", "input_tokens", "output_tokens").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, usage.select("seq", "input", "output").collect()))
+
+
+def test_state_of_calls_ends_one_by_one(spark, tmp_path, monkeypatch):
+    """Calls of many sessions in one group; a call that was not seen for the time to keep is let go of, its late result goes out alone."""
+    monkeypatch.setattr(live, "BUCKETS", 1)
+    of_calls, of_results = "agent string, session_id string, call_id string, started_at timestamp", "agent string, session_id string, call_id string, line bigint, at timestamp, status string"
+    calls = [("a", f"s{k % 5}", f"c{k}", T0 + timedelta(microseconds=k)) for k in range(40)]
+    result = lambda k, line, status: ("a", f"s{k % 5}", f"c{k}", line, T0 + timedelta(seconds=k), status)
+    portions = [[calls[:30], [result(k, 5, "ok") for k in range(20)] + [result(k, 3, "error") for k in range(10)]], [calls[30:], []], [[], [result(k, 9, "late") for k in range(0, 40, 4)]]]
+    rows = drained(spark, tmp_path, lambda c, r: live.stream_late_results(c, r, "1 millisecond"), portions, [of_calls, of_results])
+    alone = rows.where(F.col("status") == "late").where("started_at is null").count()
+    assert alone == 8  # those of the first portion; what was seen last is still known
+    got = {r.call_id: (r.started_at, r.status) for r in live.latest_results(rows).collect()}
+    assert got == {f"c{k}": (calls[k][3], "late" if k % 4 == 0 else "ok" if k < 20 else None) for k in range(40)}
