@@ -29,9 +29,10 @@ def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that five-word shingles at a Jaccard similarity of 0.8 link, the row with the smallest doc_id stays."""
+    """Of each group that op 7's fingerprints at 2 or fewer differing bits, or five-word shingles at a Jaccard similarity of 0.8, link,
+    the row with the smallest doc_id stays."""
     ship_package(spark)
-    return near_copies.keep_one_each(docs)
+    return near_copies.keep_one_of_each_way(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

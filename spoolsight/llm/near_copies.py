@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spoolsight.llm.graph import components
 from spoolsight.llm.resident import release
 from spoolsight.llm.rows import repeat_rows
-from spoolsight.llm.simhash_links import SEED, fingerprint_words
+from spoolsight.llm.simhash_links import SEED, fingerprint_words, near_duplicates
 from spoolsight.shared import written
 
 SHINGLE = 5
@@ -210,3 +210,15 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     kept = near_copies(docs, id_col, text_col).groupBy("root").agg(first).select("first.doc_id", "first.key", F.lit(1))
     return repeat_rows(docs, [F.col(id_col), F.xxhash64(text_col)], kept)
+
+
+def keep_one_of_each_way(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group that fingerprints at 2 or fewer differing bits (op 7) and shingle sets at 0.8 or more link together, with
+    all its columns: the smallest id's. Both ways look at all rows. A text is in one group of either way; groups that have a
+    text in common are one."""
+    by_bits = written(near_duplicates(docs, id_col, text_col).select("key", F.xxhash64(F.lit("bits"), "root").alias("u")).distinct(), "groups-by-bits")
+    by_sets = written(near_copies(docs, id_col, text_col).select("doc_id", "key", F.xxhash64(F.lit("sets"), "root").alias("v")), "groups-by-sets")
+    joined = components(by_bits.join(by_sets.select("key", "v").distinct(), "key").select("u", "v"), "groups-joined")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    kept = by_sets.join(joined, by_sets.v == joined.node).groupBy("root").agg(first).select("first.doc_id", "first.key", F.lit(1))
+    return repeat_rows(docs, [F.col(id_col), F.xxhash64(text_col)], kept)
