@@ -69,9 +69,9 @@ def subtree_totals(edges: DataFrame, values: DataFrame, names: list[str], kind:
     double. When each node has the sum of what is less than 2^k levels below it, and a pointer to the node 2^k levels above, it
     hands that sum to that node, which so has the sum of twice as many levels. Each round has one row a node.
 
-    Cycles: what still has a pointer after as many levels as there are nodes leads into a cycle, and all pointers end on one. Nodes
-    of a cycle have each other and all that hangs on the cycle below them; for everybody else the cycle is cut there.
-    Several parents: sums would count a node once a way. Only nodes above one with several parents are listed in pairs instead.
+    Cycles: nodes of a cycle have each other and all that hangs on the cycle below them; for everybody else the cycle is cut there.
+    Several parents: sums would count a node once a way. Nodes with several parents and those above them are listed in pairs with
+    each other instead, each with the sum of what hangs on it and on no other of them.
     """
     links = edges.where(F.col("kind") == kind).select("agent", F.col("from_id").alias("node"), F.col("to_id").alias("up")).where("node <> up").distinct()
     links = written(links, "tree-links")
@@ -87,13 +87,13 @@ def subtree_totals(edges: DataFrame, values: DataFrame, names: list[str], kind:
         turned = links.select("agent", F.col("node").alias("to_id"), F.col("up").alias("from_id"), F.lit(kind).alias("kind"))
         above = descendants(turned, kind, shared.select("agent", F.col("node").alias("session_id"))).select("agent", "node")
         above = written(above.union(shared).distinct(), "above-several-parents")
-        pairs = descendants(edges, kind, above.select("agent", F.col("node").alias("session_id")))
-        listed = pairs.join(nodes, ["agent", "node"]).groupBy("agent", F.col("root").alias("node")).agg(*(F.sum(n).alias(n) for n in sums))
+        inside = links.join(above, ["agent", "node"], "left_semi").select("agent", F.col("node").alias("from_id"), F.col("up").alias("to_id"), F.lit(kind).alias("kind"))
+        pairs = descendants(inside, kind)
         forest = links.join(above, ["agent", "node"], "left_anti")
     else:
         forest = links
 
-    cycles = _cycles(forest, nodes.count())
+    cycles = _cycles(forest)
     cut = forest if cycles is None else forest.join(cycles.select("agent", "node"), ["agent", "node"], "left_anti")
     whole = written(_summed(cut, nodes, sums), "tree-sums")  # each node with what is below it
     below = whole.join(nodes.select("agent", "node", *(F.col(n).alias(f"own_{n}") for n in sums)), ["agent", "node"])
@@ -105,8 +105,9 @@ def subtree_totals(edges: DataFrame, values: DataFrame, names: list[str], kind:
     out = below.select("agent", "node", *((F.coalesce(f"ring_{n}", n) - F.col(f"own_{n}")).alias(n) for n in sums))
     if many:
         rest = out.join(above, ["agent", "node"], "left_anti")
-        none = above.join(listed, ["agent", "node"], "left").select("agent", "node", *(F.coalesce(n, F.lit(0)).alias(n) for n in sums))
-        out = rest.unionByName(none)
+        listed = pairs.join(whole, ["agent", "node"]).groupBy("agent", F.col("root").alias("node")).agg(*(F.sum(n).alias(f"listed_{n}") for n in sums))
+        hung = out.join(above, ["agent", "node"], "left_semi").join(listed, ["agent", "node"], "left")
+        out = rest.unionByName(hung.select("agent", "node", *((F.col(n) + F.coalesce(f"listed_{n}", F.lit(0))).alias(n) for n in sums)))
     return out.select("agent", F.col("node").alias("session_id"), *(F.col(n).cast("bigint").alias(n) for n in sums))
 
 
@@ -117,15 +118,27 @@ def _doubled(pointers: DataFrame) -> DataFrame:
     return pointers.join(on, ["agent", "up"]).select("agent", "node", F.col("next").alias("up"), *least)
 
 
-def _cycles(forest: DataFrame, most: int) -> DataFrame | None:
-    """``agent``, ``node``, ``ring`` (least node of its cycle) of all nodes on cycles; None without any. Each node has one parent here."""
-    pointers, length = forest.withColumn("least", F.least("node", "up")), 1
-    while length < 2 * most:
-        pointers, length = written(_doubled(pointers), "cycle-pointers"), 2 * length
-        if pointers.isEmpty():
+def _cycles(forest: DataFrame) -> DataFrame | None:
+    """``agent``, ``node``, ``ring`` (least node of its cycle) of all nodes on cycles; None without any. Each node has one parent here.
+
+    Of pointers of twice the length the ends are among those before. If there are as many, following a pointer permutes them, so
+    they are all on cycles. Then lengths double until no least node changes: pointers of one length that start where the one
+    before ended go round the whole cycle, so it is the least of all.
+    """
+    pointers, before = forest.withColumn("least", F.least("node", "up")), None
+    while True:
+        pointers = written(_doubled(pointers), "cycle-pointers")
+        ends = pointers.select("agent", F.col("up").alias("node")).distinct()
+        n = ends.count()
+        if n == 0:
             return None
-    ends = pointers.select("agent", F.col("up").alias("node")).distinct()
-    return written(pointers.join(ends, ["agent", "node"], "left_semi").select("agent", "node", F.col("least").alias("ring")), "cycles")
+        if n == before:
+            break
+        before = n
+    ring, before = written(pointers.join(ends, ["agent", "node"], "left_semi"), "cycles"), None
+    while (now := ring.agg(F.sum(F.xxhash64("agent", "node", "least").cast("decimal(38,0)"))).first()) != before:
+        ring, before = written(_doubled(ring), "cycles"), now
+    return ring.select("agent", "node", F.col("least").alias("ring"))
 
 
 def _summed(forest: DataFrame, nodes: DataFrame, sums: list[str]) -> DataFrame:
