@@ -26,13 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoolsight.llm.resident import release, resident
+from spoolsight.llm.resident import give_back, release, resident
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
 NOTHING = BUCKETS  # the row of weights that stays 0
 BLOCK = 512
 WORDS_AT_ONCE = 200_000
+TRAINED_AT_ONCE = 8_192  # words of the sample whose features are laid out together
 KEPT_WORDS = 150_000
 FLOOR = -25.0
 GAIN = 1e-3  # training ends when a round adds less than this to the log-likelihood of a word
@@ -78,6 +79,29 @@ def _feature_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, out_starts, whole
 
 
+def _sample_feature_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_feature_ids``, but a part of the words after another, so that the driver need not hold what is made on the way for all."""
+    parts, begins, hashes, size = [], [], [], 0
+    for at in range(0, len(words), TRAINED_AT_ONCE):
+        ids, starts, whole = _feature_ids(words[at : at + TRAINED_AT_ONCE])
+        parts.append(ids.astype("i4"))
+        begins.append(starts + size)
+        hashes.append(whole)
+        size += len(ids)
+    return np.concatenate(parts), np.concatenate(begins), np.concatenate(hashes)
+
+
+def _word_sums(weights: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sum of the rows of ``weights`` from each start to the next, a part of the words after another."""
+    out = np.empty((len(starts), weights.shape[1]))
+    ends = [*starts[TRAINED_AT_ONCE::TRAINED_AT_ONCE], len(rows)]
+    for n, end in enumerate(ends):
+        some = slice(n * TRAINED_AT_ONCE, (n + 1) * TRAINED_AT_ONCE)
+        begin = starts[some][0]
+        out[some] = np.add.reduceat(weights[rows[begin:end]], starts[some] - begin, axis=0)
+    return out
+
+
 def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype("i8") % BUCKETS
 
@@ -203,7 +227,7 @@ def train(texts: list[tuple[str, str]], rounds: int = 40, seed: int = 11) -> Mod
             stretches.append((words[at : at + n], languages.index(lang)))
             at += n
     words = list(vocabulary) or ["\x02"]
-    ids, starts, hashes = _feature_ids(words)
+    ids, starts, hashes = _sample_feature_ids(words)
     model = Model(languages, np.zeros((BUCKETS + 1, k)), np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros((k + 1, k)), np.zeros((k, k)), np.zeros(BUCKETS + 1, bool))
     if not stretches or not k:
         return model
@@ -223,15 +247,17 @@ def train(texts: list[tuple[str, str]], rounds: int = 40, seed: int = 11) -> Mod
     inner[::64] = False
     counted = np.zeros((k, k))
     np.add.at(counted, (gold[:-1][inner[1:]], gold[1:][inner[1:]]), 1)
-    counts = np.diff([*starts, len(ids)])
-    owner = np.repeat(np.arange(len(words)), counts)
-    kept, inverse = np.unique(ids, return_inverse=True)
+    counts = np.diff(starts, append=len(ids))
+    met = np.zeros(BUCKETS + 1, bool)
+    met[ids] = True
+    kept, inverse = np.flatnonzero(met), (np.cumsum(met) - 1)[ids]
+    del ids, stretches, vocabulary
     nothing = int(np.searchsorted(kept, NOTHING)) if kept[-1] == NOTHING else -1
     params = {"w": np.zeros((len(kept), k)), "lex": np.zeros((k + 1, k)), "tr": np.zeros((k, k))}
     moments = {n: (np.zeros_like(p), np.zeros_like(p)) for n, p in params.items()}
     likelihood = -np.inf
     for r in range(1, rounds + 1):
-        scores = np.add.reduceat(params["w"][inverse], starts, axis=0) + params["lex"][lexicon]
+        scores = _word_sums(params["w"], inverse, starts) + params["lex"][lexicon]
         emissions = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), FLOOR))
         expected = np.zeros((k + 1, k))
         found = marginals(emissions, rows, lengths, params["tr"], expected)
@@ -242,7 +268,7 @@ def train(texts: list[tuple[str, str]], rounds: int = 40, seed: int = 11) -> Mod
         by_word = seen - np.stack([np.bincount(rows, found[:, j], len(words)) for j in range(k)], axis=1)
         enter_share = np.exp(params["tr"]) / np.exp(params["tr"]).sum(axis=0, keepdims=True)
         grads = {
-            "w": np.stack([np.bincount(inverse, by_word[owner, j], len(kept)) for j in range(k)], axis=1),
+            "w": np.stack([np.bincount(inverse, np.repeat(by_word[:, j], counts), len(kept)) for j in range(k)], axis=1),
             "lex": np.stack([np.bincount(lexicon, by_word[:, j], k + 1) for j in range(k)], axis=1),
             # a sequence enters from any label alike, whatever its first label is
             "tr": counted + enter_share * np.bincount(gold[::64], minlength=k)[None, :] - expected[:k],
@@ -284,7 +310,9 @@ def fit(labelled: DataFrame, sample_per_language: int = 250, sample_chars: int =
     before = F.sum("size").over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     chosen = chosen.withColumn("before", before).where(F.col("before") < sample_chars).select("lang", "h").distinct()
     texts = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    return train([(r.text, r.lang) for r in sorted(texts.collect(), key=lambda r: (r.lang, r.h))])
+    model = train([(r.text, r.lang) for r in sorted(texts.collect(), key=lambda r: (r.lang, r.h))])
+    give_back()  # the driver's Python stays, and what it took for training is not needed again
+    return model
 
 
 class _Worker:

@@ -22,7 +22,7 @@ def resident(key: Hashable, make: Callable[[], object]):
         made = make()
         _held.clear()
         _held[key] = made
-        _give_back()  # what was only needed to make it
+        give_back()  # what was only needed to make it
     return _held[key]
 
 
@@ -31,10 +31,10 @@ def release() -> None:
     if _held:
         _held.clear()
         gc.collect()
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Arrow's free memory and, where the C library can, that of Python."""
     pa.default_memory_pool().release_unused()
     try:
