@@ -14,6 +14,8 @@ from spoolsight.shared import written
 SUBAGENT = "subagent_of"
 #: Levels that are searched one by one below given roots, before steps double.
 LEVELS = 16
+#: The nearest nodes above a node that one row holds, at most.
+BLOCK = 8
 KEY = ["agent", "session_id"]
 
 
@@ -21,33 +23,115 @@ def descendants(edges: DataFrame, kind: str = SUBAGENT, roots: DataFrame | None
     """All (agent, root, node) where node lies below root over edges of a kind; safe with cycles.
 
     With given ``roots`` the search goes down level by level from them and touches no other tree; only below ``LEVELS`` levels it
-    goes on as without roots.
+    goes on by steps that double.
 
-    Without, steps double: after k rounds all nodes less than 2^k levels below a root are found, and the jumps of 2^k levels that
+    Without, a row for each node has the nearest ``BLOCK`` nodes above it, and the pairs are made of these rows at the end, so
+    a pair as such is never shuffled or stored; see ``_forest_pairs``. Only what goes through nodes with several parents or on
+    cycles is made distinct; see ``_tangled_pairs``.
+    """
+    steps = edges.where(F.col("kind") == kind).select("agent", F.col("to_id").alias("node"), F.col("from_id").alias("child")).distinct()
+    if roots is None:
+        return _all_pairs(steps)
+    start = roots.select("agent", F.col("session_id").alias("root")).distinct()
+    found, ended = _levels_below(steps, start)
+    return (found if ended else _doubled_pairs(steps, start)).where("node <> root")
+
+
+def _doubled_pairs(steps: DataFrame, start: DataFrame) -> DataFrame:
+    """(agent, root, node) below the roots of ``start``, and these themselves.
+
+    After k rounds all nodes less than 2^k levels below a root are found, and the jumps of 2^k levels that
     lead on from them are made of two jumps of half that length. So the rounds grow with the logarithm of the depth. When a
     round finds nothing new there is nothing more: a deeper node would have had one at just that distance above it. Each
     round is written to the shared folder: a lost executor repeats a part of one round, and plans stay short.
     """
-    steps = edges.where(F.col("kind") == kind).select("agent", F.col("to_id").alias("node"), F.col("from_id").alias("child")).distinct()
-    if roots is None:
-        start = steps.select("agent", F.col("node").alias("root")).distinct()
-    else:
-        start = roots.select("agent", F.col("session_id").alias("root")).distinct()
-        found, ended = _levels_below(steps, start)
-        if ended:
-            return found.where("node <> root")
     jump = written(steps, "jumps")
     found = written(start.select("agent", "root", F.col("root").alias("node")), "below")
     while True:
         below = found.join(jump, ["agent", "node"]).select("agent", "root", F.col("child").alias("node")).distinct()
         new = written(below.join(found, ["agent", "root", "node"], "left_anti"), "below-new")
         if new.isEmpty():
-            return found.where("node <> root")
+            return found
         found = written(found.unionByName(new), "below")
         on = jump.select("agent", F.col("node").alias("child"), F.col("child").alias("next"))
         jump = written(jump.join(on, ["agent", "child"]).select("agent", "node", F.col("next").alias("child")).distinct(), "jumps")
 
 
+def _all_pairs(steps: DataFrame) -> DataFrame:
+    """(agent, root, node) of all nodes below all others; ``steps``: agent, node, child, each once."""
+    links = written(steps.where("node <> child").select("agent", F.col("child").alias("node"), F.col("node").alias("up")), "links")
+    tangled = written(links.groupBy("agent", "node").agg(F.count(F.lit(1)).alias("ups")).where("ups > 1").select("agent", "node"), "several-parents")
+    clean = tangled.isEmpty()
+    forest = links if clean else links.join(tangled, ["agent", "node"], "left_anti")
+    pairs = _forest_pairs(forest)
+    if pairs is None:
+        clean = False
+        tangled = written(tangled.union(_cycles(forest).select("agent", "node")), "tangled")
+        pairs = _forest_pairs(links.join(tangled, ["agent", "node"], "left_anti"))
+    return pairs if clean else _tangled_pairs(links, tangled, written(pairs, "forest-pairs"))
+
+
+def _blocks(links: DataFrame) -> DataFrame:
+    """``agent``, ``node`` and ``above``: the nearest ``BLOCK`` nodes above it, nearest first, in a forest of ``links``. Each round doubles
+    them; rows of chains that have ended are not moved for themselves any more."""
+    rows, size = links.select("agent", "node", F.array("up").alias("above")), 1
+    while size < BLOCK:
+        full = rows.where(F.size("above") == size).withColumn("_last", F.element_at("above", -1))
+        on = rows.select("agent", F.col("node").alias("_last"), F.col("above").alias("_on"))
+        longer = full.join(on, ["agent", "_last"], "left").select("agent", "node", F.when(F.col("_on").isNull(), F.col("above")).otherwise(F.concat("above", "_on")).alias("above"))
+        rows, size = written(rows.where(F.size("above") < size).unionByName(longer), "above"), 2 * size
+        if rows.where(F.size("above") == size).isEmpty():
+            break
+    return rows
+
+
+def _forest_pairs(links: DataFrame) -> DataFrame | None:
+    """(agent, root, node) in a forest of ``links`` (agent, node, up), each pair once; None if it has a cycle.
+
+    Jumps from each node to the last one of its full block are a forest again, a ``BLOCK`` less deep, which gets blocks of its own, and
+    so on. Then a node has the blocks of all nodes at which its jumps end: what is joined is a jump's end for ``BLOCK`` pairs.
+
+    The ends of jumps are among those of the jumps that they are made of. If there are as many, each has one below it that is an end
+    too, so following jumps permutes them, and they are on cycles.
+    """
+    ends = lambda df: df.select("agent", "up").distinct().count()
+    levels, before = [], None
+    while True:
+        blocks = _blocks(links)
+        levels.append(blocks)
+        jumps = blocks.where(F.size("above") == BLOCK).select("agent", "node", F.element_at("above", -1).alias("up"))
+        if jumps.isEmpty():
+            break
+        before = ends(links) if before is None else before
+        if (now := ends(jumps)) == before:
+            return None
+        links, before = jumps, now
+    pairs = levels[-1].select("agent", F.explode("above").alias("root"), "node")
+    for blocks in levels[-2::-1]:
+        on = blocks.select("agent", F.col("node").alias("root"), "above")
+        far = pairs.join(on, ["agent", "root"]).select("agent", F.explode("above").alias("root"), "node")
+        pairs = blocks.select("agent", F.explode("above").alias("root"), "node").unionByName(far)
+    return pairs
+
+
+def _tangled_pairs(links: DataFrame, tangled: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All pairs, from those in the forest that has no links from the nodes of ``tangled`` upwards: what is above such a node is found
+    among such nodes first, then handed down to what hangs on it."""
+    key = ["agent", "node"]
+    hung = written(pairs.join(tangled.select("agent", F.col("node").alias("root")), ["agent", "root"], "left_semi"), "hung")
+    ups = links.join(tangled, key, "left_semi")
+    further = ups.join(pairs.select("agent", F.col("node").alias("up"), "root"), ["agent", "up"]).select("agent", "node", "root")
+    near = written(ups.select("agent", "node", F.col("up").alias("root")).union(further).distinct(), "near")
+    steps = near.join(tangled.select("agent", F.col("node").alias("root")), ["agent", "root"], "left_semi").select("agent", F.col("root").alias("node"), F.col("node").alias("child"))
+    among = _doubled_pairs(steps, tangled.select("agent", F.col("node").alias("root"))).select("agent", F.col("root").alias("top"), "node")
+    above = among.join(near.select("agent", F.col("node").alias("top"), "root"), ["agent", "top"]).select("agent", "root", "node").distinct()
+    above = written(above, "above-tangled")
+    handed = hung.select("agent", F.col("root").alias("top"), "node").join(above.select("agent", "root", F.col("node").alias("top")), ["agent", "top"]).select("agent", "root", "node")
+    below = hung.select(*key)
+    mixed = pairs.join(below, key, "left_semi").unionByName(above).unionByName(handed).where("root <> node").distinct()
+    return pairs.join(below, key, "left_anti").unionByName(mixed)
+
+
 def _levels_below(steps: DataFrame, start: DataFrame) -> tuple[DataFrame, bool]:
     """What lies up to ``LEVELS`` levels below the roots of ``start``, and whether that is all. Only the last level is joined."""
     level = written(start.select("agent", "root", F.col("root").alias("node")), "level")
