@@ -204,3 +204,11 @@ def test_discovery_spares_what_cannot_be_listed(spark, tmp_path):
     assert {r.session_id for r in left.sessions.collect()} == {"s1", "s3"}
     nothing, accessible, issues = archive.discover(spark, "claude", [gone])
     assert nothing is None and not accessible and issues.count() == 1
+
+
+def test_an_incremental_scan_hashes_the_texts_once(spark, corpus):
+    found, state = (spark.createDataFrame(df.collect(), df.schema) for df in scan.secret_scan(corpus))
+    again, now = scan.secret_scan(corpus, prior=(found, state))
+    for df in (again, now):  # both read what was hashed and written before
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, now.collect())) == sorted(map(str, state.collect()))
