@@ -23,18 +23,19 @@ def descendants(edges: DataFrame, kind: str = SUBAGENT, roots: DataFrame | None
     """All (agent, root, node) where node lies below root over edges of a kind; safe with cycles.
 
     With given ``roots`` the search goes down level by level from them and touches no other tree; only below ``LEVELS`` levels it
-    goes on by steps that double.
+    goes on by steps that double. The edges are written once, so a level scans what is stored and derives or shuffles none of it.
 
     Without, a row for each node has the nearest ``BLOCK`` nodes above it, and the pairs are made of these rows at the end, so
     a pair as such is never shuffled or stored; see ``_forest_pairs``. Only what goes through nodes with several parents or on
     cycles is made distinct; see ``_tangled_pairs``.
     """
-    steps = edges.where(F.col("kind") == kind).select("agent", F.col("to_id").alias("node"), F.col("from_id").alias("child")).distinct()
+    steps = edges.where(F.col("kind") == kind).select("agent", F.col("to_id").alias("node"), F.col("from_id").alias("child"))
     if roots is None:
-        return _all_pairs(steps)
+        return _all_pairs(steps.distinct())
+    steps = written(steps, "steps")
     start = roots.select("agent", F.col("session_id").alias("root")).distinct()
     found, ended = _levels_below(steps, start)
-    return (found if ended else _doubled_pairs(steps, start)).where("node <> root")
+    return (found if ended else _doubled_pairs(steps.distinct(), start)).where("node <> root")
 
 
 def _doubled_pairs(steps: DataFrame, start: DataFrame) -> DataFrame:
@@ -253,9 +254,9 @@ def session_summary(c: Corpus, only: DataFrame | None = None) -> DataFrame:
     are shown, and what is counted and priced for them; who owns a shared turn is still decided among all.
     """
     below = c.relations.where(F.col("kind") == SUBAGENT)
-    up = below.groupBy("agent", F.col("from_id").alias("session_id")).agg(F.min("to_id").alias("parent_id"), F.min(F.get_json_object("evidence", "$.agentType")).alias("subagent_type"))
-    down = below.groupBy("agent", F.col("to_id").alias("session_id")).agg(F.count(F.lit(1)).alias("subagents"))
     chosen = (lambda df: df) if only is None else (lambda df: df.join(only.select(*KEY), KEY, "left_semi"))
+    up = chosen(below.withColumnRenamed("from_id", "session_id")).groupBy(*KEY).agg(F.min("to_id").alias("parent_id"), F.min(F.get_json_object("evidence", "$.agentType")).alias("subagent_type"))
+    down = chosen(below.withColumnRenamed("to_id", "session_id")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("subagents"))
     whole = only is not None and set(c.sessions.columns) <= set(only.columns)
     out = only if whole else chosen(c.sessions)
     for child, name in ((c.messages, "messages"), (c.tool_calls, "tool_calls")):

@@ -166,10 +166,13 @@ query("subagent_totals", f"""WITH RECURSIVE {OWNED}, k AS ({_TREE}), e AS (SELEC
 
 
 def _totals_below(c: Corpus) -> DataFrame:
-    """Sessions of one day lie below that of the user five numbers before; totals of all below the least one."""
+    """Sessions of one day lie below that of the user five numbers before; totals of all below the least one. Sessions and edges are
+    tables that are stored; both are derived here, so they are written first."""
+    c = c.with_tables(sessions=written(c.sessions, "sessions"))
     k = c.sessions.select("agent", "session_id", F.expr("cast(substr(session_id, 2, length(session_id) - 12) as bigint)").alias("n"), F.expr("right(session_id, 10)").alias("day"))
     up = k.select("agent", "day", (F.col("n") + 5).alias("n"), F.col("session_id").alias("to_id"))
     edges = k.join(up, ["agent", "day", "n"]).select("agent", F.col("session_id").alias("from_id"), "to_id", F.lit(S.SUBAGENT).alias("kind"), F.lit("{}").alias("evidence"), F.lit(True).alias("resolved"), F.lit(0).alias("attempts"))
+    edges = written(edges, "relations")
     root = edges.orderBy(F.concat("to_id", "agent")).select("agent", "to_id").first()
     detail = S.session(c.with_tables(relations=edges), root.agent, root.to_id)
     return detail["subagent_totals"].select("sessions", *(F.col(n).cast("bigint").alias(n) for n in ("messages", "input", "output", "cost_nanos")))
