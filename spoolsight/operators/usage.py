@@ -124,7 +124,13 @@ def _turns(rows: DataFrame) -> DataFrame:
 
 def usage_owners(claims: DataFrame, sessions: DataFrame) -> DataFrame:
     """Who owns each turn that has a content id: agent, content_id, request_id, session_id, seq."""
-    return _placed(_turns(claims), sessions.withColumn("workspace", F.lit(None))).select(*TURN, "session_id", "seq")
+    return owners_of(_placed(_turns(claims), sessions.withColumn("workspace", F.lit(None))))
+
+
+def owners_of(owned: DataFrame) -> DataFrame:
+    """The same from rows that are owned already, as of ``own_usage`` or ``priced_usage``; ranks nothing. A turn has one form of its request
+    id there: not null in some rows and empty in others."""
+    return _turns(owned).select(*TURN, "session_id", "seq")
 
 
 def owner_moves(claims: DataFrame, sessions: DataFrame, owners: DataFrame, dirty: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,19 +140,22 @@ def owner_moves(claims: DataFrame, sessions: DataFrame, owners: DataFrame, dirty
     are ranked anew, among all sessions that carry them. A move makes both its sessions dirty, whose keys are looked at
     next, until no session is added. Moves: agent, content_id, request_id, from_session, from_seq, to_session, to_seq; a turn that
     is new comes from null, one that nobody carries any more goes to null. Each round is written; its keys are shuffled,
-    and of claims and owners only the rows with these keys.
+    and of claims and owners only the rows with these keys. A key is looked at in one round only, as all that carry it are ranked there.
     """
     named, key = _turns(claims), ["agent", "session_id"]
     asked = written(dirty.select(*key).distinct(), "dirty-sessions")
-    known, moves = asked, None
+    known, moves, seen = asked, None, None
     while True:
         keys = named.join(asked, key, "left_semi").select(*TURN).union(owners.join(asked, key, "left_semi").select(*TURN)).distinct()
-        keys = written(keys, "dirty-turns")
+        keys = written(keys if seen is None else keys.join(seen, TURN, "left_anti"), "dirty-turns")
+        if seen is not None and keys.isEmpty():
+            return moves, known
+        seen = keys if seen is None else seen.unionByName(keys)
         now = usage_owners(named.join(keys, TURN, "left_semi"), sessions).select(*TURN, F.col("session_id").alias("to_session"), F.col("seq").alias("to_seq"))
         before = owners.join(keys, TURN, "left_semi").select(*TURN, F.col("session_id").alias("from_session"), F.col("seq").alias("from_seq"))
         same = F.col("from_session").eqNullSafe(F.col("to_session")) & F.col("from_seq").eqNullSafe(F.col("to_seq"))
         here = written(before.join(now, TURN, "full_outer").where(~same), "owner-moves")
-        moves = here if moves is None else moves.unionByName(here).distinct()
+        moves = here if moves is None else moves.unionByName(here)
         ends = here.select("agent", F.col("from_session").alias("session_id")).union(here.select("agent", "to_session"))
         asked = written(ends.where("session_id is not null").distinct().join(known, key, "left_anti"), "dirty-sessions")
         if asked.isEmpty():
@@ -160,8 +169,9 @@ def touched_days(c: Corpus, members: DataFrame, dirty: DataFrame, moves: DataFra
     stored = members.join(dirty, key, "left_semi").select("day")
     moved = moves.select("agent", F.col("from_session").alias("session_id"), F.col("from_seq").alias("seq"))
     moved = moved.union(moves.select("agent", "to_session", "to_seq")).where("session_id is not null").distinct()
-    rows = _dated(c.usage, c.sessions)
-    return stored.union(rows.join(dirty, key, "left_semi").select("day")).union(rows.join(moved, [*key, "seq"], "left_semi").select("day")).distinct()
+    cells = [*key, "created_at"]
+    rows = c.usage.join(dirty, key, "left_semi").select(*cells).union(c.usage.join(moved, [*key, "seq"], "left_semi").select(*cells))
+    return stored.union(_dated(rows, c.sessions).select("day")).distinct()
 
 
 def _dated(claims: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -171,13 +181,13 @@ def _dated(claims: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def priced_days(c: Corpus, days: DataFrame) -> DataFrame:
     """Owned and priced usage of some days, as ``priced_usage`` gives it. Only claims of these days and, to decide who owns them, other
-    copies of their turns are read on; only owned rows of these days are priced."""
-    rows = _dated(c.usage, c.sessions).join(days, "day", "left_semi").select(*c.usage.columns)
+    copies of their turns are read on; only owned rows of these days are priced. Rows without content id get their day when their session
+    is joined."""
     alone = F.coalesce("content_id", F.lit("")) == ""
     request = F.coalesce("request_id", F.lit("")).alias("_request")
-    keys = rows.where(~alone).select("agent", "content_id", request).distinct()
+    keys = _dated(c.usage.where(~alone), c.sessions).join(days, "day", "left_semi").select("agent", "content_id", request).distinct()
     shared = c.usage.where(~alone).select("*", request).join(keys, ["agent", "content_id", "_request"], "left_semi").drop("_request")
-    placed = _placed(shared.unionByName(rows.where(alone)), c.sessions).where("_known")
+    placed = _placed(shared.unionByName(c.usage.where(alone)), c.sessions).where("_known")
     mine = placed.withColumn("day", usage_day()).join(days, "day", "left_semi")
     return price(mine.select(*c.usage.columns, "workspace", "session_created_at"), c.rates)
 

@@ -26,10 +26,16 @@ def _before(c: Corpus) -> tuple[Corpus, DataFrame]:
     return c.with_tables(sessions=c.sessions.withColumn("modified_at", ended)), c.sessions.where(changed).select("agent", "session_id")
 
 
-def _moves(c: Corpus) -> tuple[Corpus, DataFrame, DataFrame]:
+def _stored(c: Corpus) -> Corpus:
+    """Usage and sessions are tables that are stored, and upkeep reads them many times; here they are derived, so they are written first."""
+    return c.with_tables(sessions=written(c.sessions, "sessions"), usage=written(c.usage, "usage"))
+
+
+def _moves(c: Corpus) -> DataFrame:
+    c = _stored(c)
     was, dirty = _before(c)
     owners = written(U.usage_owners(was.usage, was.sessions), "usage-owners")
-    return was, dirty, U.owner_moves(c.usage, c.sessions, owners, dirty)[0]
+    return U.owner_moves(c.usage, c.sessions, owners, dirty)[0]
 
 
 query("usage_owner_moves", f"""{with_views("v_usage", "v_sessions")},
@@ -38,15 +44,17 @@ query("usage_owner_moves", f"""{with_views("v_usage", "v_sessions")},
         FROM v_usage u JOIN v_sessions s USING (agent, session_id) WHERE u.content_id <> ''),
   o AS (SELECT agent, content_id, request_id, session_id AS from_session, seq AS from_seq FROM a QUALIFY {_RANKED.format("had_ended")}),
   n AS (SELECT agent, content_id, request_id, session_id AS to_session, seq AS to_seq FROM a QUALIFY {_RANKED.format("ended")})
-  SELECT * FROM o JOIN n USING (agent, content_id, request_id) WHERE from_session <> to_session OR from_seq <> to_seq""")(corpus(lambda c: _moves(c)[2]))
+  SELECT * FROM o JOIN n USING (agent, content_id, request_id) WHERE from_session <> to_session OR from_seq <> to_seq""")(corpus(_moves))
 
 
 @query("refresh_moved_days", f"WITH {OWNED} {DAILY}")
 def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollups as they were, refreshed by the sessions that changed and the turns that moved; equal to rollups built anew."""
-    c = V.driver_corpus(spark, sf_dir)
-    was, dirty, moves = _moves(c)
-    old = tuple(written(df, "old-rollups") for df in U.build_rollups(U.priced_usage(was)))
+    c = _stored(V.driver_corpus(spark, sf_dir))
+    was, dirty = _before(c)
+    priced = written(U.priced_usage(was), "priced-usage")
+    old = tuple(written(df, "old-rollups") for df in U.build_rollups(priced))
+    moves = U.owner_moves(c.usage, c.sessions, written(U.owners_of(priced), "usage-owners"), dirty)[0]
     return U.refresh_moved(c, old, dirty, moves)[0]
 
 

@@ -132,6 +132,25 @@ def test_turns_move_to_the_session_that_ended_first(spark):
     assert {(r.content_id, r.from_session, r.to_session) for r in left.collect()} == {("c9", "new", None)}
 
 
+def test_each_turn_is_ranked_in_one_round(spark, monkeypatch):
+    claims = [turn("old", 1, "c1", 0), turn("copy", 2, "c1", 1), turn("copy", 3, "c2", 2), turn("third", 4, "c2", 3)]
+    now, was = ([session("old", ended), session("copy", 4), session("third", 6)] for ended in (5, 2))
+    table = rows(spark, "usage", claims)
+    owners = usage.usage_owners(table, rows(spark, "sessions", was))
+    asked, write = [], usage.written
+    monkeypatch.setattr(usage, "written", lambda df, name: (out := write(df, name), name == "dirty-turns" and asked.append(out))[0])
+    moves, _ = usage.owner_moves(table, rows(spark, "sessions", now), owners, spark.createDataFrame([("a", "old")], "agent string, session_id string"))
+    assert [(r.content_id, r.from_session, r.to_session) for r in moves.collect()] == [("c1", "old", "copy")]
+    assert [[r.content_id for r in df.collect()] for df in asked] == [["c1"], ["c2"]]
+
+
+def test_owners_of_priced_usage_are_those_that_ranking_gives(spark):
+    claims = [turn(f"s{k % 3}", k, f"c{k % 4}" if k % 5 else "", k) for k in range(20)]
+    c = Corpus(spark, rates=pricing.rates_from_json(spark, RATES), sessions=rows(spark, "sessions", [session(f"s{k}", 9 - k) for k in range(3)]), usage=rows(spark, "usage", claims))
+    want = sorted(map(tuple, usage.usage_owners(c.usage, c.sessions).collect()))
+    assert sorted(map(tuple, usage.owners_of(usage.priced_usage(c)).collect())) == want and len(want) == 4
+
+
 def test_a_refresh_prices_only_touched_days(spark, monkeypatch):
     claims = [turn(f"s{k % 7}", k, f"c{k // 2}" if k % 9 else "", 2 * (k % 7) + k // 30) for k in range(60)] + [turn("s1", 90, "c1", 0, created_at=None)]
     was = [session(f"s{k}", 20 + k) for k in range(7)]
