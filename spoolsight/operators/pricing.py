@@ -29,6 +29,8 @@ _DATE = re.compile(r"\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d
 _BAND = "dated boolean, key string, tier_key string, valid_from string, valid_to string, from_text string, to_text string, source string, lo bigint, hi bigint, " + ", ".join(f"{f}_picos bigint" for f in FIELDS)
 # What regions and versions look like in hosted model names.
 REGION, VERSION = r"^(us|eu|apac|jp|au|ca|global)\.", r"-v\d+(:\d+)?$"
+#: One name, or a provider and one: nothing in it is a date, a region or a vendor.
+PLAIN = r"^([^/@.]+/)?[^/@.]+$"
 
 
 @dataclass(frozen=True)
@@ -97,8 +99,10 @@ def pricing_model(provider: Column, model: Column) -> Column:
 
 def candidates(model: Column) -> Column:
     """Keys to try in turn: the name, its tails after each slash, without a date after ``@``, without region and vendor,
-    without version. None for a blank model."""
+    without version. None for a blank model. Most names are plain and have themselves and what follows their slash."""
     base = F.lower(F.trim(model))
+    plain = base.rlike(PLAIN) & ~base.rlike(VERSION)
+    few = F.when(base.contains("/"), F.array(base, F.substring_index(base, "/", -1))).otherwise(F.array(base))
     parts = F.split(base, "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     tail = F.element_at(F.filter(tails, lambda t: t != ""), -1)
@@ -107,7 +111,7 @@ def candidates(model: Column) -> Column:
     vendor = F.substring_index(local, ".", 1)
     bare = F.when(local.contains(".") & ~vendor.contains("-"), F.substring(local, F.length(vendor) + 2, F.length(local)))
     every = F.concat(tails, F.array(dated, local, bare, F.regexp_replace(bare, VERSION, ""), F.regexp_replace(local, VERSION, "")))
-    return F.when(F.coalesce(base, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(every, lambda k: k.isNotNull() & (k != ""))))
+    return F.when(F.coalesce(base, F.lit("")) == "", F.array().cast("array<string>")).when(plain, few).otherwise(F.array_distinct(F.filter(every, lambda k: k.isNotNull() & (k != ""))))
 
 
 def _picos(rate: float | None) -> int | None:

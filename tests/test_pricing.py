@@ -108,3 +108,10 @@ def test_cards_that_cannot_be_read_leave_a_gap(spark):
     assert got == {("m", False): (False, ""), ("m", True): (True, "m"), ("n", False): (True, "n")}
     without = pricing.rates_from_json(spark, text.replace("spring", ""))
     assert pricing.fingerprint(book) != pricing.fingerprint(without) != pricing.fingerprint(pricing.rates_from_json(spark, '{"models": {"m": {"input": 0.000001}, "n": {"input": 0.000001}}}'))
+
+
+def test_keys_of_plain_names_and_of_others(spark):
+    want = {"M-Large": ["m-large"], "alpha/m": ["alpha/m", "m"], "a/a": ["a/a", "a"], "m/": ["m/"], "/m": ["/m", "m"], "m-v1": ["m-v1", "m"], "p/m-v1:0": ["p/m-v1:0", "m-v1:0", "m"],
+            "a/b/c": ["a/b/c", "b/c", "c"], "m@1": ["m@1", "m"], "us.x.m": ["us.x.m", "x.m", "m"], " ": []}
+    got = spark.createDataFrame([(n,) for n in want], "n string").select("n", pricing.candidates(F.col("n")).alias("k"))
+    assert {r.n: r.k for r in got.collect()} == want
