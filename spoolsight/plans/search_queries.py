@@ -36,7 +36,7 @@ def _upkept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of a stored index after three updates: a fifth of the messages had another text, a seventh of the documents was not
     there yet, and some documents were there that are gone now. Equal to those of an index built anew."""
     c = V.driver_corpus(spark, sf_dir)
-    docs = written(X.search_documents(c.with_tables(artifacts=c.artifacts.withColumn("kind", F.lit("plan")))), "search-documents")
+    docs = written(X.search_documents(c.with_tables(artifacts=c.artifacts.withColumn("kind", F.lit("plan")))), "search-documents", X.CODEC)
     changed = (F.col("artifact_kind").isNull()) & (F.col("seq") % 5 == 0)
     late = F.coalesce(F.regexp_extract("artifact_name", "([0-9]+)$", 1).cast("bigint") % 7 == 0, F.lit(False))
     was = docs.where(~late).withColumn("text", F.when(changed, F.concat(F.lit("an earlier text "), "text")).otherwise(F.col("text")))

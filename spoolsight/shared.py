@@ -32,8 +32,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. ``codec`` is Spark's own
+    unless given."""
     folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
